@@ -44,12 +44,37 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from areaframe.llm import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from areaframe.llm import langid
 
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_token_counts, op4_decontamination, op6_language)}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from areaframe.llm import line_dedup
+
+    df = line_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return df.select("doc_id", "n_lines", "n_removed", "n_blocks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from areaframe.llm import minhash
+
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from areaframe.llm import substring_dedup
+
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_token_counts, op4_decontamination, op5_packing, op6_language, op7_line_dedup, op8_near_duplicates, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
