@@ -1,4 +1,8 @@
 """All geography queries by name, with their oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from areaframe.plans import lookups, records
+
+QUERIES = lookups.QUERIES | records.QUERIES
+ORACLES = lookups.ORACLES | records.ORACLES
