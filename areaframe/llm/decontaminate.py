@@ -84,7 +84,7 @@ _FOUND = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.St
 
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_hit, item_ids (sorted strings), n_phrases.
+    """One row per input row: doc_id, _t (hash of the text), n_words, n_hit, item_ids (sorted strings), n_phrases.
 
     Null texts have no words; documents without a match have empty lists. Repeated rows
     are answered alike.
@@ -98,11 +98,12 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rarest: int
     cands = met.groupBy("doc_id", "_t").agg(F.collect_set(F.struct("start", "win", "items")).alias("_c"))
     cands = sized(cands, 200, rows=n).alias("c")
     d = documents(docs).withColumn("_t", text_key(F.col("text"))).withColumn("_w", words(lower_ascii(F.coalesce("text", F.lit(""))), TERM)).alias("d")
-    df = d.join(cands, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._t") == F.col("c._t")), "left").select("d.doc_id", "d._w", F.col("c._c"))
+    df = d.join(cands, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._t") == F.col("c._t")), "left").select("d.doc_id", "d._t", "d._w", F.col("c._c"))
     df = df.withColumn("_m", F.expr("filter(_c, c -> slice(_w, c.start + 1, size(c.win)) = c.win)"))
     df = df.withColumn("_m", F.coalesce("_m", F.array().cast(_FOUND)))
     return df.select(
         "doc_id",
+        "_t",
         F.size("_w").cast("long").alias("n_words"),
         F.expr("cast(size(array_distinct(flatten(transform(_m, c -> sequence(c.start, c.start + size(c.win) - 1))))) AS bigint)").alias("n_hit"),
         F.expr("array_sort(array_distinct(flatten(transform(_m, c -> c.items))))").alias("item_ids"),
@@ -125,6 +126,7 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     df = find(docs, benchmark)
     return df.select(
         "doc_id",
+        "_t",
         "n_words",
         "n_hit",
         F.size("item_ids").cast("long").alias("n_items"),

@@ -159,7 +159,7 @@ def _similar_sizes(a: str, b: str, percent: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, _t (hash of the text), n_shingles, component_id, kept.
 
     Equal sets form one class. In every bucket of the index each class is first compared
     with one pivot, the class with the most company; that joins groups of copies with one
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = named.hint("merge").join(least, "root").select(*key, "component_id")
     out = signed.hint("merge").join(named, key, "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "_t", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _shared_keys(index: DataFrame) -> DataFrame:

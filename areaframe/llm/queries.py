@@ -41,7 +41,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from areaframe.llm import decontaminate
 
-    return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("_t")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from areaframe.llm import minhash
 
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("_t")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files are laid out as source/language/id."""
+    from areaframe.llm import licenses
+
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.col("doc_id").cast("string"))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +84,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_token_counts, op4_decontamination, op5_packing, op6_language, op7_line_dedup, op8_near_duplicates, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_token_counts, op4_decontamination, op5_packing, op6_language, op7_line_dedup, op8_near_duplicates, op9_licenses, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
