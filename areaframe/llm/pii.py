@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areaframe.llm.common import documents, lower_ascii, prefix_sums, same_row, sized, text_key, words, write_table
+from areaframe.llm.common import documents, lower_ascii, prefix_sums, sized, text_key, words, write_table
 
 # Each pattern is the contract's, written so that the search is linear: quantifiers that
 # need no backtracking are possessive, and a match cannot start inside a run that an

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaframe.llm.common import WORD, documents, prefix_sums, same_row, sized, text_key, words  # noqa: F401
+from areaframe.llm.common import documents, same_row, sized, text_key, words, write_table
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -79,8 +79,6 @@ def assess(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHA
     ``kept`` is false for a document that fails the base rules or that loses more than
     ``depleted`` of its words with the boilerplate lines.
     """
-    from areaframe.llm.common import write_table
-
     over = write_table(line_limits(docs, min_docs, min_share), "line-limits")
     hits = _lines(docs).join(sized(over, 40), ["host", "line", "chars"])
     # a set, so that repeated rows of one document do not add up
@@ -95,12 +93,10 @@ def assess(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHA
 
 def remove_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, source and the text without the lines that are above their host's limit."""
-    from areaframe.llm.common import write_table
-
     over = write_table(line_limits(docs, min_docs, min_share), "line-limits")
     hits = _lines(docs).join(sized(over, 40), ["host", "line", "chars"])
     hits = hits.groupBy("doc_id", "_t", F.col("host").alias("_host")).agg(F.collect_set("pos").alias("_cut"))
     df = documents(docs, "source").withColumn("_t", text_key(F.coalesce("text", F.lit(""))))
-    df = df.join(hits.hint("merge"), same_row(df, hits) & (F.coalesce(df["source"], F.lit("")) == hits["_host"]), "left")
+    out = df.join(hits.hint("merge"), same_row(df, hits) & (F.coalesce(df["source"], F.lit("")) == hits["_host"]), "left")
     left = F.expr("CASE WHEN _cut IS NULL THEN text ELSE array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(_cut, i)), '\\n') END")
-    return df.select(df["doc_id"], "source", left.alias("text"))
+    return out.select(df["doc_id"], "source", left.alias("text"))
