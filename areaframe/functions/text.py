@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Province codes by the two leading digits of a municipal id.
 PROVINCES = {"10": "NL", "11": "PE", "12": "NS", "13": "NB", "24": "QC", "35": "ON", "46": "MB", "47": "SK", "48": "AB", "59": "BC", "60": "YT", "61": "NT", "62": "NU"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_text(s: pd.Series) -> pd.Series:
     """Case-folded, compatibility-decomposed, without combining marks: the search key of a name."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x.casefold()) if not unicodedata.combining(c)))
