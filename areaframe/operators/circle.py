@@ -51,7 +51,7 @@ def distance(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndar
         s = np.arctan2(sin_s, cos_s)
         sin_a = np.divide(np.cos(u1) * np.cos(u2) * np.sin(lam), sin_s, out=np.zeros_like(s), where=sin_s != 0)
         cos2 = 1 - sin_a**2
-        cos_m = np.divide(cos_s - 2 * np.sin(u1) * np.sin(u2), cos2, out=np.zeros_like(s), where=cos2 != 0) * (cos2 != 0)
+        cos_m = cos_s - np.divide(2 * np.sin(u1) * np.sin(u2), cos2, out=np.zeros_like(s), where=cos2 > 0)
         c = _F / 16 * cos2 * (4 + _F * (4 - 3 * cos2))
         new = ell + (1 - c) * _F * sin_a * (s + c * sin_s * (cos_m + c * cos_s * (2 * cos_m**2 - 1)))
         if np.max(np.abs(new - lam), initial=0) < 1e-13:
