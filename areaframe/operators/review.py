@@ -69,16 +69,18 @@ def changed_answers(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def representative_points(geometry: DataFrame) -> DataFrame:
-    """area_id, x, y inside each geometry: the middle of the widest inner stretch of its scan line at half height.
+    """area_id, x, y inside each geometry: the middle of the widest inner stretch of a scan line.
 
-    The scan line lies between two vertex heights so that it meets no vertex.
+    The line lies halfway between the two middle vertex heights of the first outer ring, so
+    that it crosses this ring and meets none of its vertices.
     """
-    e = geometry.withColumn("e", G.edges("rings")).withColumn("ys", F.expr(f"array_sort(array_distinct(transform({G.points('rings')}, p -> p.y)))"))
-    e = e.withColumn("k", F.expr("CAST(size(ys) DIV 2 AS INT)")).withColumn("y", F.expr("(ys[k - 1] + ys[k]) / 2D"))
-    xs = F.expr("array_sort(transform(filter(e, s -> (s.ay > y) <> (s.by > y)), s -> (s.bx - s.ax) * (y - s.ay) / nullif(s.by - s.ay, 0D) + s.ax))")
-    e = e.withColumn("xs", xs).where("size(xs) > 1")
-    spans = F.expr("transform(filter(sequence(1, greatest(size(xs) - 1, 1)), i -> i % 2 = 1), i -> named_struct('w', get(xs, i) - get(xs, i - 1), 'm', (get(xs, i) + get(xs, i - 1)) / 2D))")
-    return e.withColumn("best", F.array_max(spans)).select("area_id", F.col("best.m").alias("x"), "y")
+    ring = geometry.select("area_id", "rings", F.expr("filter(rings, r -> r.ring = 0)[0]").alias("r"))
+    ys = ring.select("area_id", "rings", F.expr("array_sort(array_distinct(transform(r.pts, p -> p.y)))").alias("ys"))
+    lines = ys.select("area_id", F.expr("(ys[CAST(size(ys) DIV 2 AS INT) - 1] + ys[CAST(size(ys) DIV 2 AS INT)]) / 2D").alias("y"), F.explode(G.edges("rings")).alias("e"))
+    hits = lines.where("(e.ay > y) <> (e.by > y)").select("area_id", "y", F.expr("(e.bx - e.ax) * (y - e.ay) / nullif(e.by - e.ay, 0D) + e.ax").alias("x"))
+    xs = hits.groupBy("area_id", "y").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    spans = F.expr("transform(filter(sequence(1, size(xs) - 1), i -> i % 2 = 1), i -> named_struct('w', get(xs, i) - get(xs, i - 1), 'm', (get(xs, i) + get(xs, i - 1)) / 2D))")
+    return xs.withColumn("best", F.array_max(spans)).select("area_id", F.col("best.m").alias("x"), "y")
 
 
 def simplified(geometry: DataFrame, tolerance: float) -> DataFrame:
