@@ -86,4 +86,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_token_counts, op4_decontamination, op5_packing, op6_language, op7_line_dedup, op8_near_duplicates, op9_licenses, op10_substring_dedup)}
 
-ORACLES: dict[str, str] = {}
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+  list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(lower(regexp_replace(x, '[ \t\x0B\f\r]+', ' ', 'g')))), lambda x: x <> '') AS nl FROM d),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM w, range(1, len(w) - 1) r(i)),
+rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g), range(3) r(o) WHERE c > 1 GROUP BY 1),
+hosts AS (SELECT host, count(*) AS n FROM d GROUP BY 1),
+lim AS (SELECT host, v FROM (SELECT host, unnest(list_distinct(nl)) AS v FROM w) JOIN hosts USING (host) GROUP BY host, v, n HAVING count(*) > 5 AND count(*) > 0.02 * n),
+cut AS (SELECT doc_id, sum(len(string_split(v, ' '))) AS n FROM (SELECT doc_id, host, unnest(nl) AS v FROM w) JOIN lim USING (host, v) GROUP BY 1),
+r AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(cut.n, 0) AS BIGINT) AS removed_words
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN cut USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND removed_words <= 0.5 * n_words AS kept FROM r""",
+    "op4_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i:i + 12], ' ') AS g FROM b, range(1, greatest(2, len(w) - 11)) r(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+hit AS (SELECT doc_id, i, s.n, item, win.g FROM d, sizes s, range(1, len(w) - s.n + 2) r(i) JOIN win ON win.n = s.n AND win.g = array_to_string(w[i:i + s.n - 1], ' ')),
+c AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids, count(DISTINCT g || '@' || i) AS n_phrases FROM hit GROUP BY 1),
+p AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM hit, range(13) r(o) WHERE o < n GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_phrases, 0) AS n_phrases
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id)""",
+}
