@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from areaframe.functions import text as T
-from areaframe.operators import catalogue, cells, contract, editions, hierarchy, lifecycle, population
-from areaframe.plans.lookups import BASE, CITY, GRID, IN_MUNI, MUNI, POINTS
+from areaframe.operators import catalogue, cells, conformance, contract, editions, hierarchy, lifecycle, population
+from areaframe.operators.overlay import overlay_areas
+from areaframe.plans.lookups import BASE, CITY, GRID, IN_MUNI, MUNI, MUNI_BOXES, SHARED
 from areaframe.sources import fixtures as X
 from areaframe.sources import readers
 from areaframe.sources.workspace import shared_path
@@ -238,6 +239,49 @@ def coverage_report(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("assignment_status").isin("missing_geometry", "unreviewed_repair")).alias("n_open"), F.max(F.length("name")).alias("max_chars"))
 
 
+def municipal_escalation(spark: SparkSession, d: str) -> DataFrame:
+    """Points in municipalities, raised where that municipality's coverage is not settled."""
+    p = X.points(spark, d)
+    located = cells.covering(p, _cells(spark, d), "point_id").select("point_id", "area_id").distinct()
+    wards = X.city_slices(spark, d).groupBy(_id("m-", "s_suppkey").alias("area_id")).agg(F.count_if(F.col("c_custkey") % 3 != 0).alias("n"))
+    status = F.when(F.substring("area_id", 3, 12).cast("int") % 9 == 2, "reference").when(F.col("n") > 0, "included").otherwise("historical_only")
+    base = p.select("point_id", F.lit("matched").alias("status"))
+    return conformance.escalate_municipal(base, located, wards.select("area_id", status.alias("status")), explicit=False)
+
+
+def edition_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """City slices of both schemes as one edition: pairs that share area."""
+    g = X.city_geometry(X.city_slices(spark, d)).join(X.table(spark, d, "customer").where("c_custkey % 4 = 0").select(_id("a-", "c_custkey").alias("area_id")), "area_id", "left_semi")
+    out = conformance.edition_overlaps(g, 1e-9)
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("intersection", 6).alias("shared"))
+
+
+def city_layer_status(spark: SparkSession, d: str) -> DataFrame:
+    """City slices qualified against their municipality's geometry."""
+    city = X.city_slices(spark, d)
+    kids = X.city_geometry(city)
+    pairs = city.select(_id("a-", "c_custkey").alias("a"), _id("m-", "s_suppkey").alias("b"))
+    parents = X.municipal_geometry(X.municipalities(spark, d)).where("role = 'assignment'")
+    pairs = pairs.join(parents.select(F.col("area_id").alias("b")), "b", "left_semi")
+    o = overlay_areas(pairs, kids, parents)
+    m = o.select(F.col("a").alias("area_id"), F.col("area_a").alias("area"), "outside_a", F.lit(0.0).alias("overlap"), F.lit(1.0).alias("covered_share"))
+    return conformance.qualify_layer(m.withColumnRenamed("outside_a", "outside")).where("outside_share IS NULL OR abs(outside_share - 0.1) > 1e-5").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stable_core_area(spark: SparkSession, d: str) -> DataFrame:
+    """Municipalities without the strip that their boundary change disputes."""
+    g = X.municipal_geometry(X.municipalities(spark, d))
+    f = conformance.stable_core(g.where("role = 'assignment'"), g.where("role = 'review'").select("area_id", "rings"))
+    return f.groupBy(F.col("a").alias("area_id")).agg(F.round(F.sum(F.expr("(px * qy - py * qx) / 2D")), 5).alias("area"))
+
+
+def bundle_documents(spark: SparkSession, d: str) -> DataFrame:
+    """One geometry document for each nation, deduplicated by content."""
+    m = X.municipalities(spark, d).select(_id("m-", "s_suppkey").alias("area_id"), _id("b-", "s_nationkey").alias("bundle_id"))
+    docs = conformance.bundle_documents(m, X.municipal_geometry(X.municipalities(spark, d)).where("role = 'assignment'"))
+    return docs.select("bundle_id", F.col("n_vertices").cast("long").alias("n_vertices"), "west", "north", "status")
+
+
 def _stream_points(spark: SparkSession, d: str) -> DataFrame:
     schema = X.table(spark, d, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
@@ -269,7 +313,7 @@ QUERIES = {
     for f in (
         ancestors, descendant_scope, child_counts, siblings, browse_page, search_folded, identity_digest, identity_diff, orphans, duplicates, edition_coverage, selection_coverage, municipal_coverage,
         default_replacement, symbol_decode, population_adjusted, population_coverage, stale_crosswalk, reconcile, succession, region_ledger, release_diff, source_scope, bundle_members, html_membership,
-        latency_summary, evidence_nodes, display_gaps, coverage_report, stream_lookup, stream_window_counts,
+        latency_summary, evidence_nodes, display_gaps, coverage_report, municipal_escalation, edition_overlaps, city_layer_status, stable_core_area, bundle_documents, stream_lookup, stream_window_counts,
     )
 }
 
@@ -328,5 +372,16 @@ ORACLES = {
     "latency_summary": "SELECT event_type, round(quantile_cont(value,0.5),6) AS median, round(quantile_disc(value,0.95),6) AS p95, round(max(value),6) AS most, count(value) AS n FROM events GROUP BY 1",
     "display_gaps": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS id, 'missing_display' AS fault FROM muni WHERE s_suppkey%2<>0 AND shape IN ('plain','hole','multipart','bowtie') UNION ALL SELECT 'm-'||(max(s_suppkey)+1), 'unknown_display' FROM supplier",
     "coverage_report": f"WITH {AREAS} SELECT level, count(*) AS n, count(*) FILTER (st IN ('missing_geometry','unreviewed_repair')) AS n_open, CAST(max(length(name)) AS INT) AS max_chars FROM areas GROUP BY 1",
+    "municipal_escalation": f"""{BASE}, city AS ({CITY}), w AS (SELECT s_suppkey, count(*) FILTER (c_custkey%3<>0) AS n FROM city GROUP BY 1),
+      l AS (SELECT event_id, bool_or(w.s_suppkey IS NULL OR m.s_suppkey%9=2 OR w.n=0) AS bad FROM pts JOIN muni m ON {IN_MUNI.replace('s_suppkey', 'm.s_suppkey')} LEFT JOIN w ON w.s_suppkey=m.s_suppkey GROUP BY 1)
+      SELECT p.event_id AS point_id, CASE WHEN coalesce(bad,true) THEN 'review_required' ELSE 'matched' END AS status FROM pts p LEFT JOIN l USING(event_id)""",
+    "edition_overlaps": f"""WITH muni AS ({MUNI}), city AS ({CITY}), c AS (SELECT 'a-'||c_custkey AS id, x0, x1, cy0, cy1 FROM city WHERE c_custkey%4=0)
+      SELECT p.id AS a, q.id AS b, round((least(p.x1,q.x1)-greatest(p.x0,q.x0))*(least(p.cy1,q.cy1)-greatest(p.cy0,q.cy0)),6) AS shared FROM c p JOIN c q ON p.id<q.id AND p.x0<q.x1-1e-9 AND q.x0<p.x1-1e-9 AND p.cy0<q.cy1-1e-9 AND q.cy0<p.cy1-1e-9
+      WHERE (least(p.x1,q.x1)-greatest(p.x0,q.x0))*(least(p.cy1,q.cy1)-greatest(p.cy0,q.cy0))>1e-9""",
+    "city_layer_status": f"""WITH muni AS ({MUNI}), city AS ({CITY}), {MUNI_BOXES}, c AS (SELECT c_custkey, 'm-'||s_suppkey AS pid, x0, x1, cy0 AS y0, cy1 AS y1 FROM city),
+      s AS (SELECT c_custkey, any_value((x1-x0)*(y1-y0)) AS a, sum({SHARED}) AS i FROM c JOIN boxes ON area_id=pid GROUP BY 1), r AS (SELECT round((a-i)/a,6) AS o FROM s)
+      SELECT CASE WHEN o>0.1 THEN 'rejected' WHEN o>0.01 THEN 'unreviewed_parent' ELSE 'validated_source' END AS status, count(*) AS n FROM r WHERE abs(o-0.1)>1e-5 GROUP BY 1""",
+    "stable_core_area": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, round(CASE shape WHEN 'plain' THEN w*7.2e0 WHEN 'hole' THEN w*7.2e0-w ELSE w*5e0*.9e0+.2e0*w END, 5) AS area FROM muni WHERE s_suppkey%19=6 AND shape IN ('plain','hole','multipart')",
+    "bundle_documents": f"WITH muni AS ({MUNI}) SELECT 'b-'||s_nationkey AS bundle_id, CAST(sum(CASE WHEN shape='plain' THEN 4 ELSE 8 END) AS BIGINT) AS n_vertices, min(x0) AS west, max(CASE WHEN shape='multipart' THEN y0+7e0 ELSE y1 END) AS north, 'ready' AS status FROM muni WHERE shape IN ('plain','hole','multipart') GROUP BY 1",
     "stream_lookup": f"{BASE} SELECT event_id AS point_id, 'm-'||s_suppkey AS area_id FROM pts JOIN muni ON {IN_MUNI}",
 }
