@@ -26,6 +26,9 @@ SHINGLE = 5
 CHUNKS, WIDTH, ERRORS = 12, 8, 1
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: Two bits of each symbol make a short signature; at a similarity of 0.85 two of these differ
+#: in 14 of 192 bits with a spread of 4.4, so a pair beyond this distance is no link.
+FAR_BITS = 40
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,22 +79,31 @@ def signature(s: np.ndarray, symbols: int = CHUNKS * WIDTH) -> np.ndarray:
     return (_mix(least) >> np.uint64(48)).astype("<u2")
 
 
+def short_bits(sig: np.ndarray) -> np.ndarray:
+    """The two low bits of each symbol as three 64-bit numbers."""
+    low = np.unpackbits((sig & 3).astype(np.uint8)[:, None], axis=1)[:, 6:]
+    return np.packbits(low.ravel()).view(np.int64)
+
+
 def _signed(documents_: DataFrame) -> DataFrame:
-    """Row key, n (set size), f1 and f2 (fingerprint of the set) and its signature."""
+    """Row key, n (set size), f1 and f2 (fingerprint of the set), its signature and short bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, f1, f2, sig = [], [], [], []
+            n, f1, f2, sig, bits = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text)
                 n.append(len(s))
                 f1.append(int(_mix(s).sum(dtype=np.uint64).view(np.int64)))
                 f2.append(int(_mix(s ^ _MIX).sum(dtype=np.uint64).view(np.int64)))
-                sig.append(signature(s).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_t"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "_t", "n", "f1", "f2", "sig"])
+                own = signature(s)
+                sig.append(own.tobytes() if len(s) else b"")
+                bits.append(short_bits(own).tolist())
+            numbers = [pa.array(x, pa.int64()) for x in (n, f1, f2)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_t"), *numbers, pa.array(sig, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "_t", "n", "f1", "f2", "sig", "bits"])
 
     kind = dict(documents_.dtypes)["doc_id"]
-    return documents_.mapInArrow(run, f"doc_id {kind}, _t bigint, n bigint, f1 bigint, f2 bigint, sig binary")
+    return documents_.mapInArrow(run, f"doc_id {kind}, _t bigint, n bigint, f1 bigint, f2 bigint, sig binary, bits array<bigint>")
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
@@ -170,7 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     d = documents(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_t", text_key(F.col("text")))
     signed = write_table(_signed(d), "signed")
     key = ["n", "f1", "f2"]
-    classes = signed.where(F.col("n") > 0).groupBy(*key).agg(F.min(F.struct("doc_id", "_t")).alias("rep"), F.first("sig").alias("sig"), F.min("doc_id").alias("low"))
+    classes = signed.where(F.col("n") > 0).groupBy(*key).agg(F.min(F.struct("doc_id", "_t")).alias("rep"), F.first("sig").alias("sig"), F.first("bits").alias("bits"), F.min("doc_id").alias("low"))
     classes = write_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # ids are fixed by the written table
     index = write_table(_shared_keys(_index(classes)), "buckets")
 
@@ -182,7 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = _confirmed(first, classes, d, percent)
     group = write_table(components(links), "groups")
 
-    rest = _still_apart(index, group, percent)
+    rest = _still_apart(index, group, classes, percent)
     more = _confirmed(rest, classes, d, percent)
     group = write_table(components(links.unionByName(more)), "groups")
 
@@ -201,16 +213,19 @@ def _shared_keys(index: DataFrame) -> DataFrame:
     return index.join(sized(sizes, 16), "key")
 
 
-def _still_apart(index: DataFrame, group: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components.
+def _still_apart(index: DataFrame, group: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components whose short signatures are near.
 
     The largest component of a bucket is set against the others only, never against itself.
     """
     labelled = index.select("key", "node", "n").hint("merge").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
     counts = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
-    rows = write_table(labelled.hint("merge").join(main.select("key", F.col("m.root").alias("main")), "key"), "apart")
-    a = rows.where(F.col("root") != F.col("main")).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "main")
-    b = rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    met = a.hint("merge").join(b, "key").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & _similar_sizes("na", "nb", percent))
+    rows = labelled.hint("merge").join(main.select("key", F.col("m.root").alias("main")), "key")
+    bits = classes.select("node", *(F.col("bits")[i].alias(f"b{i}") for i in range(3)))
+    rows = write_table(rows.hint("merge").join(bits, "node"), "apart")
+    a = rows.where(F.col("root") != F.col("main")).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "main", *(F.col(f"b{i}").alias(f"a{i}") for i in range(3)))
+    b = rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "b0", "b1", "b2")
+    near = F.expr(f"bit_count(a0 ^ b0) + bit_count(a1 ^ b1) + bit_count(a2 ^ b2) <= {FAR_BITS}")
+    met = a.hint("merge").join(b, "key").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & _similar_sizes("na", "nb", percent) & near)
     return met.select("a", "b").distinct()
