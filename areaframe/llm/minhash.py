@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from areaframe.llm.common import documents, sized, text_key, write_table
 from areaframe.llm.components import components
@@ -175,8 +176,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Equal sets form one class. In every bucket of the index each class is first compared
     with one pivot, the class with the most company; that joins groups of copies with one
-    comparison a class. Only classes that are still apart are then compared with the others
-    of their buckets. Texts without words are linked with nothing. Rows with one id and
+    comparison a class. Only classes that are still apart are then compared further, by their
+    rarest shingles. Texts without words are linked with nothing. Rows with one id and
     different texts are documents of their own that share the id; a null id stays null.
     """
     d = documents(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_t", text_key(F.col("text")))
@@ -194,7 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = _confirmed(first, classes, d, percent)
     group = write_table(components(links), "groups")
 
-    rest = _still_apart(index, group, classes, percent)
+    rest = _still_apart(index, group, classes, d, percent)
     more = _confirmed(rest, classes, d, percent)
     group = write_table(components(links.unionByName(more)), "groups")
 
@@ -213,19 +214,36 @@ def _shared_keys(index: DataFrame) -> DataFrame:
     return index.join(sized(sizes, 16), "key")
 
 
-def _still_apart(index: DataFrame, group: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components whose short signatures are near.
+def _still_apart(index: DataFrame, group: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a bucket with another component and may be linked.
 
-    The largest component of a bucket is set against the others only, never against itself.
+    Many texts of one origin can be near each other without any link, so their pairs are not
+    made. Two sets that are similar enough share one of the rarest shingles of both, namely
+    of the first n - ceil(percent n) + 1 by frequency among these classes; a set with enough
+    shingles of its own meets nobody.
     """
-    labelled = index.select("key", "node", "n").hint("merge").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counts = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
-    rows = labelled.hint("merge").join(main.select("key", F.col("m.root").alias("main")), "key")
-    bits = classes.select("node", *(F.col("bits")[i].alias(f"b{i}") for i in range(3)))
-    rows = write_table(rows.hint("merge").join(bits, "node"), "apart")
-    a = rows.where(F.col("root") != F.col("main")).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "main", *(F.col(f"b{i}").alias(f"a{i}") for i in range(3)))
-    b = rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "b0", "b1", "b2")
-    near = F.expr(f"bit_count(a0 ^ b0) + bit_count(a1 ^ b1) + bit_count(a2 ^ b2) <= {FAR_BITS}")
-    met = a.hint("merge").join(b, "key").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & _similar_sizes("na", "nb", percent) & near)
-    return met.select("a", "b").distinct()
+    labelled = index.select("key", "node").hint("merge").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
+    nodes = write_table(labelled.hint("merge").join(mixed, "key", "left_semi").select("node", "root").distinct(), "apart")
+    info = classes.hint("merge").join(nodes, "node").select("node", "root", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep._t").alias("_t"), *(F.col("bits")[i].alias(f"b{i}") for i in range(3)))
+    info = write_table(info, "apart-classes")
+    w, d = sized(info.select("node", "doc_id", "_t"), 60).alias("w"), docs.alias("d")
+    texts = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d._t") == F.col("w._t"))).select("w.node", "d.text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
+                s = shingles(text.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node, np.int64)), pa.array(s.view(np.int64))], ["node", "s"])
+
+    # repeated rows of one text would count twice
+    own = write_table(texts.mapInArrow(run, "node bigint, s bigint"), "apart-shingles").distinct()
+    often = own.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    rows = own.hint("merge").join(often, "s").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "s")))
+    rows = rows.hint("merge").join(info.drop("doc_id", "_t"), "node").where((F.col("df") > 1) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    rows = write_table(rows.drop("df", "rank"), "apart-prefixes")
+    a = rows.select("s", *(F.col(c).alias(f"a_{c}") for c in ("node", "root", "n", "b0", "b1", "b2")))
+    b = rows.select("s", *(F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", "b0", "b1", "b2")))
+    near = F.expr(f"bit_count(a_b0 ^ b_b0) + bit_count(a_b1 ^ b_b1) + bit_count(a_b2 ^ b_b2) <= {FAR_BITS}")
+    met = a.hint("merge").join(b, "s").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _similar_sizes("a_n", "b_n", percent) & near)
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
