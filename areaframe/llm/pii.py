@@ -107,18 +107,28 @@ def disclosing_terms(docs: DataFrame, context: int = CONTEXT, min_support: int =
     near = write_table(entity_contexts(docs, context), "pii-contexts")
     entities = near.select("doc_id", "_t", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     pairs = near.where(F.col("term").isNotNull()).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_support)
-    pairs = write_table(pairs.hint("merge").join(entities, "entity"), "pii-pairs")
+    # a term is in no fewer documents than it is near entities in, which bounds its pmi from above
+    close = near.where(F.col("term").isNotNull()).select("doc_id", "_t", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_close"))
+    pairs = pairs.hint("merge").join(entities, "entity").join(close.hint("merge"), "term").where(_pmi(n_docs, "n_close") >= alpha * _content(n_docs) - 1e-9)
+    pairs = write_table(pairs, "pii-pairs")
     wanted = write_table(pairs.select("term").distinct(), "pii-terms")
     everywhere = _document_terms(docs).join(sized(wanted, 60), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     scored = pairs.hint("merge").join(everywhere, "term")
-    scored = scored.withColumn("pmi", F.log2(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))))
-    scored = scored.withColumn("content", F.log2(F.lit(float(n_docs)) / F.col("n_entity"))).where((F.col("content") > 0) & (F.col("pmi") >= alpha * F.col("content")))
+    scored = scored.withColumn("pmi", _pmi(n_docs, "n_term")).withColumn("content", _content(n_docs)).where((F.col("content") > 0) & (F.col("pmi") >= alpha * F.col("content")))
     # an entity that every document holds has no content; a term tied to several keeps its strongest tie
     best = scored.groupBy("term").agg(F.max(F.struct(F.col("pmi") / F.col("content"), "pmi", "content")).alias("b"))
     full = F.col("b.pmi") >= F.col("b.content") - 1e-9
     return best.select("term", "b.pmi", "b.content", F.when(full, "remove").otherwise("generalise").alias("action"))
 
 
+def _pmi(n_docs: int, term: str) -> Column:
+    return F.log2(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_entity") * F.col(term)))
+
+
+def _content(n_docs: int) -> Column:
+    return F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
+
+
 def _document_terms(docs: DataFrame) -> DataFrame:
     df = documents(docs).where(F.col("text").isNotNull())
     return df.select("doc_id", text_key(F.col("text")).alias("_t"), F.explode(F.array_distinct(words(lower_ascii(F.col("text")), TERM))).alias("term"))
