@@ -61,6 +61,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def lower_word(word: Column) -> Column:
+    """Lower-case A-Z of a word; the common ASCII word takes the fast built-in."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(lower_ascii(word))
+
+
 def words(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 

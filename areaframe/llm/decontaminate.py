@@ -8,15 +8,15 @@ operations.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from areaframe.llm.common import documents, lower_ascii, sized, text_key, words, write_table
+from areaframe.llm.common import BROADCAST_ROWS, documents, lower_word, sized, text_key, words, write_table
 
-#: Runs of digits, lower-case letters and code points from U+0080, after lower-casing A-Z.
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Runs of digits, letters and code points from U+0080; A-Z are lower-cased word by word afterwards.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Rarest terms of a window whose lists are intersected before the comparison.
 RAREST = 2
@@ -24,36 +24,42 @@ RAREST = 2
 SLOP = 5
 
 
+def terms(text: Column) -> Column:
+    """The words of a text with A-Z lower-cased."""
+    return F.transform(words(text, TERM), lower_word)
+
+
 def test_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows: win (its words), items (ids that hold it).
+    """Distinct windows: win_id, win (its words), items (ids that hold it), written as a table.
 
     An item with fewer words than ``size``, but not none, is one window. Null texts have none.
     """
     df = benchmark.select("item_id", F.col("text").cast("string").alias("_x")).where(F.col("_x").isNotNull())
-    df = df.select("item_id", words(lower_ascii(F.col("_x")), TERM).alias("_w")).where(F.size("_w") > 0)
+    df = df.select("item_id", terms(F.col("_x")).alias("_w")).where(F.size("_w") > 0)
     cut = F.expr(f"transform(sequence(1, greatest(1, size(_w) - {size - 1})), i -> slice(_w, i, {size}))")
     df = df.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.explode(F.array_distinct(cut)).alias("win"))
-    return df.groupBy("win").agg(F.collect_set("item").alias("items"))
+    df = df.groupBy("win").agg(F.collect_set("item").alias("items"))
+    return write_table(df.withColumn("win_id", F.monotonically_increasing_id()), "bench-windows")
 
 
 def _terms(docs: DataFrame) -> DataFrame:
     df = documents(docs).where(F.col("text").isNotNull())
-    return df.select("doc_id", text_key(F.col("text")).alias("_t"), F.posexplode(words(lower_ascii(F.col("text")), TERM)).alias("pos", "term"))
+    df = df.select("doc_id", text_key(F.col("text")).alias("_t"), F.posexplode(words(F.col("text"), TERM)).alias("pos", "term"))
+    return df.withColumn("term", lower_word(F.col("term")))
 
 
 def anchors(docs: DataFrame, windows: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """The ``rarest`` terms of each window by corpus frequency: term, off, win, items, need.
+    """The ``rarest`` terms of each window by corpus frequency: win_id, term, off, need (how many).
 
     Windows with a term that no document holds cannot occur and are left out.
     """
     vocabulary = write_table(windows.select(F.explode("win").alias("term")).distinct(), "bench-vocabulary")
     counts = _terms(docs).select("term").join(sized(vocabulary, 60), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    places = windows.select("win", F.posexplode("win").alias("off", "term")).hint("merge").join(counts.hint("merge"), "term", "left")
-    by = Window.partitionBy("win")
+    places = windows.select("win_id", F.posexplode("win").alias("off", "term")).hint("merge").join(counts.hint("merge"), "term", "left")
+    by = Window.partitionBy("win_id")
     places = places.withColumn("_r", F.row_number().over(by.orderBy(F.col("n").asc_nulls_first(), "off"))).withColumn("_none", F.max(F.col("n").isNull()).over(by))
     places = places.where(~F.col("_none") & (F.col("_r") <= rarest))
-    chosen = places.withColumn("need", F.max("_r").over(by)).select("win", "term", F.col("off"), "need")
-    return chosen.hint("merge").join(windows, "win")
+    return places.withColumn("need", F.max("_r").over(by)).select("win_id", "term", "off", "need")
 
 
 def index_postings(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -63,21 +69,22 @@ def index_postings(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def intersect(postings: DataFrame, chosen: DataFrame, slop: int = 0) -> DataFrame:
-    """Offset-adjusted intersection: doc_id, _t, win, items, start.
+    """Offset-adjusted intersection: doc_id, _t, win_id, start.
 
     With ``slop`` 0 the rarest terms stand at exactly their distances (candidates for a
     phrase); otherwise all of them start within the same stretch of ``slop`` + 1 positions
     or the one after it (proximity).
     """
     start = F.col("pos") - F.col("off")
-    rows = postings.join(sized(chosen, 300), "term").select("doc_id", "_t", "win", "items", "need", "off", start.alias("start"))
+    rows = postings.join(sized(chosen, 60), "term").select("doc_id", "_t", "win_id", "need", "off", start.alias("start"))
     if slop:
         near = F.floor(F.col("start") / (slop + 1)).cast("int")
         rows = rows.withColumn("start", F.explode(F.array(near, near - 1))).withColumn("start", F.col("start") * (slop + 1))
     else:
         rows = rows.where(F.col("start") >= 0)
-    met = rows.groupBy("doc_id", "_t", "win", "start").agg(F.size(F.collect_set("off")).alias("_n"), F.first("need").alias("_need"), F.first("items").alias("items"))
-    return met.where(F.col("_n") >= F.col("_need")).drop("_n", "_need")
+    # a window has fewer than 64 words, so its offsets are counted as bits
+    met = rows.groupBy("doc_id", "_t", "win_id", "start", "need").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("off"))).alias("_o"))
+    return met.where(F.bit_count("_o") >= F.col("need")).drop("_o", "need")
 
 
 _FOUND = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("win", T.ArrayType(T.StringType())), T.StructField("items", T.ArrayType(T.StringType()))]))
@@ -89,22 +96,25 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rarest: int
     Null texts have no words; documents without a match have empty lists. Repeated rows
     are answered alike.
     """
-    windows = write_table(test_windows(benchmark, size), "bench-windows")
+    windows = test_windows(benchmark, size)
     chosen = write_table(anchors(docs, windows, rarest), "bench-anchors")
-    postings = index_postings(docs, chosen)
-    # windows are as bounded as the test set, but a document may hold many
-    met = write_table(intersect(postings, chosen), "bench-candidates")
-    n = met.count()
+    met = intersect(index_postings(docs, chosen), chosen).join(sized(windows, 400), "win_id")
     cands = met.groupBy("doc_id", "_t").agg(F.collect_set(F.struct("start", "win", "items")).alias("_c"))
-    cands = sized(cands, 200, rows=n).alias("c")
-    d = documents(docs).withColumn("_t", text_key(F.col("text"))).withColumn("_w", words(lower_ascii(F.coalesce("text", F.lit(""))), TERM)).alias("d")
-    df = d.join(cands, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._t") == F.col("c._t")), "left").select("d.doc_id", "d._t", "d._w", F.col("c._c"))
+    cands = write_table(cands, "bench-candidates")
+    # only candidates carry their text on to the comparison, and only if their keys are few
+    keys = cands.select("doc_id", "_t")
+    n = keys.count()
+    d = documents(docs).withColumn("_t", text_key(F.col("text"))).withColumn("n_words", F.size(words(F.coalesce("text", F.lit("")), TERM)).cast("long"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._t") == F.col("c._t"))
+    if n <= BROADCAST_ROWS:
+        d = d.alias("d").join(F.broadcast(keys.withColumn("_is", F.lit(True)).alias("c")), same, "left").select("d.doc_id", "d._t", "d.n_words", F.when(F.col("c._is"), F.col("d.text")).alias("text"))
+    df = d.alias("d").hint("merge").join(cands.alias("c"), same, "left").select("d.doc_id", "d._t", "d.n_words", F.when(F.col("c._c").isNotNull(), terms(F.col("d.text"))).alias("_w"), "c._c")
     df = df.withColumn("_m", F.expr("filter(_c, c -> slice(_w, c.start + 1, size(c.win)) = c.win)"))
     df = df.withColumn("_m", F.coalesce("_m", F.array().cast(_FOUND)))
     return df.select(
         "doc_id",
         "_t",
-        F.size("_w").cast("long").alias("n_words"),
+        "n_words",
         F.expr("cast(size(array_distinct(flatten(transform(_m, c -> sequence(c.start, c.start + size(c.win) - 1))))) AS bigint)").alias("n_hit"),
         F.expr("array_sort(array_distinct(flatten(transform(_m, c -> c.items))))").alias("item_ids"),
         F.size("_m").cast("long").alias("n_phrases"),
@@ -113,12 +123,12 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rarest: int
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rarest: int = RAREST, slop: int = SLOP) -> DataFrame:
     """Candidate phrase places and proximity matches: doc_id, kind, win, items, start."""
-    windows = write_table(test_windows(benchmark, size), "bench-windows")
+    windows = test_windows(benchmark, size)
     chosen = write_table(anchors(docs, windows, rarest), "bench-anchors")
     postings = index_postings(docs, chosen)
-    exact = intersect(postings, chosen).select("doc_id", F.lit("aligned").alias("kind"), "win", "items", "start")
-    near = intersect(postings, chosen, slop).select("doc_id", F.lit("near").alias("kind"), "win", "items", "start")
-    return exact.unionByName(near)
+    exact = intersect(postings, chosen).withColumn("kind", F.lit("aligned"))
+    near = intersect(postings, chosen, slop).withColumn("kind", F.lit("near"))
+    return exact.unionByName(near).join(sized(windows, 400), "win_id").select("doc_id", "kind", "win", "items", "start")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
