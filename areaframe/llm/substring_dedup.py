@@ -102,11 +102,33 @@ def regions(docs: DataFrame) -> DataFrame:
 
 
 def settled(docs: DataFrame) -> DataFrame:
-    """ord, _t and old: the stretches (s, e) of each document that are such runs of an earlier one."""
+    """ord, _t and old: the stretches (s, e, s, e ...) of each document that are such runs of an earlier one."""
     table = write_table(regions(docs), "regions")
     first = table.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where(F.col("first") < F.col("last")).drop("last")
     old = table.hint("merge").join(first, ["h1", "h2"]).where(F.col("ord") > F.col("first"))
-    return write_table(old.groupBy("ord", "_t").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("old")), "settled")
+    # chunks are longer than a window, so what two overlapping runs hold together is settled too
+    return write_table(_merged(old, "old", LENGTH - 1), "settled")
+
+
+def _merged(stretches: DataFrame, name: str, overlap: int) -> DataFrame:
+    """ord, _t and the stretches of each document as a flat array s, e, s, e ...; those that
+    overlap by ``overlap`` bytes at least are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for parts in batch.column("parts"):
+                flat: list[int] = []
+                for x in parts.as_py():
+                    if flat and x["s"] + overlap <= flat[-1]:
+                        flat[-1] = max(flat[-1], x["e"])
+                    else:
+                        flat += [x["s"], x["e"]]
+                out.append(flat)
+            yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("_t"), pa.array(out, pa.list_(pa.int64()))], ["ord", "_t", name])
+
+    parts = stretches.groupBy("ord", "_t").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("parts"))
+    return parts.mapInArrow(run, f"ord bigint, _t bigint, {name} array<bigint>")
 
 
 def _minimizers(part: pa.RecordBatch, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,8 +153,8 @@ def _minimizers(part: pa.RecordBatch, data: np.ndarray, starts: np.ndarray, ends
     olds = part.column("old").to_pylist()
     for a, old in zip(starts.tolist(), olds, strict=True):
         reach = 0  # settled stretches are sorted; their windows are taken off once
-        for x in old or ():
-            s, e = max(x["s"], reach), x["e"] - LENGTH + 1
+        for s, e in zip((old or ())[::2], (old or ())[1::2], strict=True):
+            s, e = max(s, reach), e - LENGTH + 1
             if e > s:
                 open_[a + s] -= 1
                 open_[a + e] += 1
@@ -276,9 +298,22 @@ def compare_hot(gathered: DataFrame) -> DataFrame:
     return later.select("ord", "_t", "s", (F.col("s") + LENGTH).alias("e"))
 
 
+def _same_surroundings(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stretches of places whose bytes on both sides an earlier document has too, and the other places.
+
+    The first document of each surrounding stands for it, so what a third of all documents
+    share costs one row a task.
+    """
+    first = found.groupBy("h", "left", "right").agg(F.min("ord").alias("first"))
+    met = found.hint("merge").join(first, ["h", "left", "right"])
+    s, e = F.col("pos") - F.length("left"), F.col("pos") + GRAM + F.length("right")
+    whole = met.where((F.col("ord") > F.col("first")) & (e - s >= LENGTH)).select("ord", "_t", s.alias("s"), e.alias("e"))
+    return whole, met.where(F.col("ord") == F.col("first")).drop("first")
+
+
 def repeated(docs: DataFrame, old: DataFrame) -> DataFrame:
     """ord, _t, cut: all stretches that an earlier document holds, from documents with ord and text."""
-    o = sized(old, 400).alias("o")
+    o = sized(old, 100).alias("o")
     d = docs.alias("d")
     df = d.join(o, (F.col("d.ord") == F.col("o.ord")) & (F.col("d._t") == F.col("o._t")), "left").select("d.ord", "d._t", "d.text", "o.old")
     shared = hashes(df).groupBy("h").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where(F.col("a") < F.col("b")).select("h")
@@ -291,26 +326,18 @@ def repeated(docs: DataFrame, old: DataFrame) -> DataFrame:
     hot = write_table(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("h"), "hot-hashes")
     h = sized(hot, 16)
     few = found.join(h, "h", "left_anti").repartition("h").sortWithinPartitions("h")
-    stretches = compare(few).unionByName(compare_hot(found.join(h, "h", "left_semi")))
-    stretches = stretches.unionByName(old.select("ord", "_t", F.explode("old").alias("x")).select("ord", "_t", "x.s", "x.e"))
-    return write_table(stretches.groupBy("ord", "_t").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("cut")), "stretches")
-
-
-def _kept(data: bytes, cut: list[dict]) -> tuple[list[bytes], int, int]:
-    """The parts that stay, the bytes removed, and the runs they form; stretches sorted by start."""
-    parts, removed, spans, reach = [], 0, 0, 0
-    last = 0
-    for x in cut:
-        if x["s"] > reach or not spans:
-            parts.append(data[last : x["s"]])
-            spans += 1
-            removed += x["e"] - x["s"]
-            reach = last = x["e"]
-        elif x["e"] > reach:
-            removed += x["e"] - reach
-            reach = last = x["e"]
-    parts.append(data[last:])
-    return parts, removed, spans
+    whole, rest = _same_surroundings(found.join(h, "h", "left_semi"))
+    stretches = compare(few).unionByName(whole).unionByName(compare_hot(rest))
+    pairs = F.expr("transform(sequence(0, CAST(size(old) DIV 2 AS INT) - 1), i -> named_struct('s', old[2 * i], 'e', old[2 * i + 1]))")
+    stretches = stretches.unionByName(old.select("ord", "_t", F.explode(pairs).alias("x")).select("ord", "_t", "x.s", "x.e"))
+    return write_table(_merged(stretches, "cut", 0), "stretches")
+
+
+def _kept(data: bytes, cut: list[int]) -> tuple[list[bytes], int, int]:
+    """The parts that stay, the bytes removed, and the runs they form; ``cut`` is flat, sorted and merged."""
+    starts, ends = cut[::2], cut[1::2]
+    parts = [data[a:b] for a, b in zip([0, *ends], [*starts, len(data)], strict=True)]
+    return parts, sum(ends) - sum(starts), len(starts)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -323,7 +350,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     ids = ids.withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_t", text_key(F.col("text")))
     d = ids.select("ord", "_t", "text")
     cut = repeated(d, settled(d))
-    c = sized(cut, 400).alias("c")
+    c = sized(cut, 100).alias("c")
     i = ids.alias("i")
     df = i.join(c, (F.col("i.ord") == F.col("c.ord")) & (F.col("i._t") == F.col("c._t")), "left").select("i.doc_id", "i.text", "c.cut")
 
