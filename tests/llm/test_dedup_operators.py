@@ -99,6 +99,34 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(df.where("false")).count() == 0
 
 
+def test_line_dedup_finds_copies_torn_by_other_partners(spark):
+    short = [f"p{i} one two three four five" for i in range(9)]
+    a, b = (f"{x} one two three four five six seven eight nine ten" for x in ("left", "right"))
+    data = [
+        (1, "\n".join(["own 1", short[1], "own 2", short[3], "own 3", short[5], "own 4", short[7]])), (2, "\n".join(short)), (3, "\n".join(short)),
+        (11, f"{b}\n{a}"), (12, f"{a}\n{b}"), (13, f"{a}\n{b}"),
+        # the first line stands once more, before the copied passage
+        (4, "\n".join([short[4], "own 5", *short[3:6]])),
+    ]
+    got = by_id(line_dedup.dedup(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], SCHEMA)))
+    text = {k: v[0]["text"] for k, v in got.items()}
+    assert text[1] == data[0][1] and text[2] == "\n".join(short) and text[3] == "" and got[3][0]["n_removed"] == 9
+    assert text[11] == f"{b}\n{a}" and text[12] in (a, b) and text[13] == ""
+    assert text[4] == f"{short[4]}\nown 5"
+
+
+def test_line_runs_cover_every_common_block():
+    for seed in range(300):
+        r = random.Random(seed)
+        lines = [(k, r.randint(1, 12), r.randint(0, 3), 0) for k in range(r.randint(1, 12))]
+        got = {(k, k + size) for k, size, *_ in line_dedup.runs(lines, 10)}
+        assert all(sum(x[1] for x in lines[s:e]) >= 10 for s, e in got)
+        for s in range(len(lines)):
+            for e in range(s + 1, len(lines) + 1):
+                if sum(x[1] for x in lines[s:e]) >= 10:
+                    assert {k for x, y in got if s <= x and y <= e for k in range(x, y)} == set(range(s, e))
+
+
 def test_patience_alignment_is_increasing_and_keeps_anchors():
     for seed in range(200):
         r = random.Random(seed)
