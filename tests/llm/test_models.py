@@ -97,6 +97,26 @@ def test_licences(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id bigint, path string, text string")).count() == 0
 
 
+def test_license_blocks_weigh_terms_by_the_corpus(spark):
+    mit = next(t for t in licenses.TEMPLATES["MIT"] if "merchantability" in t.lower()).split()
+    apache = max(licenses.TEMPLATES["Apache-2.0"], key=len).split()
+    wrap = lambda words, lead: "\n".join(lead + " ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+    data = [
+        (1, "p/a.c", "/*\n" + wrap(apache, " * ") + "\n */\nint main() { return zero; }\nint other() { return one; }"), (2, "q/LICENSE", "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + wrap(mit, "")),
+        (3, "r/a.py", "# Foobar is licensed under the MIT License."), (4, "s/README", "This project is released under the MIT License."), (5, "u/a.py", "the license of the cat\nis under the table"),
+    ]
+    data += [(100 + i, f"v/{i}", "\n".join(f"foobar w{i}x{k}" for k in range(20))) for i in range(50)]
+    got = by_id(licenses.scan(spark.createDataFrame(data, "doc_id bigint, path string, text string")))
+    assert [got[i][0]["license"] for i in range(1, 6)] == ["Apache-2.0", "MIT", "MIT", "MIT", None]
+    assert got[1][0]["score"] > 0.8 and got[2][0]["score"] > 0.9 and all(got[100 + i][0]["how"] == "none" for i in range(50))
+    # the weight of a term outside the templates comes from the corpus
+    n, df = sum(len([x for x in t.split("\n") if licenses.terms(x)]) for _, _, t in data), Counter(t for *_, x in data for y in x.split("\n") for t in set(licenses.terms(y)))
+    idf = lambda t: math.log((1 + n) / (1 + df[t])) + 1
+    vector = lambda x: {t: k * idf(t) for t, k in Counter(licenses.terms(x)).items()}
+    cosine = lambda a, b: sum(v * b.get(k, 0) for k, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    assert math.isclose(got[3][0]["score"], max(cosine(vector(data[2][2]), vector(t)) for t in licenses.TEMPLATES["MIT"]), abs_tol=1e-6)
+
+
 def test_cosine_against_brute_force():
     m = licenses.Matcher(100, {"the": 90, "license": 5})
     line = "Released under the MIT license today"
