@@ -10,12 +10,12 @@ each length and looks their places up in the plan.
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,50 +24,103 @@ from areaframe.llm.common import write_table
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks whose ids a worker remembers, and the longest of them.
-CACHE_CHUNKS = 300_000
+#: Parts of chunks whose ids a task remembers, in each of two generations, and the longest of them.
+CACHE_PARTS = 150_000
 CACHE_CHARS = 32
+#: Characters of text that are encoded at once.
+SLICE_CHARS = 4 << 20
 
-# The tokenizer drops white space and pre-tokenizes without looking across it, so the ids
-# of a text are those of its chunks in order.
-_CHUNK = re.compile(r"[^ \n\t\r]+")
-_CACHES: dict[str, tuple[object, dict[str, bytes]]] = {}
+# The tokenizer drops white space and pre-tokenizes without looking across it, so the ids of a
+# text are those of its chunks in order. Inside a chunk of ASCII and precomposed Latin letters it
+# encodes each of these parts on its own; special tokens are found before that, so chunks that may
+# hold one stay whole. Both patterns are RE2's.
+_LATIN = r"\x{df}-\x{f6}\x{f8}-\x{17e}"
+_PLAIN = r"^[\x21-\x7e\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{148}\x{14a}-\x{17e}]*$"
+_PARTS = rf"('s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^0-9a-z{_LATIN}]+)"
+_SPECIAL = "<|"
+#: What the last token of every part ends with.
+_WORD_END = "</w>"
 
 
-def _tokenizer(path: str) -> tuple[object, dict[str, bytes]]:
-    """The tokenizer and the remembered chunks of this worker."""
-    if path not in _CACHES:
+def _plain(chunks: pa.Array) -> pa.Array:
+    return pc.and_not(pc.match_substring_regex(chunks, _PLAIN), pc.match_substring(chunks, _SPECIAL))
+
+
+def _gather(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``at`` of ``values``, whose runs have these sizes, one after the other; and the sizes taken."""
+    begin, each = (np.cumsum(sizes) - sizes)[at], sizes[at]
+    ends = np.cumsum(each)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + each, each)], each
+
+
+class Encoder:
+    """A tokenizer that encodes every part of a chunk once while it is remembered."""
+
+    def __init__(self, path: str) -> None:
         import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task owns one core
         from tokenizers import Tokenizer
 
-        _CACHES[path] = (Tokenizer.from_file(path), {})
-    return _CACHES[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _single(self, some: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
+
+    def _parts(self, new: list[str]) -> Iterator[bytes]:
+        """Ids of parts, encoded 500 together and cut where a part's last token stands."""
+        for at in range(0, len(new), 500):
+            group = new[at : at + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(group):
+                yield from self._single(group)
+                continue
+            flat = ids.tobytes()
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                yield flat[a:b]
+
+    def parts(self, some: pa.Array) -> list[bytes]:
+        """The little-endian 32-bit ids of distinct parts and whole chunks."""
+        names = some.to_pylist()
+        out = [self.known.get(p) or self.older.get(p) for p in names]
+        missing = [i for i, x in enumerate(out) if x is None and names[i]]
+        single = _plain(some.take(pa.array(missing, pa.int64()))).to_pylist()
+        for kind, encoded in ((True, self._parts), (False, self._single)):
+            which = [i for i, plain in zip(missing, single, strict=True) if plain is kind]
+            for i, ids in zip(which, encoded([names[i] for i in which]), strict=True):
+                out[i] = ids
+        if len(self.known) > CACHE_PARTS:  # what was not met since the last time is forgotten
+            self.known, self.older = {}, self.known
+        self.known.update((p, x) for p, x in zip(names, out, strict=True) if x and len(p) <= CACHE_CHARS)
+        return [x or b"" for x in out]
+
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text ends."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        flat = pc.list_flatten(split).dictionary_encode()
+        chunks = flat.dictionary
+        spaced = pc.replace_substring_regex(pc.utf8_lower(chunks), _PARTS, r"\1 ")
+        inner = pc.ascii_split_whitespace(pc.if_else(_plain(chunks), spaced, chunks))
+        parts = pc.list_flatten(inner).dictionary_encode()
+        own = self.parts(parts.dictionary)
+        ids, sizes = _gather(np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4, parts.indices.to_numpy())
+        ends = np.append(0, np.cumsum(sizes))[np.cumsum(pc.list_value_length(inner).to_numpy())]  # of the chunks
+        ids, sizes = _gather(ids, np.diff(ends, prepend=0), flat.indices.to_numpy())
+        return ids, np.append(0, np.cumsum(sizes))[np.cumsum(pc.list_value_length(split).to_numpy())]
 
 
 def encode(path: str, texts: list[str]) -> Iterator[bytes]:
-    """Little-endian 32-bit ids of each text.
-
-    Chunks between white space repeat a lot; each is encoded once while it is remembered.
-    """
-    tokenizer, known = _tokenizer(path)
-    chunks = [_CHUNK.findall(x) for x in texts]
-    new = list(set().union(*chunks) - known.keys())
-    extra: dict[str, bytes] = {}
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for chunk, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4").tobytes()
-            if len(known) < CACHE_CHUNKS and len(chunk) <= CACHE_CHARS:
-                known[chunk] = ids
-            else:
-                extra[chunk] = ids
-    for own in chunks:
-        if extra:
-            yield b"".join([known[c] if c in known else extra[c] for c in own])
-        else:
-            yield b"".join(map(known.__getitem__, own))
+    """Little-endian 32-bit ids of each text."""
+    ids, ends = Encoder(path).texts(texts)
+    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+        yield ids[a:b].tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -78,18 +131,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer_path)
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            ids = batch.column("doc_id")
-            row, piece, start, length, crc = ([] for _ in range(5))
             at = 0
             while at < len(texts):
                 stop, size = at, 0
-                while stop < len(texts) and (size < 4 << 20 or stop == at):
+                while stop < len(texts) and (size < SLICE_CHARS or stop == at):
                     size += len(texts[stop])
                     stop += 1
-                for i, buffer in enumerate(encode(tokenizer_path, texts[at:stop]), at):
-                    buffer += end
+                ids, ends = encoder.texts(texts[at:stop])
+                row, piece, start, length, crc = ([] for _ in range(5))
+                begin = 0
+                for i, e in enumerate(ends.tolist(), at):
+                    buffer = ids[begin:e].tobytes() + end
+                    begin = e
                     for k, p in enumerate(range(0, len(buffer), 4 * capacity)):
                         part = buffer[p : p + 4 * capacity]
                         row.append(i)
@@ -98,10 +154,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
                 at = stop
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     df = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return df.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, piece int, start bigint, length bigint, ids_crc32 bigint")
