@@ -3,7 +3,8 @@
 Spark counts the character n-grams of every labelled training text, per language; the
 discounted probabilities are derived with DataFrame operations and kept in sorted arrays of
 packed n-gram codes. A text gets the language whose model gives the lowest cross-entropy per
-character, and is rejected when that lies beyond a limit calibrated on the training texts.
+character, and is rejected when that lies beyond a limit calibrated on labelled texts that the
+models were not fitted on.
 """
 
 from __future__ import annotations
@@ -12,16 +13,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from areaframe.llm.common import documents, write_table
+from areaframe.llm.common import documents, sized, write_table
 
 ORDER = 4
-#: Entries of the highest order up to which the arrays are broadcast (about 24 bytes each
-#: and language); beyond it the whole model drops to the next lower order.
-MODEL_ROWS = 4_000_000
+#: An n-gram that makes up less than one in this many of its language is not kept by itself: its
+#: mass goes to the lower order. All are counted; the rule is the same for every table.
+RARE = 1 << 27
+#: One labelled text in this many is held back from the models to calibrate the rejection.
+CALIBRATE = 16
+#: Characters of text, and counted n-grams, that a task holds at once.
+SLICE_CHARS, HELD_GRAMS = 1 << 20, 1 << 20
 #: Rejection: this many times the distance of median and 90th percentile above the median.
 REJECT = 8.0
 #: ... but never closer than this many bits a character above the median.
@@ -34,13 +40,14 @@ def _fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all texts in one array, and where each begins.
 
     Letters are lower-cased, each run of other characters becomes one space, and every text
-    is led by ORDER - 1 spaces and closed by one. Code points beyond 16 bits share a code.
+    is led by ORDER - 1 spaces and closed by one. Code points beyond 16 bits share the codes of
+    the private use area.
     """
     folded = [x.lower() for x in texts]
     code = np.frombuffer("\n".join(folded).encode("utf-32-le", "replace") + b"\n\0\0\0", dtype=np.uint32)
     lengths = np.fromiter((len(x) + 1 for x in folded), np.int64, len(folded))
     doc = np.repeat(np.arange(len(folded)), lengths)
-    code = np.where(_letters(code), np.minimum(code, 0xFFFF), _SPACE).astype(np.uint64)
+    code = np.where(_letters(code), np.where(code > 0xFFFF, 0xE000 + code % 0x1900, code), _SPACE).astype(np.uint64)
     code[np.cumsum(lengths) - 1] = _SPACE
     first = np.zeros(len(code), bool)
     first[np.cumsum(lengths) - lengths] = True
@@ -102,15 +109,19 @@ def count_grams(labelled: DataFrame) -> DataFrame:
 
         for batch in batches:
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 500):
+            at = 0
+            while at < len(texts):
                 by_lang: dict[str, list[str]] = {}
-                for lang, text in zip(langs[at : at + 500], texts[at : at + 500], strict=True):
-                    by_lang.setdefault(lang, []).append(text)
+                chars = 0
+                while at < len(texts) and chars < SLICE_CHARS:
+                    by_lang.setdefault(langs[at], []).append(texts[at])
+                    chars += len(texts[at])
+                    at += 1
                 for lang, some in by_lang.items():
                     gram, n = np.unique(_grams(some)[0], return_counts=True)
                     held.setdefault(lang, []).append((gram, n))
                     rows += len(gram)
-                if rows > 4_000_000:
+                if rows > HELD_GRAMS:
                     yield from flush()
                     rows = 0
         yield from flush()
@@ -167,19 +178,18 @@ def _levels(counts: DataFrame, order: int) -> list[DataFrame]:
     return levels
 
 
-def train(labelled: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) -> Model | None:
+def train(labelled: DataFrame, order: int = ORDER, rare: int = RARE) -> Model | None:
     """Interpolated Kneser-Ney over all labelled texts; None where there are none.
 
-    The discount of each order and language is n1 / (n1 + 2 n2). The gathered tables are
-    counted first; an order with more than ``model_rows`` entries is left out as a whole.
+    The discount of each order and language is n1 / (n1 + 2 n2). What reaches the driver is
+    one row for each n-gram and context of a language, without those below ``rare``.
     """
-    counts = write_table(count_grams(labelled), "lang-grams")
-    while order > 1 and counts.count() > model_rows:
-        # the last ``order - 1`` characters of each gram, with their raw counts
-        order -= 1
-        counts = write_table(counts.groupBy("lang", F.col("gram").bitwiseAND(F.lit(int(_mask(order)))).alias("gram")).agg(F.sum("n").alias("n")), "lang-grams")
+    counts = count_grams(labelled)
+    if order < ORDER:
+        counts = counts.groupBy("lang", F.col("gram").bitwiseAND(F.lit(int(_mask(order)))).alias("gram")).agg(F.sum("n").alias("n"))
+    counts = write_table(counts, "lang-grams")
     levels = _levels(counts, order)
-    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())  # one row a language
     if not langs:
         return None
     gathered = []
@@ -187,45 +197,43 @@ def train(labelled: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS)
         ones = F.sum((F.col("n") == 1).cast("long"))
         twos = F.sum((F.col("n") == 2).cast("long"))
         level = write_table(level, "lang-level")
-        discount = level.groupBy("lang").agg(F.coalesce(F.try_divide(ones, ones + 2 * twos), F.lit(0.5)).alias("d"))
-        discount = discount.withColumn("d", F.least(F.greatest("d", F.lit(0.1)), F.lit(0.95)))
+        discount = level.groupBy("lang").agg(F.coalesce(F.try_divide(ones, ones + 2 * twos), F.lit(0.5)).alias("d"), F.sum("n").alias("all"))
+        discount = write_table(discount.withColumn("d", F.least(F.greatest("d", F.lit(0.1)), F.lit(0.95))), "lang-discounts")
+        level = level.join(sized(discount, 60), "lang").withColumn("ctx", F.shiftrightunsigned("gram", _BITS) if k else F.lit(0).cast("long"))
         by = Window.partitionBy("lang", "ctx")
-        level = level.join(F.broadcast(discount), "lang").withColumn("ctx", F.shiftrightunsigned("gram", _BITS) if k else F.lit(0).cast("long"))
-        level = level.withColumn("total", F.sum("n").over(by)).withColumn("kinds", F.count(F.lit(1)).over(by))
-        gathered.append(level.select("lang", "gram", "ctx", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"), (F.col("d") * F.col("kinds") / F.col("total")).alias("gamma")).toArrow())
+        mass = F.when(F.col("n") * rare >= F.col("all"), F.col("n") - F.col("d"))
+        level = level.withColumn("total", F.sum("n").over(by)).withColumn("p", mass / F.col("total")).withColumn("gamma", 1 - F.coalesce(F.sum("p").over(by), F.lit(0.0)))
+        number = F.array_position(F.lit(langs), F.col("lang")) - 1
+        # a context without an n-gram of its own passes everything on, as one that was never seen does
+        gathered.append(level.where(F.col("p").isNotNull()).select(number.cast("smallint").alias("lang"), "gram", F.col("p").cast("float").alias("p"), F.col("gamma").cast("float").alias("gamma")).toArrow())
     return _assemble(langs, gathered)
 
 
 def _assemble(langs: list[str], gathered: list[pa.Table]) -> Model:
     """Interpolate from the lowest order up, over the union of the languages' n-grams."""
-    number = {x: i for i, x in enumerate(langs)}
     tables: list[tuple[np.ndarray, np.ndarray]] = []
     back: list[tuple[np.ndarray, np.ndarray]] = []
-    floor = np.zeros(len(langs))
+    floor = np.zeros(len(langs), np.float32)
     for k, t in enumerate(gathered):
-        lang = np.array([number[x] for x in t.column("lang").to_pylist()], np.int64)
-        gram, ctx = (t.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("gram", "ctx"))
-        p, gamma = (t.column(c).to_numpy() for c in ("p", "gamma"))
+        lang, p, gamma = (t.column(c).to_numpy() for c in ("lang", "p", "gamma"))
+        gram = t.column("gram").to_numpy().view(np.uint64)
+        ctx = gram >> np.uint64(_BITS) if k else np.zeros(len(gram), np.uint64)
         codes, at = np.unique(gram, return_inverse=True)
         contexts, ctx_at = np.unique(ctx, return_inverse=True)
-        own = np.zeros((len(codes), len(langs)))
-        own[at, lang] = p
-        weight = np.ones((len(contexts), len(langs)))  # a context that a language never saw passes all to the lower order
+        logs = np.zeros((len(codes), len(langs)), np.float32)
+        logs[at, lang] = p
+        weight = np.ones((len(contexts), len(langs)), np.float32)  # a context that a language never saw passes all to the lower order
         weight[ctx_at, lang] = gamma
         if k == 0:
             floor = weight[0] / 0x10000  # what is left is spread over all codes
-            lower = np.broadcast_to(1 / 0x10000, own.shape)
-            w = weight[0]
-        else:
-            lower = _lower(tables, back, floor, codes, k)
-            w = weight[np.searchsorted(contexts, codes >> np.uint64(_BITS))]
-        tables.append((codes, np.log2(own + w * lower).astype(np.float32)))
-        back.append((contexts, np.log2(weight).astype(np.float32)))
-    return Model(langs, tables, back, np.log2(floor).astype(np.float32))
-
-
-def _lower(tables: list, back: list, floor: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
-    return np.exp2(Model(list(range(len(floor))), tables, back, np.log2(floor).astype(np.float32)).scores(codes & _mask(k)).astype(np.float64))
+        for low in range(0, len(codes), 1 << 18):
+            some = slice(low, low + (1 << 18))
+            w = weight[np.searchsorted(contexts, codes[some] >> np.uint64(_BITS))] if k else weight[0]
+            lower = np.exp2(Model(langs, tables, back, np.log2(floor)).scores(codes[some] & _mask(k))) if k else 1 / 0x10000
+            logs[some] = np.log2(logs[some] + w * lower)
+        tables.append((codes, logs))
+        back.append((contexts, np.log2(weight)))
+    return Model(langs, tables, back, np.log2(floor))
 
 
 def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
@@ -234,7 +242,10 @@ def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
     ``und`` for a null text and one without a letter. The score is the share of the winner
     when languages are weighted by 2^(-bits) over at most 40 characters.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return _scored(docs, docs.sparkSession.sparkContext.broadcast(model), *more)
+
+
+def _scored(docs: DataFrame, shared: Broadcast, *more: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -282,24 +293,29 @@ def identify(docs: DataFrame, *more: str, reject: float = REJECT, order: int = O
 
     Learns from texts with a language whose crc32(doc_id as text) mod 4 is not 2 (a null
     id: 0). Rejected are ``und``, and texts whose bits, scaled by the square root of their
-    length, lie ``reject`` spreads and LEAST_BITS above the median of their language's training texts.
+    length, lie ``reject`` spreads and LEAST_BITS above the median of their language's texts that
+    were held back from the models (mod CALIBRATE 1), or of its training texts if it has none.
     An empty table or one without labels gives ``und`` for all.
     """
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    df = documents(docs, "lang", *more).withColumn("held_out", crc % 4 == 2)
+    df = documents(docs, "lang", *more).withColumn("held_out", crc % 4 == 2).withColumn("_back", crc % CALIBRATE == 1)
     own = [c for c in more if c not in ("text", "lang")]
-    training = df.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    model = train(training.select("lang", "text"), order)
+    labelled = df.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "_back")
+    model = train(labelled.where(~F.col("_back")), order) or train(labelled, order)
     if model is None:
         nothing = {"lang_pred": F.lit("und"), "bits": F.lit(0.0), "score": F.lit(0.0), "rejected": F.lit(True)}
         return df.select("doc_id", "held_out", *(v.alias(k) for k, v in nothing.items()), *own)
     # ``lang`` travels along for the calibration only
-    scored = write_table(score(df.select("doc_id", "held_out", "lang", "text", *own), model, "held_out", "lang", *own), "lang-scores")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = write_table(_scored(df.select("doc_id", "held_out", "_back", "lang", "text", *own), shared, "held_out", "_back", "lang", *own), "lang-scores")
+    shared.destroy()
     known = scored.where(~F.col("held_out") & (F.col("lang") == F.col("lang_pred")))
-    middle = known.groupBy("lang_pred").agg(F.percentile_approx("bits", 0.5, 10000).alias("mid"))
+    # of each language's texts, those held back; one row a language
+    which = known.groupBy("lang_pred").agg(F.max("_back").alias("_which"), F.percentile_approx("bits", 0.5, 10000).alias("_all"), F.percentile_approx(F.when(F.col("_back"), F.col("bits")), 0.5, 10000).alias("_own"))
+    middle = sized(write_table(which.select("lang_pred", "_which", F.coalesce("_own", "_all").alias("mid")), "lang-middles"), 60)
     spread = (F.col("bits") - F.col("mid")) * F.sqrt(F.least("letters", F.lit(400)))
-    limits = known.join(F.broadcast(middle), "lang_pred").groupBy("lang_pred", "mid").agg(F.percentile_approx(spread, F.array(F.lit(0.5), F.lit(0.9)), 10000).alias("q"))
+    limits = known.join(middle, "lang_pred").where(F.col("_back") == F.col("_which")).groupBy("lang_pred", "mid").agg(F.percentile_approx(spread, F.array(F.lit(0.5), F.lit(0.9)), 10000).alias("q"))
     limits = limits.select("lang_pred", "mid", (F.col("q")[0] + reject * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.5))).alias("most"))
-    out = scored.join(F.broadcast(limits), "lang_pred", "left")  # a row for each language
+    out = scored.join(sized(write_table(limits, "lang-limits"), 60), "lang_pred", "left")
     far = (F.col("lang_pred") == "und") | F.coalesce((spread > F.col("most")) & (F.col("bits") > F.col("mid") + LEAST_BITS), F.lit(False))
     return out.select("doc_id", "held_out", "lang_pred", "bits", "score", far.alias("rejected"), *own)
