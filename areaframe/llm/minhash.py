@@ -3,8 +3,12 @@
 A signature has CHUNKS * WIDTH symbols of 16 bits. Two signatures that differ in fewer than
 CHUNKS * (ERRORS + 1) symbols differ in at most ERRORS symbols of some chunk (pigeonhole), so
 they share a key of that chunk with ERRORS symbols masked: every pair under that signature
-distance becomes a candidate. At a similarity of 0.85 a pair misses all chunks with a
-probability of about 3e-6. Candidates are confirmed on the full shingle sets.
+distance becomes a candidate. A pair at the threshold misses all chunks with a probability of
+about 3e-6 at a similarity of 0.85 and 2e-4 at 0.80. Candidates are confirmed on the full
+shingle sets.
+
+The pairs within a bucket are never made. Each class meets the bucket's pivot; buckets whose
+other members are then still in several components are settled by what their sets differ in.
 """
 
 from __future__ import annotations
@@ -15,8 +19,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,16 +32,17 @@ SHINGLE = 5
 CHUNKS, WIDTH, ERRORS = 12, 8, 1
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Two bits of each symbol make a short signature; at a similarity of 0.85 two of these differ
-#: in 14 of 192 bits with a spread of 4.4, so a pair beyond this distance is no link.
-FAR_BITS = 40
+#: The chunks are laid out for similarities from this one on.
+LEAST_PERCENT = 80
+#: Characters of text whose words are hashed at once.
+SLICE_CHARS = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @functools.cache
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
-    return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    return rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,66 +51,69 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """Hashes of words; a worker remembers the first ones it meets."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000 and len(word) < 40:
-            self[word] = h
-        return h
-
-
-_WORDS = _Words()
+def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z lower-cased, and where each text's words end."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    flat = pc.list_flatten(split).dictionary_encode()
+    names = flat.dictionary.cast(pa.large_binary()).to_pylist()
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+    there = np.fromiter(map(bool, names), bool, len(names))  # white space at an end splits off an empty word
+    at = flat.indices.to_numpy()
+    held = there[at]
+    return own[at[held]], np.append(0, np.cumsum(held))[np.cumsum(pc.list_value_length(split).to_numpy())]
+
+
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles; of the whole sequence if it is shorter."""
+    at = 0
+    while at < len(texts):
+        end, chars = at, 0
+        while end < len(texts) and (chars < SLICE_CHARS or end == at):
+            chars += len(texts[end] or "")
+            end += 1
+        words, ends = _word_hashes([x or "" for x in texts[at:end]])
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            if a == b:
+                yield np.zeros(0, np.uint64)
+                continue
+            n = max(1, b - a - size + 1)
+            out = np.full(n, min(b - a, size), np.uint64)
+            for k in range(min(size, b - a)):
+                out = _mix(out * _MIX + words[a + k : a + k + n])
+            yield np.unique(out)
+        at = end
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; of the whole sequence if it is shorter."""
-    words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - size + 1)
-    out = np.full(n, len(words) if len(words) < size else size, np.uint64)
-    for k in range(min(size, len(h))):
-        out = _mix(out * _MIX + h[k : k + n])
-    return np.unique(out)
+    return next(shingle_sets([text], size))
 
 
 def signature(s: np.ndarray, symbols: int = CHUNKS * WIDTH) -> np.ndarray:
     """16 bits of the least value under each permutation."""
     a, b = _permutations(symbols)
-    least = np.full(symbols, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 512):
-        np.minimum(least, (s[at : at + 512, None] * a + b).min(axis=0), out=least)
-    return (_mix(least) >> np.uint64(48)).astype("<u2")
-
-
-def short_bits(sig: np.ndarray) -> np.ndarray:
-    """The two low bits of each symbol as three 64-bit numbers."""
-    low = np.unpackbits((sig & 3).astype(np.uint8)[:, None], axis=1)[:, 6:]
-    return np.packbits(low.ravel()).view(np.int64)
+    low = (s >> np.uint64(32)).astype(np.uint32)
+    least = np.full(symbols, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(low), 512):
+        np.minimum(least, (low[at : at + 512, None] * a + b).min(axis=0), out=least)
+    return (_mix(least.astype(np.uint64) + np.uint64(1)) >> np.uint64(48)).astype("<u2")
 
 
 def _signed(documents_: DataFrame) -> DataFrame:
-    """Row key, n (set size), f1 and f2 (fingerprint of the set), its signature and short bits."""
+    """Row key, n (set size), f1 and f2 (fingerprint of the set) and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, f1, f2, sig, bits = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text)
+            n, f1, f2, sig = [], [], [], []
+            for s in shingle_sets(batch.column("text").to_pylist()):
                 n.append(len(s))
                 f1.append(int(_mix(s).sum(dtype=np.uint64).view(np.int64)))
                 f2.append(int(_mix(s ^ _MIX).sum(dtype=np.uint64).view(np.int64)))
-                own = signature(s)
-                sig.append(own.tobytes() if len(s) else b"")
-                bits.append(short_bits(own).tolist())
+                sig.append(signature(s).tobytes() if len(s) else b"")
             numbers = [pa.array(x, pa.int64()) for x in (n, f1, f2)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_t"), *numbers, pa.array(sig, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "_t", "n", "f1", "f2", "sig", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_t"), *numbers, pa.array(sig, pa.binary())], ["doc_id", "_t", "n", "f1", "f2", "sig"])
 
     kind = dict(documents_.dtypes)["doc_id"]
-    return documents_.mapInArrow(run, f"doc_id {kind}, _t bigint, n bigint, f1 bigint, f2 bigint, sig binary, bits array<bigint>")
+    return documents_.mapInArrow(run, f"doc_id {kind}, _t bigint, n bigint, f1 bigint, f2 bigint, sig binary")
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
@@ -134,6 +143,15 @@ def _index(classes: DataFrame) -> DataFrame:
     return classes.where(F.col("n") > 0).select("node", "n", "sig").mapInArrow(run, "key bigint, node bigint, n bigint")
 
 
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """node and text of the classes in ``nodes``, written as a table; no other texts travel."""
+    wanted = classes.hint("merge").join(nodes, "node", "left_semi").select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep._t").alias("_t"))
+    w = sized(write_table(wanted, f"{name}-nodes"), 60).alias("w")
+    d = docs.alias("d")
+    texts = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d._t") == F.col("w._t"))).groupBy("node").agg(F.first("text").alias("text"))
+    return write_table(texts, f"{name}-texts")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough, as links (u, v).
 
@@ -141,12 +159,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
     is joined last and its set is built once for a run of equal b.
     """
     pairs = write_table(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = write_table(classes.hint("merge").join(wanted, "node", "left_semi").select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep._t").alias("_t")), "pair-nodes")
-    w = sized(wanted, 60).alias("w")
-    d = docs.alias("d")
-    texts = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d._t") == F.col("w._t"))).groupBy("node").agg(F.first("text").alias("text"))
-    texts = write_table(texts, "pair-texts")
+    texts = _texts(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), classes, docs, "pair")
     both = pairs.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -155,10 +168,9 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
-            for i in range(batch.num_rows):
+            for i, a_set in enumerate(shingle_sets(batch.column("text_a").to_pylist())):
                 if b[i] != held:
                     held, b_set = b[i], shingles(batch.column("text_b")[i].as_py())
-                a_set = shingles(batch.column("text_a")[i].as_py())
                 both = len(np.intersect1d(a_set, b_set, assume_unique=True))
                 if 100 * both >= percent * (len(a_set) + len(b_set) - both):
                     keep.append(i)
@@ -167,7 +179,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
     return write_table(both.mapInArrow(run, "u bigint, v bigint"), "links")
 
 
-def _similar_sizes(a: str, b: str, percent: int):
+def _similar_sizes(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(F.col(a), F.col(b))) >= (percent * F.greatest(F.col(a), F.col(b)))
 
 
@@ -176,27 +188,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Equal sets form one class. In every bucket of the index each class is first compared
     with one pivot, the class with the most company; that joins groups of copies with one
-    comparison a class. Only classes that are still apart are then compared further, by their
-    rarest shingles. Texts without words are linked with nothing. Rows with one id and
-    different texts are documents of their own that share the id; a null id stays null.
+    comparison a class. Buckets in which classes other than the pivot are still apart are
+    settled by ``_still_apart``. Texts without words are linked with nothing. Rows with one id
+    and different texts are documents of their own that share the id; a null id stays null.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the index is laid out for {LEAST_PERCENT} percent and more")
     d = documents(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_t", text_key(F.col("text")))
     signed = write_table(_signed(d), "signed")
     key = ["n", "f1", "f2"]
-    classes = signed.where(F.col("n") > 0).groupBy(*key).agg(F.min(F.struct("doc_id", "_t")).alias("rep"), F.first("sig").alias("sig"), F.first("bits").alias("bits"), F.min("doc_id").alias("low"))
+    classes = signed.where(F.col("n") > 0).groupBy(*key).agg(F.min(F.struct("doc_id", "_t")).alias("rep"), F.first("sig").alias("sig"), F.min("doc_id").alias("low"))
     classes = write_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # ids are fixed by the written table
     index = write_table(_shared_keys(_index(classes)), "buckets")
 
     company = index.groupBy("node").agg(F.sum("size").alias("company"))
     members = index.hint("merge").join(company, "node")
     pivots = members.groupBy("key").agg(F.max(F.struct("company", "node", "n")).alias("p"))
-    first = members.hint("merge").join(pivots, "key").where((F.col("node") != F.col("p.node")) & _similar_sizes("n", "p.n", percent))
-    first = first.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
+    met = members.hint("merge").join(pivots, "key").where(F.col("node") != F.col("p.node"))
+    met = write_table(met.select("key", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "bucket-rows")
+    first = met.where(_similar_sizes("n", "pivot_n", percent)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     links = _confirmed(first, classes, d, percent)
     group = write_table(components(links), "groups")
 
-    rest = _still_apart(index, group, classes, d, percent)
-    more = _confirmed(rest, classes, d, percent)
+    more = _confirmed(_still_apart(met.select("key", "node"), group, classes, d, percent), classes, d, percent)
     group = write_table(components(links.unionByName(more)), "groups")
 
     named = classes.hint("merge").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -214,36 +228,52 @@ def _shared_keys(index: DataFrame) -> DataFrame:
     return index.join(sized(sizes, 16), "key")
 
 
-def _still_apart(index: DataFrame, group: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket with another component and may be linked.
+def _still_apart(rows: DataFrame, group: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that cover every link between the components of a bucket, from its ``rows`` (key, node).
 
-    Many texts of one origin can be near each other without any link, so their pairs are not
-    made. Two sets that are similar enough share one of the rarest shingles of both, namely
-    of the first n - ceil(percent n) + 1 by frequency among these classes; a set with enough
-    shingles of its own meets nobody.
+    Buckets that share classes form a cluster. Its reference is the set of shingles that more
+    than half of its classes hold, and each class is known by its difference from that: D, of d
+    shingles. With g = (100 + p) d - (100 - p) n, two classes are linked exactly if
+    g_x + g_y <= 2 (100 + p) |D_x & D_y|. So classes with g_x + g_y <= 0 are linked with the one
+    of least g, and every other link shares a shingle of D. Taking D by frequency, rarest
+    first, the first shared one lies early enough to leave room for the rest of the overlap;
+    texts with changes of their own meet nobody.
     """
-    labelled = index.select("key", "node").hint("merge").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    nodes = write_table(labelled.hint("merge").join(mixed, "key", "left_semi").select("node", "root").distinct(), "apart")
-    info = classes.hint("merge").join(nodes, "node").select("node", "root", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep._t").alias("_t"), *(F.col("bits")[i].alias(f"b{i}") for i in range(3)))
-    info = write_table(info, "apart-classes")
-    w, d = sized(info.select("node", "doc_id", "_t"), 60).alias("w"), docs.alias("d")
-    texts = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d._t") == F.col("w._t"))).select("w.node", "d.text")
+    labelled = rows.hint("merge").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("node").alias("least")).where("r1 <> r2")
+    apart = write_table(labelled.hint("merge").join(mixed.select("key", "least"), "key").select("node", "root", "least").distinct(), "apart")
+    cluster = components(apart.select(F.col("node").alias("u"), F.col("least").alias("v"))).withColumnRenamed("root", "cluster")
+    nodes = write_table(apart.select("node", "root").distinct().hint("merge").join(cluster, "node"), "apart-nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
-                s = shingles(text.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node, np.int64)), pa.array(s.view(np.int64))], ["node", "s"])
-
-    # repeated rows of one text would count twice
-    own = write_table(texts.mapInArrow(run, "node bigint, s bigint"), "apart-shingles").distinct()
-    often = own.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    rows = own.hint("merge").join(often, "s").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "s")))
-    rows = rows.hint("merge").join(info.drop("doc_id", "_t"), "node").where((F.col("df") > 1) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
-    rows = write_table(rows.drop("df", "rank"), "apart-prefixes")
-    a = rows.select("s", *(F.col(c).alias(f"a_{c}") for c in ("node", "root", "n", "b0", "b1", "b2")))
-    b = rows.select("s", *(F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", "b0", "b1", "b2")))
-    near = F.expr(f"bit_count(a_b0 ^ b_b0) + bit_count(a_b1 ^ b_b1) + bit_count(a_b2 ^ b_b2) <= {FAR_BITS}")
-    met = a.hint("merge").join(b, "s").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _similar_sizes("a_n", "b_n", percent) & near)
-    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = list(shingle_sets(part.column("text").to_pylist()))
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                flat = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "own"])
+
+    own = _texts(nodes.select("node"), classes, docs, "apart").mapInArrow(run, "node bigint, own array<bigint>")
+    own = write_table(own.hint("merge").join(nodes, "node"), "apart-sets")
+    sizes = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    often = own.select("cluster", F.explode("own").alias("e")).groupBy("cluster", "e").agg(F.count(F.lit(1)).alias("df"))
+    # at most twice as many as a class of the cluster has on average
+    reference = often.hint("merge").join(sizes, "cluster").where(2 * F.col("df") > F.col("size")).groupBy("cluster").agg(F.collect_list("e").alias("ref"))
+    delta = own.hint("merge").join(reference, "cluster", "left").withColumn("ref", F.coalesce("ref", F.array().cast("array<bigint>")))
+    delta = delta.select("cluster", "node", "root", F.size("own").cast("long").alias("n"), F.concat(F.array_except("own", "ref"), F.array_except("ref", "own")).alias("delta")).withColumn("d", F.size("delta").cast("long"))
+    delta = write_table(delta.withColumn("gap", (100 + percent) * F.col("d") - (100 - percent) * F.col("n")), "apart-deltas")
+    centre = delta.groupBy("cluster").agg(F.min(F.struct("gap", "node", "root")).alias("c"))
+    delta = delta.hint("merge").join(centre, "cluster")
+    sure = delta.where((F.col("gap") + F.col("c.gap") <= 0) & (F.col("root") != F.col("c.root"))).select(F.col("node").alias("a"), F.col("c.node").alias("b"))
+
+    least = F.greatest(F.lit(1), F.ceil((F.col("gap") + F.col("c.gap")) / (2 * (100 + percent))), F.col("d") - F.floor((100 - percent) * F.col("n") / percent))
+    parts = delta.select("cluster", "node", "root", "n", "d", "gap", least.alias("least"), F.explode("delta").alias("e"))
+    df = parts.groupBy("cluster", "e").agg(F.count(F.lit(1)).alias("df"))
+    parts = parts.hint("merge").join(df, ["cluster", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "e")))
+    parts = parts.where((F.col("df") > 1) & (F.col("rank") <= F.col("d") - F.col("least") + 1)).withColumn("room", F.col("d") - F.col("rank") + 1)
+    parts = write_table(parts.select("cluster", "e", "node", "root", "n", "gap", "room"), "apart-prefixes")
+    a, b = (parts.select("cluster", "e", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "n", "gap", "room"))) for side in "ab")
+    fits = F.col("a_gap") + F.col("b_gap") <= 2 * (100 + percent) * F.least("a_room", "b_room")
+    shared = a.hint("merge").join(b, ["cluster", "e"]).where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _similar_sizes("a_n", "b_n", percent) & fits)
+    return sure.unionByName(shared.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))).distinct()
