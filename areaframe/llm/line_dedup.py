@@ -10,6 +10,7 @@ deleted from the later document.
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from areaframe.llm.common import documents, same_row, sized, text_key, write_tab
 
 #: Words that an aligned block needs before it is deleted.
 MIN_WORDS = 10
+#: White space of ASCII, as in the expressions that count lines.
+_BLANK = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -36,7 +39,7 @@ def line_table(docs: DataFrame) -> DataFrame:
             for at, text in enumerate(batch.column("text").to_pylist()):
                 k = 0
                 for i, line in enumerate(text.split("\n")):
-                    if parts := line.split():
+                    if parts := [x for x in _BLANK.split(line) if x]:
                         row.append(at)
                         for c, v in zip(out, (k, i, *_halves(xxhash.xxh3_128_intdigest(" ".join(parts).encode())), len(parts)), strict=True):
                             c.append(v)

@@ -6,6 +6,8 @@ import struct
 import zlib
 from collections import Counter
 
+import pytest
+
 from areaframe.llm import components, line_dedup, minhash, packing, queries, substring_dedup
 from tests.llm.conftest import SCHEMA, by_id
 
@@ -247,3 +249,41 @@ def test_substring_dedup_of_very_frequent_places(spark, monkeypatch):
     r = random.Random(6)
     line = "".join(r.choice("abcdefgh ") for _ in range(130))
     check_cut(spark, [(i, "".join(r.choice("xyzw") for _ in range(40)) + line[r.randint(0, 30) :] + str(i)) for i in range(25)])
+
+
+def test_near_duplicates_in_a_hot_group_of_unlinked_texts(spark):
+    """Copies of one text, most of them too far from each other, against brute force over all pairs."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    origin = [r.choice(words) for _ in range(120)]
+    data = []
+    for i in range(150):
+        t = list(origin)
+        for at in r.sample(range(120), r.randint(0, 9)):
+            t[at] = r.choice(words)
+        data.append((i, " ".join(t), "en", "s", 0))
+    sets = [set(minhash.shingles(t[1]).tolist()) for t in data]
+    root = list(range(len(data)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(data)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got == {i: find(i) for i in range(len(data))}
+    assert len(set(got.values())) > 20
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(spark.createDataFrame(data[:2], SCHEMA), 50)
+
+
+def test_line_dedup_takes_other_blanks_for_words(spark):
+    long = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, f"{long}\n\u00a0", "en", "s", 0), (2, f"{long}\n\u00a0\nown", "en", "s", 0)], SCHEMA)
+    got = by_id(line_dedup.dedup(df))
+    assert got[2][0]["text"] == "own" and got[2][0]["n_lines"] == 3 and got[2][0]["n_removed"] == 2
