@@ -98,22 +98,31 @@ def entity_contexts(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
 def disclosing_terms(docs: DataFrame, context: int = CONTEXT, min_support: int = MIN_SUPPORT, alpha: float = ALPHA) -> DataFrame:
     """Terms that disclose some entity: term, pmi, content (of the entity), action.
 
-    pmi = log2(N * n(entity, term) / (n(entity) * n(term))) over documents; the entity's
-    content is log2(N / n(entity)). A term discloses it from ``alpha`` of that on, and is
-    removed rather than generalised when it reaches all of it. Counts cover all documents;
-    repeated rows of one (id, text) count once near entities and each time elsewhere.
+    pmi = log2(N * n(entity, term) / (n(entity) * n(term))), where all four count distinct
+    documents (id, text) that hold the one, the other or both anywhere; the entity's content is
+    log2(N / n(entity)). Candidates are terms within ``context`` words of the entity in
+    ``min_support`` documents. A term discloses it from ``alpha`` of the content on, and is removed
+    rather than generalised when it reaches all of it.
     """
-    n_docs = docs.count()
+    n_docs = documents(docs).where(F.col("text").isNotNull()).select("doc_id", text_key(F.col("text"))).distinct().count()
     near = write_table(entity_contexts(docs, context), "pii-contexts")
-    entities = near.select("doc_id", "_t", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    pairs = near.where(F.col("term").isNotNull()).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_support)
-    # a term is in no fewer documents than it is near entities in, which bounds its pmi from above
+    holders = near.select("doc_id", "_t", "entity").distinct()
+    entities = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    pairs = near.where(F.col("term").isNotNull()).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_near")).where(F.col("n_near") >= min_support)
+    # a term is in no fewer documents than it is near entities in, and with the entity in no more
+    # than that is in: both bound its pmi from above
     close = near.where(F.col("term").isNotNull()).select("doc_id", "_t", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_close"))
-    pairs = pairs.hint("merge").join(entities, "entity").join(close.hint("merge"), "term").where(_pmi(n_docs, "n_close") >= alpha * _content(n_docs) - 1e-9)
-    pairs = write_table(pairs, "pii-pairs")
+    pairs = pairs.hint("merge").join(entities, "entity").join(close.hint("merge"), "term").where(F.log2(F.lit(float(n_docs)) / F.col("n_close")) >= alpha * _content(n_docs) - 1e-9)
+    pairs = write_table(pairs.select("entity", "term", "n_entity"), "pii-pairs")
     wanted = write_table(pairs.select("term").distinct(), "pii-terms")
-    everywhere = _document_terms(docs).join(sized(wanted, 60), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    scored = pairs.hint("merge").join(everywhere, "term")
+    held = write_table(_document_terms(docs).join(sized(wanted, 60), "term", "left_semi").distinct(), "pii-term-documents")
+    everywhere = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # only rows of candidate pairs leave the join: term and entity are looked up by one key
+    both = held.hint("merge").join(pairs.select("term", "entity"), "term").alias("h")
+    h = holders.alias("e")
+    both = both.join(h.hint("merge"), F.col("h.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("h._t") == F.col("e._t")) & (F.col("h.entity") == F.col("e.entity")), "left_semi")
+    both = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    scored = pairs.hint("merge").join(both, ["entity", "term"]).join(everywhere.hint("merge"), "term")
     scored = scored.withColumn("pmi", _pmi(n_docs, "n_term")).withColumn("content", _content(n_docs)).where((F.col("content") > 0) & (F.col("pmi") >= alpha * F.col("content")))
     # an entity that every document holds has no content; a term tied to several keeps its strongest tie
     best = scored.groupBy("term").agg(F.max(F.struct(F.col("pmi") / F.col("content"), "pmi", "content")).alias("b"))
