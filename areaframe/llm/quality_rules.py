@@ -17,8 +17,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 #: A line is boilerplate when more than this many documents of its host hold it ...
 MIN_DOCS = 5
-#: ... and more than this share of the host's documents.
+#: ... and more than this share of the host's documents, or more than this many whatever its size.
 MIN_SHARE = 0.02
+MOST_DOCS = 1000
 #: A document is depleted when the removed lines hold more than this share of its words.
 DEPLETED = 0.5
 
@@ -59,27 +60,40 @@ def _lines(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "_t", "host", "pos", F.xxhash64("_v").alias("line"), F.length("_v").alias("chars"), F.size(F.split("_v", " ")).alias("line_words"))
 
 
-def line_limits(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """Lines above their host's limit: host, line, chars, n_docs. Repeated rows count as documents.
-
-    A line counts once for each document; the count is pre-aggregated before the
-    shuffle, so that a line in a third of all rows costs one row a task.
-    """
-    df = documents(docs, "source")
-    hosts = df.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
+def _normal_lines(df: DataFrame) -> DataFrame:
+    """host, line, chars, n: the distinct normalised lines of each row (host, text, n)."""
     normal = F.expr("array_distinct(transform(split(text, '\\n', -1), x -> trim(lower(regexp_replace(x, '[ \\t\\x0B\\f\\r]+', ' ')))))")
-    lines = df.select(F.coalesce("source", F.lit("")).alias("host"), F.explode(normal).alias("_v")).where("_v <> ''")
-    lines = lines.groupBy("host", F.xxhash64("_v").alias("line"), F.length("_v").alias("chars")).agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
-    return lines.hint("merge").join(hosts, "host").where(F.col("n_docs") > min_share * F.col("host_docs")).drop("host_docs")
+    lines = df.select("host", "n", F.explode(normal).alias("_v")).where("_v <> ''")
+    return lines.select("host", F.xxhash64("_v").alias("line"), F.length("_v").alias("chars"), "n")
 
 
-def assess(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, depleted: float = DEPLETED) -> DataFrame:
+def line_limits(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
+    """Lines above their host's limit: host, line, chars, n_docs (distinct documents: id and text).
+
+    The count is pre-aggregated before the shuffle, so that a line in a third of all rows costs
+    one row a task. Repeated rows are found by their keys, and counted off again.
+    """
+    df = documents(docs, "source").select("doc_id", F.coalesce("source", F.lit("")).alias("host"), "text", text_key(F.col("text")).alias("_t"))
+    copies = df.groupBy("doc_id", "_t", "host").agg(F.count(F.lit(1)).alias("c"))
+    copies = write_table(copies, "line-documents")
+    hosts = sized(write_table(copies.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")), "line-hosts"), 60)
+    again = sized(write_table(copies.where(F.col("c") > 1), "line-repeats"), 60).alias("r")
+    d = df.alias("d")
+    off = d.join(again, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d._t") == F.col("r._t")) & (F.col("d.host") == F.col("r.host")))
+    off = off.groupBy("d.doc_id", "d._t", "d.host").agg(F.first("d.text").alias("text"), (1 - F.first("r.c")).alias("n")).select("host", "text", "n")
+    lines = _normal_lines(df.select("host", "text", F.lit(1).cast("long").alias("n"))).unionByName(_normal_lines(off))
+    lines = lines.groupBy("host", "line", "chars").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") > min_docs)
+    over = (F.col("n_docs") > min_share * F.col("host_docs")) | (F.col("n_docs") > most_docs)
+    return lines.join(hosts, "host").where(over).drop("host_docs")
+
+
+def assess(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, depleted: float = DEPLETED, most_docs: int = MOST_DOCS) -> DataFrame:
     """One row per input row: the counts, base_failed, removed_words and kept.
 
     ``kept`` is false for a document that fails the base rules or that loses more than
     ``depleted`` of its words with the boilerplate lines.
     """
-    over = write_table(line_limits(docs, min_docs, min_share), "line-limits")
+    over = write_table(line_limits(docs, min_docs, min_share, most_docs), "line-limits")
     hits = _lines(docs).join(sized(over, 40), ["host", "line", "chars"])
     # a set, so that repeated rows of one document do not add up
     hits = hits.groupBy("doc_id", "_t", F.col("host").alias("_host")).agg(F.collect_set(F.struct("pos", "line_words")).alias("_cut"))
@@ -91,9 +105,9 @@ def assess(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHA
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= depleted * F.col("n_words")))
 
 
-def remove_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def remove_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
     """doc_id, source and the text without the lines that are above their host's limit."""
-    over = write_table(line_limits(docs, min_docs, min_share), "line-limits")
+    over = write_table(line_limits(docs, min_docs, min_share, most_docs), "line-limits")
     hits = _lines(docs).join(sized(over, 40), ["host", "line", "chars"])
     hits = hits.groupBy("doc_id", "_t", F.col("host").alias("_host")).agg(F.collect_set("pos").alias("_cut"))
     df = documents(docs, "source").withColumn("_t", text_key(F.coalesce("text", F.lit(""))))

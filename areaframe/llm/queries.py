@@ -95,8 +95,8 @@ w AS (SELECT doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, l
   list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(lower(regexp_replace(x, '[ \t\x0B\f\r]+', ' ', 'g')))), lambda x: x <> '') AS nl FROM d),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM w, range(1, len(w) - 1) r(i)),
 rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g), range(3) r(o) WHERE c > 1 GROUP BY 1),
-hosts AS (SELECT host, count(*) AS n FROM d GROUP BY 1),
-lim AS (SELECT host, v FROM (SELECT host, unnest(list_distinct(nl)) AS v FROM w) JOIN hosts USING (host) GROUP BY host, v, n HAVING count(*) > 5 AND count(*) > 0.02 * n),
+hosts AS (SELECT host, count(*) AS n FROM (SELECT DISTINCT doc_id, host, t FROM d) GROUP BY 1),
+lim AS (SELECT host, v FROM (SELECT host, unnest(list_distinct(nl)) AS v FROM (SELECT DISTINCT doc_id, host, t, nl FROM w)) JOIN hosts USING (host) GROUP BY host, v, n HAVING count(*) > 5 AND (count(*) > 0.02 * n OR count(*) > 1000)),
 cut AS (SELECT doc_id, sum(len(string_split(v, ' '))) AS n FROM (SELECT doc_id, host, unnest(nl) AS v FROM w) JOIN lim USING (host, v) GROUP BY 1),
 r AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(cut.n, 0) AS BIGINT) AS removed_words

@@ -173,3 +173,24 @@ def test_proximity_matches(spark):
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
     got = {(r["doc_id"], r["kind"]) for r in decontaminate.matches(df, bench).collect()}
     assert {(1, "aligned"), (1, "near"), (2, "near")} <= got
+
+
+def test_quality_counts_distinct_documents(spark):
+    text = "\n".join(" ".join(f"l{i}w{k}" for k in range(15)) for i in range(10))
+    own = lambda i: " ".join(f"o{i}x{k}" for k in range(60))
+    data = [(1, text, "en", "a", 0)] * 8 + [(i, own(i), "en", "a", 0) for i in range(10, 20)]
+    got = by_id(quality_rules.assess(spark.createDataFrame(data, SCHEMA)))
+    assert all(r["removed_words"] == 0 and r["kept"] for r in got[1]) and len(got[1]) == 8
+    # the absolute limit holds on a host of any size
+    shared = [(i, own(i) + "\n" + " ".join(["zz"] * 80), "en", "b", 0) for i in range(8)] + [(100 + i, own(i), "en", "b", 0) for i in range(400)]
+    df = spark.createDataFrame(shared, SCHEMA)
+    assert by_id(quality_rules.assess(df, min_share=0.1))[0][0]["removed_words"] == 0
+    assert by_id(quality_rules.assess(df, min_share=0.1, most_docs=7))[0][0]["removed_words"] == 80
+
+
+def test_pii_counts_documents_and_not_rows(spark):
+    text = lambda i: f"The quick report number {i} says that Zorblax wrote from zb@corp.example.com about the usual things" if i < 6 else f"The quick report number {i} says that somebody wrote about the usual things"
+    data = [(i, text(i), "en", "s", 0) for i in range(60)]
+    once = {tuple(r) for r in pii.disclosing_terms(spark.createDataFrame(data, SCHEMA)).collect()}
+    twice = {tuple(r) for r in pii.disclosing_terms(spark.createDataFrame(data + data[:3] * 4 + data[30:40], SCHEMA)).collect()}
+    assert once == twice and "zorblax" in {r[0] for r in once}
