@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaframe.functions import geometry as G
-from areaframe.operators.cells import sized, with_cells
+from areaframe.operators.cells import cell_size, covering, polygon_cells, sized, with_cells
+from areaframe.sources.workspace import written
 
 #: Metres by which an accepted distance may exceed the radius.
 BAND = 0.01
+#: Share by which a distance on the mean sphere may differ from the ellipsoid's (0.56 % at most).
+SPHERE = 0.01
 _A, _F = 6378137.0, 1 / 298.257223563
 _B = _A * (1 - _F)
 #: The least radius of curvature, so that no envelope is too small.
@@ -64,41 +66,66 @@ def distance(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndar
     return _B * big_a * (s - ds)
 
 
-def nearest(p: pd.DataFrame) -> np.ndarray:
+def _haversine(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
+    """Metres on a sphere of the mean radius."""
+    p1, p2 = np.radians(lat1), np.radians(lat2)
+    a = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+    return 2 * (2 * _A + _B) / 3 * np.arcsin(np.sqrt(np.minimum(a, 1)))
+
+
+def nearest(p: pd.DataFrame, metric=distance) -> np.ndarray:
     """Least distance in metres from (x, y) to each straight lon/lat edge, by narrowing an interval."""
-    low, high = np.zeros(len(p)), np.ones(len(p))
-    at = lambda t: distance(p.x.to_numpy(), p.y.to_numpy(), (p.ax + t * (p.bx - p.ax)).to_numpy(), (p.ay + t * (p.by - p.ay)).to_numpy())
+    x, y, ax, ay, bx, by = (p[c].to_numpy() for c in ("x", "y", "ax", "ay", "bx", "by"))
+    at = lambda t: metric(x, y, ax + t * (bx - ax), ay + t * (by - ay))
     g = (np.sqrt(5) - 1) / 2
-    for _ in range(48):
-        a, b = high - g * (high - low), low + g * (high - low)
-        nearer = at(a) < at(b)
+    low, high = np.zeros(len(p)), np.ones(len(p))
+    a, b = high - g * (high - low), low + g * (high - low)
+    da, db = at(a), at(b)
+    for _ in range(48):  # one of the two inner places is kept at each step
+        nearer = da < db
         high, low = np.where(nearer, b, high), np.where(nearer, low, a)
+        new = np.where(nearer, high - g * (high - low), low + g * (high - low))
+        dn = at(new)
+        a, b, da, db = np.where(nearer, new, b), np.where(nearer, a, new), np.where(nearer, dn, db), np.where(nearer, da, dn)
     return np.minimum.reduce([at((low + high) / 2), at(np.zeros(len(p))), at(np.ones(len(p)))])
 
 
-def circle_hits(circles: DataFrame, geometry: DataFrame, size: float = 2.0) -> DataFrame:
+def within(p: pd.DataFrame) -> np.ndarray:
+    """Whether each edge comes within radius_m and BAND. The sphere settles all but a few: its
+    distances are within SPHERE of the ellipsoid's."""
+    near, radius = nearest(p, _haversine), p.radius_m.to_numpy()
+    out = near * (1 + SPHERE) <= radius
+    close = ~out & (near * (1 - SPHERE) <= radius + BAND)
+    out[close] = nearest(p[close]) <= radius[close] + BAND
+    return out
+
+
+def circle_hits(circles: DataFrame, geometry: DataFrame) -> DataFrame:
     """circle_id, area_id, role: geometries that hold the centre or come within the radius.
 
-    Cells of the envelopes find the geometries, and only edges whose box meets the envelope
-    reach the NumPy kernel; distances up to BAND beyond the radius count as within.
+    Cells find the geometries that hold a centre and, by the envelopes, the edges that may be
+    near; only edges whose box meets the envelope reach the NumPy kernel. Distances up to BAND
+    beyond the radius count as within.
     """
-    g = geometry.select("area_id", "role", G.edges("rings").alias("edges"), *(c for c in G.bbox("rings")))
-    gc = with_cells(g.select("area_id", "role", "edges", "west", "south", "east", "north"), size).select("cx", "cy", "area_id", "role", "edges", *(F.col(c).alias(f"g_{c}") for c in ("west", "south", "east", "north")))
+    size = cell_size(geometry)
+    cells = written(polygon_cells(geometry, size), "cells")
+    key = ["circle_id", "area_id", "role"]
+    inside = covering(circles, cells, "circle_id", size=size)
+    # an edge is met in the first cell that its box and the envelope share
+    e = cells.select("area_id", "role", "cx", "cy", F.explode("edges").alias("e")).select("area_id", "role", "cx", "cy", "e.*")
     cc = with_cells(envelopes(circles), size)
-    met = cc.join(sized(gc), ["cx", "cy"]).where("g_west <= east AND west <= g_east AND g_south <= north AND south <= g_north")
-    met = met.dropDuplicates(["circle_id", "area_id", "role", "west"])
-    inside = met.where(G.covers("edges", "x", "y")).select("circle_id", "area_id", "role")
-    e = met.where(~G.covers("edges", "x", "y")).select("circle_id", "area_id", "role", "x", "y", "radius_m", "west", "south", "east", "north", F.explode("edges").alias("e"))
-    e = e.where("least(e.ax, e.bx) <= east AND west <= greatest(e.ax, e.bx) AND least(e.ay, e.by) <= north AND south <= greatest(e.ay, e.by)")
-    e = e.select("circle_id", "area_id", "role", "x", "y", "radius_m", "e.ax", "e.ay", "e.bx", "e.by")
+    met = cc.join(sized(written(e, "cell-edges")), ["cx", "cy"])
+    met = met.where("least(ax, bx) <= east AND west <= greatest(ax, bx) AND least(ay, by) <= north AND south <= greatest(ay, by)")
+    first = (F.col("cx") == F.floor(F.greatest(F.col("west"), F.least("ax", "bx")) / size[0])) & (F.col("cy") == F.floor(F.greatest(F.col("south"), F.least("ay", "by")) / size[1]))
+    met = met.where(first).select(*key, "x", "y", "radius_m", "ax", "ay", "bx", "by")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if len(p):
-                yield p.loc[nearest(p) <= p.radius_m.to_numpy() + BAND, ["circle_id", "area_id", "role"]]
+                yield p.loc[within(p), key].drop_duplicates()
 
     kind = dict(circles.dtypes)["circle_id"]
-    near = e.mapInPandas(run, f"circle_id {kind}, area_id string, role string")
+    near = met.mapInPandas(run, f"circle_id {kind}, area_id string, role string")
     return inside.unionByName(near).distinct()
 
 

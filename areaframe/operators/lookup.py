@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from areaframe.operators.cells import covering, polygon_cells, sized
+from areaframe.operators.cells import cover, sized
 
 IDS = T.ArrayType(T.StringType())
 
 
-def lookup(points: DataFrame, areas: DataFrame, geometry: DataFrame, closure: DataFrame, size: float = 2.0) -> DataFrame:
+def lookup(points: DataFrame, areas: DataFrame, geometry: DataFrame, closure: DataFrame) -> DataFrame:
     """One layer: point_id, matched (direct and their ancestors), direct, pending, n_unknown,
     n_disagreements, ambiguous, status.
 
@@ -26,7 +26,7 @@ def lookup(points: DataFrame, areas: DataFrame, geometry: DataFrame, closure: Da
     info = areas.select(F.col("id").alias("area_id"), "level", F.coalesce(F.when(F.col("level") == "city_area", F.col("scheme")).otherwise(F.col("edition")), F.lit("")).alias("track"))
     visible = geometry.join(info, "area_id", "left_semi")
     n_unknown = info.join(visible.select("area_id").distinct(), "area_id", "left_anti").count()
-    hits = covering(points, polygon_cells(visible, size), "point_id", size=size)
+    hits = cover(points, visible, "point_id")
     # each area with its ancestors, those of its own level, and those that have geometry
     assigned = visible.where("role = 'assignment'").select(F.col("area_id").alias("ancestor_id"), F.lit(True).alias("has")).distinct()
     levels = areas.select(F.col("id").alias("ancestor_id"), F.col("level").alias("up_level"))

@@ -64,7 +64,7 @@ def _closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def point_lookup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return cells.covering(X.points(spark, d), cells.polygon_cells(_muni_geometry(spark, d, "assignment")), "point_id").select("point_id", "area_id")
+    return cells.cover(X.points(spark, d), _muni_geometry(spark, d, "assignment"), "point_id").select("point_id", "area_id")
 
 
 def lookup_counts_by_area(spark: SparkSession, d: str) -> DataFrame:
@@ -75,13 +75,13 @@ def lookup_counts_by_area(spark: SparkSession, d: str) -> DataFrame:
 def lineitem_counts_by_area(spark: SparkSession, d: str) -> DataFrame:
     """The larger table as points: counts of line items per municipality."""
     li = X.table(spark, d, "lineitem").select(F.expr("-131D + ((l_orderkey * 7919 + l_linenumber * 31) % 67000) / 1000D AS x"), F.expr("41D + ((l_orderkey * 104729 + l_partkey) % 42000) / 1000D AS y"), "l_quantity")
-    hits = cells.covering(li, cells.polygon_cells(_muni_geometry(spark, d, "assignment")), "l_quantity")
+    hits = cells.cover(li, _muni_geometry(spark, d, "assignment"), "l_quantity")
     return hits.groupBy("area_id").agg(F.count(F.lit(1)).alias("n_items"), F.sum("l_quantity").cast("double").alias("quantity"))
 
 
 def review_candidates(spark: SparkSession, d: str) -> DataFrame:
     g = _muni_geometry(spark, d, "candidate", "review", "bbox")
-    return cells.covering(X.points(spark, d), cells.polygon_cells(g), "point_id").select("point_id", "area_id").distinct()
+    return cells.cover(X.points(spark, d), g, "point_id").select("point_id", "area_id").distinct()
 
 
 def _status_row(df: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def _located_cities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def ambiguous_points(spark: SparkSession, d: str) -> DataFrame:
     """Points that two slices of one scheme share."""
-    hits = cells.covering(X.points(spark, d), cells.polygon_cells(X.city_geometry(X.city_slices(spark, d))), "point_id")
+    hits = cells.cover(X.points(spark, d), X.city_geometry(X.city_slices(spark, d)), "point_id")
     track = X.areas(spark, d).where("level = 'city_area'").select(F.col("id").alias("area_id"), "scheme")
     return hits.join(cells.sized(track), "area_id").groupBy("point_id", "scheme").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
@@ -130,7 +130,7 @@ def ambiguous_points(spark: SparkSession, d: str) -> DataFrame:
 def parent_disagreements(spark: SparkSession, d: str) -> DataFrame:
     """City areas that hold a point which their municipality's geometry leaves out."""
     slices = X.city_slices(spark, d)
-    hits = cells.covering(X.points(spark, d), cells.polygon_cells(X.city_geometry(slices)), "point_id", "x", "y")
+    hits = cells.cover(X.points(spark, d), X.city_geometry(slices), "point_id", "x", "y")
     up = slices.select(F.concat(F.lit("a-"), F.col("c_custkey").cast("string")).alias("area_id"), F.concat(F.lit("m-"), F.col("s_suppkey").cast("string")).alias("ancestor_id"))
     g = _muni_geometry(spark, d, "assignment").select(F.col("area_id").alias("ancestor_id"), G.edges("rings").alias("edges"))
     j = hits.join(cells.sized(up), "area_id").join(cells.sized(g), "ancestor_id")
@@ -141,7 +141,7 @@ def representative_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Every municipality's representative point finds it (a metamorphic check as a query)."""
     g = _muni_geometry(spark, d, "assignment")
     p = review.representative_points(g).withColumnRenamed("area_id", "point_id")
-    return cells.covering(p, cells.polygon_cells(g), "point_id").where("point_id = area_id").select("area_id")
+    return cells.cover(p, g, "point_id").where("point_id = area_id").select("area_id")
 
 
 # --- measures and overlays -----------------------------------------------------------------

@@ -12,7 +12,7 @@ from areaframe.operators.overlay import overlay_areas
 from areaframe.plans.lookups import BASE, CITY, GRID, IN_MUNI, MUNI, MUNI_BOXES, SHARED
 from areaframe.sources import fixtures as X
 from areaframe.sources import readers
-from areaframe.sources.workspace import shared_path
+from areaframe.sources.workspace import shared_path, written
 from areaframe.streaming import lookup as stream
 
 
@@ -242,7 +242,7 @@ def coverage_report(spark: SparkSession, d: str) -> DataFrame:
 def municipal_escalation(spark: SparkSession, d: str) -> DataFrame:
     """Points in municipalities, raised where that municipality's coverage is not settled."""
     p = X.points(spark, d)
-    located = cells.covering(p, _cells(spark, d), "point_id").select("point_id", "area_id").distinct()
+    located = cells.cover(p, _assigned(spark, d), "point_id").select("point_id", "area_id").distinct()
     wards = X.city_slices(spark, d).groupBy(_id("m-", "s_suppkey").alias("area_id")).agg(F.count_if(F.col("c_custkey") % 3 != 0).alias("n"))
     status = F.when(F.substring("area_id", 3, 12).cast("int") % 9 == 2, "reference").when(F.col("n") > 0, "included").otherwise("historical_only")
     base = p.select("point_id", F.lit("matched").alias("status"))
@@ -288,22 +288,25 @@ def _stream_points(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(X.POINTS, events=events).withColumnRenamed("event_id", "point_id").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _cells(spark: SparkSession, d: str) -> DataFrame:
-    g = X.municipal_geometry(X.municipalities(spark, d)).where("role = 'assignment'")
-    return cells.polygon_cells(g)
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    return X.municipal_geometry(X.municipalities(spark, d)).where("role = 'assignment'")
+
+
+def _stream_matches(spark: SparkSession, d: str) -> DataFrame:
+    size = cells.cell_size(_assigned(spark, d))
+    return stream.stream_lookup(_stream_points(spark, d), written(cells.polygon_cells(_assigned(spark, d), size), "cells"), size)
 
 
 def stream_lookup(spark: SparkSession, d: str) -> DataFrame:
     out = shared_path(spark, "stream-lookup")
-    stream.run_available(stream.stream_lookup(_stream_points(spark, d), _cells(spark, d)), out, shared_path(spark, "stream-state"))
+    stream.run_available(_stream_matches(spark, d), out, shared_path(spark, "stream-state"))
     return spark.read.parquet(out).select("point_id", "area_id")
 
 
 def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     """Hourly matches per area; the last hours stay open until the watermark passes them."""
     out = shared_path(spark, "stream-windows")
-    matches = stream.stream_lookup(_stream_points(spark, d), _cells(spark, d))
-    stream.run_available(stream.window_counts(matches), out, shared_path(spark, "stream-state"))
+    stream.run_available(stream.window_counts(_stream_matches(spark, d)), out, shared_path(spark, "stream-state"))
     done = spark.read.parquet(out)
     return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "area_id", "n")
 

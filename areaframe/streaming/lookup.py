@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaframe.operators.cells import covering
+from areaframe.operators.cells import Size, covering
 
 
-def stream_lookup(points: DataFrame, cells: DataFrame, size: float = 2.0) -> DataFrame:
+def stream_lookup(points: DataFrame, cells: DataFrame, size: Size = 2.0) -> DataFrame:
     """Stream-static join: each arriving point (point_id, ts, x, y) with the areas that hold it.
 
     Stateless, so it appends; the static side is read once for each micro-batch.
