@@ -45,8 +45,13 @@ def province(c: Column) -> Column:
 
 
 def record_digest(*columns: str) -> Column:
-    """SHA-256 of a record as JSON with sorted keys."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+    """SHA-256 of a record as JSON with sorted keys; a null field is kept, so that it differs from an absent one."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def source_identity(own: Column, prefix: Column, other: Column) -> Column:
+    """A feature's identity: its own code, or else a prefix and the code of another field."""
+    return F.coalesce(own.cast("string"), F.concat(prefix, other.cast("string")))
 
 
 def is_date(c: Column) -> Column:

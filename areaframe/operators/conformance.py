@@ -50,7 +50,7 @@ def qualify_layer(measures: DataFrame) -> DataFrame:
     overlap of siblings beyond max(1, 1e-6 of the area) needs review; a layer that covers
     under 90 % of its parent stays a reference.
     """
-    share = F.try_divide("outside", "area")
+    share = F.round(F.try_divide("outside", "area"), 9)  # so that rounding decides no tie
     status = (
         F.when(share.isNull() | (share > OUTSIDE_REJECT), "rejected")
         .when(share > OUTSIDE_REVIEW, "unreviewed_parent")

@@ -77,3 +77,11 @@ def escalate_partial(result: DataFrame, areas: DataFrame, coverage: DataFrame, e
     out = result.join(seen, "point_id", "left").withColumn("seen", F.coalesce("seen", F.array().cast(IDS)))
     missed = F.array_except(F.array(*(F.lit(e) for e in incomplete)).cast(IDS), F.col("seen"))
     return out.withColumn("status", F.when(F.size(missed) > 0, "review_required").otherwise(F.col("status"))).drop("seen")
+
+
+def ordered_matches(result: DataFrame, areas: DataFrame, points: DataFrame) -> DataFrame:
+    """point_id, position, matches: the matched ids by level rank, then id; ``points`` (point_id, position)
+    give the order of the request. A point without a match has an empty list."""
+    m = result.select("point_id", F.explode("matched").alias("id")).join(sized(areas.select("id", "level_rank")), "id")
+    m = m.groupBy("point_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("level_rank", "id"))), lambda x: x["id"]).alias("matches"))
+    return points.select("point_id", "position").join(m, "point_id", "left").withColumn("matches", F.coalesce("matches", F.array().cast(IDS)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from areaframe.plans import lookups, records
+from areaframe.plans import audits, lookups, records
 
-QUERIES = lookups.QUERIES | records.QUERIES
-ORACLES = lookups.ORACLES | records.ORACLES
+QUERIES = lookups.QUERIES | records.QUERIES | audits.QUERIES
+ORACLES = lookups.ORACLES | records.ORACLES | audits.ORACLES
