@@ -46,14 +46,21 @@ def scope_relation(records: DataFrame, closure: DataFrame, area: str) -> DataFra
     return j.select("record_id", F.expr("element_at(array('direct', 'inherited', 'descendant'), r + 1)").alias("relation"))
 
 
-def evidence_nodes(documents: DataFrame, depth: int = 4) -> DataFrame:
-    """doc_id, path, kind, value: the nodes of a JSON document (doc_id, json) down to ``depth``."""
+def evidence_nodes(documents: DataFrame, depth: int = 64) -> DataFrame:
+    """doc_id, path, kind, value: all nodes of a JSON document (doc_id, json).
+
+    Levels are opened until none is left; documents deeper than ``depth`` are an error.
+    """
     level = documents.select("doc_id", F.lit("$").alias("path"), F.try_parse_json("json").alias("v"))
     out = level
+    step = "SELECT l.doc_id, l.path || CASE WHEN x.key IS NULL THEN '[' || x.pos || ']' ELSE '.' || x.key END AS path, x.value AS v FROM {l} l, LATERAL variant_explode(l.v) x"
     for _ in range(depth):
-        level.createOrReplaceTempView("_evidence_level")
-        level = documents.sparkSession.sql("SELECT l.doc_id, l.path || CASE WHEN x.key IS NULL THEN '[' || x.pos || ']' ELSE '.' || x.key END AS path, x.value AS v FROM _evidence_level l, LATERAL variant_explode(l.v) x")
+        level = documents.sparkSession.sql(step, l=level)
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
+    else:
+        raise ValueError(f"documents are nested deeper than {depth} levels")
     kind = F.regexp_extract(F.schema_of_variant("v"), "^([A-Z]+)", 1)
     return out.where("v IS NOT NULL").select("doc_id", "path", kind.alias("kind"), F.expr("CASE WHEN schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)' THEN NULL ELSE CAST(v AS STRING) END").alias("value"))
 

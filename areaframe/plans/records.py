@@ -399,5 +399,8 @@ ORACLES = {
       SELECT CASE WHEN share IS NULL OR share>0.1 THEN 'rejected' WHEN share>0.01 THEN 'unreviewed_parent' WHEN o>greatest(1e0,1e-6*a) THEN 'unreviewed_overlap' WHEN cov<0.9 THEN 'display_reference' ELSE 'validated_source' END AS status, count(*) AS n FROM r GROUP BY 1""",
     "stable_core_area": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, round(CASE shape WHEN 'plain' THEN w*7.2e0 WHEN 'hole' THEN w*7.2e0-w ELSE w*5e0*.9e0+.2e0*w END, 5) AS area FROM muni WHERE s_suppkey%19=6 AND shape IN ('plain','hole','multipart')",
     "bundle_documents": f"WITH muni AS ({MUNI}) SELECT 'b-'||s_nationkey AS bundle_id, CAST(sum(CASE WHEN shape='plain' THEN 4 ELSE 8 END) AS BIGINT) AS n_vertices, min(x0) AS west, max(CASE WHEN shape='multipart' THEN y0+7e0 ELSE y1 END) AS north, 'ready' AS status FROM muni WHERE shape IN ('plain','hole','multipart') GROUP BY 1",
+    "stream_window_counts": f"""{BASE}, m AS (SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS h, CAST(ts AS TIMESTAMP) AS ts, 'm-'||s_suppkey AS area_id FROM pts JOIN muni ON {IN_MUNI})
+      SELECT strftime(h, '%Y-%m-%d %H:%M') AS window_start, area_id, count(*) AS n FROM m WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM m) - INTERVAL 10 MINUTE GROUP BY 1, 2""",
+    "evidence_nodes": """SELECT fullkey AS path, CASE WHEN type IN ('UBIGINT','BIGINT') THEN 'BIGINT' ELSE type END AS kind, count(*) AS n, count(DISTINCT atom) AS n_values FROM events, json_tree(props) GROUP BY 1, 2""",
     "stream_lookup": f"{BASE} SELECT event_id AS point_id, 'm-'||s_suppkey AS area_id FROM pts JOIN muni ON {IN_MUNI}",
 }
