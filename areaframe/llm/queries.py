@@ -84,7 +84,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_token_counts, op4_decontamination, op5_packing, op6_language, op7_line_dedup, op8_near_duplicates, op9_licenses, op10_substring_dedup)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of documents, a tenth of which (by a hash of the id) are made periodic from some word on first."""
+    from areaframe.llm import periodic_runs
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary"))).withColumn("g", F.expr("h div 10"))
+    at = "transform(array(CAST(g % size(w) AS INT)), a -> transform(array(CAST(1 + (size(w) - a) div (3 + g % 8) AS INT)), p -> array_join(transform(w, (x, i) -> IF(i < a, x, w[a + (i - a) % p])), ' '))[0])[0]"
+    periodic = F.expr(rf"transform(array(regexp_extract_all(text, r'[^\x20\x09-\x0D]+', 0)), w -> IF(size(w) = 0, text, {at}))[0]")
+    docs = docs.select("doc_id", F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), periodic).otherwise(F.col("text")).alias("text"))
+    return periodic_runs.digest(periodic_runs.find_runs(docs))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from areaframe.llm import quality_classifier
+
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from areaframe.llm import phrase_mining
+
+    return phrase_mining.mine(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_token_counts, op4_decontamination, op5_packing, op6_language, op7_line_dedup, op8_near_duplicates, op9_licenses, op10_substring_dedup, op11_periodic_runs, op12_quality_classifier, op13_phrase_mining)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -113,4 +137,19 @@ p AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM hit, range(13) r(o) WHE
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_phrases, 0) AS n_phrases
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id)""",
+    "op13_phrase_mining": rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS t FROM documents),
+p AS (SELECT id, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM w, range(1, 4) s(k), range(1, len(w) - k + 2) r(i)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+held AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+cut AS (SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS BIGINT) AS score,
+  row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f), j) AS nth
+  FROM c LEFT JOIN held USING (lang, phrase), range(1, 3) s(j) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:], ' ')
+  WHERE j < c.k AND (most IS NULL OR 100 * most < 50 * a)),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM cut WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, CAST(n.n AS BIGINT) AS n, score FROM o JOIN n USING (lang) WHERE rank <= 2000""",
 }
