@@ -31,8 +31,10 @@ TOP = 2000
 #: A phrase goes where a longer one holds at least this share of its occurrences, in percent.
 HELD = 50
 #: Occurrences of one block, and bits of the bitmap of frequent groups.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 BITMAP_BITS = 1 << 26
+#: Groups that leave a task at once.
+BATCH_ROWS = 100_000
 #: Parts into which each language's ranking is split before its first rows are taken.
 SALTS = 64
 
@@ -133,11 +135,19 @@ def extend(blocks: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
                     later = np.minimum(where + k, len(word) - 1)
                     met = (word[later] > 0) & (later == where + k)
                     where, last = where[met], word[later[met]]
-                    pairs, group, n = np.unique(group[met] << 32 | last, return_inverse=True, return_counts=True)
+                    pairs = group[met] << 32 | last
+                    if k < length - 1:
+                        pairs, group = np.unique(pairs, return_inverse=True)
+                    else:  # only the counts are needed now
+                        pairs.sort()
+                        first = np.flatnonzero(np.diff(pairs, prepend=-1))
+                        pairs, n = pairs[first], np.diff(first, append=len(pairs))
                     groups = [g[pairs >> 32] for g in groups] + [pairs & 0xFFFFFFFF]
-                columns = [names[g] for g in groups]
-                keep = kept(columns[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns] + [pa.array(n[keep], pa.int64())], [*keys, "n"])
+                del word, where, group, pairs, last, met, later
+                for low in range(0, len(n), BATCH_ROWS):
+                    columns = [names[g[low : low + BATCH_ROWS]] for g in groups]
+                    keep = kept(columns[1:])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns] + [pa.array(n[low : low + BATCH_ROWS][keep], pa.int64())], [*keys, "n"])
 
     found = blocks.select("keys", "at").mapInArrow(run, ", ".join(f"{k} bigint" for k in keys) + ", n bigint")
     return found.groupBy(*keys).agg(F.sum("n").alias("n"))
