@@ -31,10 +31,10 @@ TOP = 2000
 #: A phrase goes where a longer one holds at least this share of its occurrences, in percent.
 HELD = 50
 #: Occurrences of one block, and bits of the bitmap of frequent groups.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 250_000
 BITMAP_BITS = 1 << 26
 #: Groups that leave a task at once.
-BATCH_ROWS = 100_000
+BATCH_ROWS = 50_000
 #: Parts into which each language's ranking is split before its first rows are taken.
 SALTS = 64
 
