@@ -73,6 +73,12 @@ def issue(rings: str = "rings") -> Column:
     )
 
 
+def oriented(rings: str = "rings") -> Column:
+    """Rings turned so that interiors lie to the left: outer rings with a positive area, holes with a negative one."""
+    size_ = "aggregate(sequence(1, size(r.pts) - 1), 0D, (a, i) -> a + (r.pts[i - 1].x * r.pts[i].y - r.pts[i].x * r.pts[i - 1].y))"
+    return F.expr(f"transform({rings}, r -> named_struct('part', r.part, 'ring', r.ring, 'pts', IF(({size_} < 0) = (r.ring = 0), reverse(r.pts), r.pts)))")
+
+
 def canonical_text(rings: str = "rings") -> Column:
     """Coordinates as text in a fixed order of rings, each turned to begin at its least point."""
     turned = "concat(slice(o, m, size(o)), slice(o, 1, m - 1))"
@@ -151,6 +157,18 @@ def to_geojson(rings: str = "rings") -> Column:
     return F.expr(f"to_json(named_struct('type', 'MultiPolygon', 'coordinates', {part}))")
 
 
+def document_issue(column: str) -> Column:
+    """The first fault of a GeoJSON document that no ring can have: missing, empty, a kind other than polygons, a third coordinate."""
+    kind = f"get_json_object({column}, '$.type')"
+    many = f"from_json({column}, '{GEOJSON}').coordinates"
+    single = f"array(from_json({column}, 'struct<type: string, coordinates: array<array<array<double>>>>').coordinates)"
+    some = f"IF({kind} = 'MultiPolygon', {many}, {single})"
+    return F.expr(
+        f"""CASE WHEN {column} IS NULL OR trim({column}) IN ('', 'null') THEN 'missing' WHEN {kind} IS NULL OR {kind} NOT IN ('Polygon', 'MultiPolygon') THEN 'unsupported'
+        WHEN coalesce(size(flatten({some})), 0) <= 0 THEN 'empty' WHEN exists(flatten(flatten({some})), q -> size(q) > 2) THEN 'has_z' END"""
+    )
+
+
 def from_geojson(column: str) -> Column:
     """Rings of a Polygon or MultiPolygon document; null for anything else."""
     many = f"from_json({column}, '{GEOJSON}')"

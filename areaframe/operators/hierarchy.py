@@ -2,39 +2,65 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 10
+from areaframe.sources.workspace import written
+
+#: Steps that the first plan of a closure reaches before it is written.
+FIRST_STEPS = 8
 
 
-def ancestors(areas: DataFrame, depth: int = 5) -> DataFrame:
-    """Closure table: id, ancestor_id, depth (1: the parent), up to ``depth`` steps.
+def ancestors(areas: DataFrame, depth: int | None = None) -> DataFrame:
+    """Closure table: id, ancestor_id, depth (1: the parent; the least number of steps), of any depth.
 
-    The levels form at most five steps. One self-join a step stays a plain plan that Spark
-    can broadcast or sort; a cycle shows as an id that is its own ancestor (``cycles``).
+    The number of steps doubles each round, and every round is written, so a chain of n areas takes
+    log2(n) rounds. Each pair is held once with its least depth, so a cycle ends too: its
+    areas are their own ancestors (``cycles``). With ``depth`` only pairs up to that many steps are returned.
     """
-    parent = areas.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("ancestor_id"))
-    steps = [parent.withColumn("depth", F.lit(1))]
-    up = parent.select(F.col("id").alias("_via"), F.col("ancestor_id").alias("_up"))
-    for d in range(2, depth + 1):
-        nxt = steps[-1].join(up, F.col("ancestor_id") == F.col("_via")).select("id", F.col("_up").alias("ancestor_id"), F.lit(d).alias("depth"))
-        steps.append(nxt)
-    return reduce(DataFrame.unionByName, steps)
+    pairs = areas.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("ancestor_id")).withColumn("depth", F.lit(1))
+    pairs = written(pairs, "parents")
+    reach = 1
+    step = pairs
+    while reach < FIRST_STEPS:
+        step, reach = _twice(step), 2 * reach
+    while True:
+        step = written(_least(step), "closure")
+        if step.where(F.col("depth") == reach).isEmpty():  # nothing lies as far as could be reached
+            break
+        step, reach = _twice(step), 2 * reach
+    return step if depth is None else step.where(F.col("depth") <= depth)
+
+
+def _twice(pairs: DataFrame) -> DataFrame:
+    on = pairs.select(F.col("id").alias("_via"), F.col("ancestor_id").alias("_up"), F.col("depth").alias("_more"))
+    longer = pairs.join(on.hint("merge"), F.col("ancestor_id") == F.col("_via")).select("id", F.col("_up").alias("ancestor_id"), (F.col("depth") + F.col("_more")).alias("depth"))
+    return _least(pairs.unionByName(longer))
 
 
-def cycles(areas: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """Areas that are their own ancestor within ``depth`` steps."""
-    return ancestors(areas, depth).where("id = ancestor_id").select("id").distinct()
+def _least(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("id", "ancestor_id").agg(F.min("depth").alias("depth"))
 
 
-def scope(areas: DataFrame, roots: DataFrame) -> DataFrame:
-    """root_id, members, max_depth, deepest level: the walk below each root (root_id)."""
-    below = ancestors(areas).join(roots, F.col("ancestor_id") == F.col("root_id"))
-    counts = below.groupBy("root_id").agg(F.count(F.lit(1)).alias("members"), F.max("depth").alias("max_depth"))
-    return roots.join(counts, "root_id", "left").na.fill(0, ["members", "max_depth"])
+def cycles(areas: DataFrame) -> DataFrame:
+    """Areas that are their own ancestor, at any distance."""
+    return ancestors(areas).where("id = ancestor_id").select("id")
+
+
+def scope(areas: DataFrame, roots: DataFrame, most_members: int | None = None, most_depth: int | None = None) -> DataFrame:
+    """root_id, members, max_depth, fault: the walk below each root (root_id).
+
+    ``fault`` names a cycle through the root, or the limit that a scope exceeds; nothing is left out of a scope.
+    """
+    below = ancestors(areas).join(roots.hint("merge"), F.col("ancestor_id") == F.col("root_id"))
+    counts = below.groupBy("root_id").agg(F.count(F.lit(1)).alias("members"), F.max("depth").alias("max_depth"), F.bool_or(F.col("id") == F.col("root_id")).alias("_cycle"))
+    out = roots.join(counts, "root_id", "left").na.fill(0, ["members", "max_depth"])
+    fault = F.when(F.col("_cycle"), "cycle")
+    if most_members is not None:
+        fault = fault.when(F.col("members") > most_members, "too_many_members")
+    if most_depth is not None:
+        fault = fault.when(F.col("max_depth") > most_depth, "too_deep")
+    return out.withColumn("fault", fault).drop("_cycle")
 
 
 def child_counts(areas: DataFrame) -> DataFrame:
@@ -61,11 +87,25 @@ def sibling_counts(areas: DataFrame) -> DataFrame:
 
 
 def surroundings(areas: DataFrame, of: DataFrame) -> DataFrame:
-    """Siblings of each area in ``of`` (id) and of all its ancestors: id, near_id, distinct."""
-    chain = of.join(ancestors(areas), "id").select("id", F.col("ancestor_id").alias("step")).unionByName(of.select("id", F.col("id").alias("step")))
-    own = areas.select(F.col("id").alias("step"), F.col("parent_id").alias("_p"), F.coalesce("scheme", F.lit("default")).alias("_s"))
+    """Siblings of each area in ``of`` (id) and of all its ancestors: id, near_id.
+
+    An area has one chain, so every sibling is met once; their number alone is ``surrounding_counts``.
+    """
     other = areas.select(F.col("id").alias("near_id"), F.col("parent_id").alias("_p"), F.coalesce("scheme", F.lit("default")).alias("_s"))
-    return chain.join(own, "step").join(other, ["_p", "_s"]).where("near_id <> step").select("id", "near_id").distinct()
+    return _chain(areas, of).join(other.hint("merge"), ["_p", "_s"]).where("near_id <> step").select("id", "near_id")
+
+
+def surrounding_counts(areas: DataFrame, of: DataFrame) -> DataFrame:
+    """id, n_near: how many siblings an area and its ancestors have, counted by group."""
+    sizes = areas.groupBy(F.col("parent_id").alias("_p"), F.coalesce("scheme", F.lit("default")).alias("_s")).agg((F.count(F.lit(1)) - 1).alias("_n"))
+    return _chain(areas, of).join(sizes.hint("merge"), ["_p", "_s"]).groupBy("id").agg(F.sum("_n").alias("n_near"))
+
+
+def _chain(areas: DataFrame, of: DataFrame) -> DataFrame:
+    """id, step: each area and its ancestors, with parent and scheme of the step."""
+    chain = of.join(ancestors(areas).hint("merge"), "id").select("id", F.col("ancestor_id").alias("step")).unionByName(of.select("id", F.col("id").alias("step")))
+    own = areas.select(F.col("id").alias("step"), F.col("parent_id").alias("_p"), F.coalesce("scheme", F.lit("default")).alias("_s"))
+    return chain.join(own.hint("merge"), "step")
 
 
 def in_layer(areas: DataFrame, layer: str, editions: list[str] | None = None) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from areaframe.functions import geometry as G
-from areaframe.operators.overlay import dissolve, outline_measures, overlay_areas
+from areaframe.operators.contract import violations
+from areaframe.operators.overlay import coverage, overlay_areas, united
 
 LEAST_OVERLAP = 0.80
 
@@ -29,21 +30,22 @@ def adjust_groups(changes: DataFrame, comparison: DataFrame) -> DataFrame:
 
 
 def succeed(predecessors: DataFrame, new_extent: DataFrame | None = None, least: float = LEAST_OVERLAP) -> DataFrame:
-    """Mergers (successor_id, area_id, rings): successor_id, predecessor_ids, n_edges, area, deferred.
+    """Mergers (successor_id, area_id, rings): successor_id, predecessor_ids, rings, area, deferred.
 
-    The successor is the union of its predecessors. With a published new extent it is
-    deferred when the two have less than ``least`` in common.
+    The successor is the union of its predecessors, as whole rings whatever vertices they share. With a
+    published new extent it is deferred when the two have less than ``least`` in common.
     """
     ids = predecessors.groupBy("successor_id").agg(F.array_sort(F.collect_set("area_id")).alias("predecessor_ids"))
-    out = ids.join(outline_measures(dissolve(predecessors, "successor_id"), "successor_id"), "successor_id", "left")
+    shape = united(predecessors.select("successor_id", "rings"), "successor_id")
+    out = ids.join(shape.hint("merge"), "successor_id", "left").withColumn("area", G.area("rings"))
     if new_extent is None:
         return out.withColumn("deferred", F.lit(False))
-    n = new_extent.select(F.col("area_id").alias("successor_id"), "rings")
-    pairs = predecessors.join(n.select("successor_id"), "successor_id", "left_semi").select(F.col("area_id").alias("a"), F.col("successor_id").alias("b"))
-    o = overlay_areas(pairs, predecessors.select("area_id", "rings"), n.withColumnRenamed("successor_id", "area_id"))
-    shares = o.groupBy(F.col("b").alias("successor_id")).agg((F.sum("intersection") / F.sum("area_a")).alias("old_share"), (F.sum("intersection") / F.first("area_b")).alias("new_share"))
-    j = out.join(shares, "successor_id", "left")
-    return j.withColumn("deferred", ~F.coalesce((F.col("old_share") >= least) & (F.col("new_share") >= least), F.lit(False))).drop("old_share", "new_share")
+    extent = new_extent.select(F.col("area_id").alias("successor_id"), "rings")
+    both = predecessors.select("successor_id", "rings").join(extent.select("successor_id"), "successor_id", "left_semi")
+    shares = coverage(extent, both, ["successor_id"])
+    enough = (F.col("covered") >= least * (F.col("covered") + F.col("outside"))) & (F.col("covered") >= least * (F.col("covered") + F.col("uncovered")))
+    j = out.join(shares.select("successor_id", enough.alias("_enough")).hint("merge"), "successor_id", "left")
+    return j.withColumn("deferred", ~F.coalesce("_enough", F.lit(False))).drop("_enough")
 
 
 def rename(areas: DataFrame, names: DataFrame) -> DataFrame:
@@ -54,20 +56,86 @@ def rename(areas: DataFrame, names: DataFrame) -> DataFrame:
     return j.withColumn("aliases", F.array_sort(F.array_except(F.array_distinct(kept), F.array(now)))).withColumn("name", now).drop("new_name")
 
 
+# The operations of a revision log, those that carry geometry, and the level that each applies to.
+OPERATIONS = ["metadata", "new", "retire", "boundary", "deferred_boundary", "region"]
+GEOMETRIC = ["new", "boundary", "deferred_boundary", "region"]
+OPERATION_LEVEL = {"metadata": "municipality", "new": "municipality", "retire": "municipality", "boundary": "municipality", "deferred_boundary": "municipality", "region": "region"}
+
+
+def _last(column: str, when: Column | None = None) -> Column:
+    """The last value by ``seq`` that is not null, or of the rows where ``when`` holds."""
+    return F.max_by(column, F.when(F.col(column).isNotNull() if when is None else when, F.col("seq")))
+
+
 def apply_revisions(areas: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Fold the last revision of each id (id, seq, operation, columns to set) into the areas.
+    """Fold a log (id, seq, operation, columns to set) into the areas, in the order of ``seq``.
 
-    ``retire`` supersedes, ``new`` adds, ``metadata`` replaces the columns that are not null.
+    A column takes the last value of its own that any revision sets, so a retirement keeps an
+    earlier change of name. ``retire`` supersedes, ``new`` adds an area that is not there, and the later of both
+    counts. One aggregate over the log, whatever its length.
     """
-    last = Window.partitionBy("id").orderBy(F.col("seq").desc())
-    r = revisions.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "seq")
-    sets = [c for c in r.columns if c not in ("id", "operation")]
-    j = areas.join(r.select("id", "operation", *(F.col(c).alias(f"r_{c}") for c in sets)), "id", "left")
+    sets = [c for c in revisions.columns if c not in ("id", "seq", "operation")]
+    life = F.when(F.col("operation") == "retire", "superseded").when(F.col("operation") == "new", "current")
+    last = [_last(c).alias(f"r_{c}") for c in sets]
+    r = revisions.withColumn("_life", life).groupBy("id").agg(*last, _last("_life").alias("_life"), F.bool_or(F.col("operation") == "new").alias("_new"))
+    j = areas.withColumn("_base", F.lit(True)).join(r.hint("merge"), "id", "full").where("_base OR _new")
     for c in sets:
-        j = j.withColumn(c, F.coalesce(f"r_{c}", c))
-    j = j.withColumn("lifecycle_status", F.when(F.col("operation") == "retire", "superseded").otherwise(F.col("lifecycle_status")))
-    new = r.where("operation = 'new'").join(areas.select("id"), "id", "left_anti").withColumn("lifecycle_status", F.lit("current"))
-    return j.select(*areas.columns).unionByName(new.select("id", *sets, "lifecycle_status"), allowMissingColumns=True).select(*areas.columns)
+        j = j.withColumn(c, F.coalesce(f"r_{c}", c)) if c in areas.columns else j.withColumn(c, F.col(f"r_{c}"))
+    return j.withColumn("lifecycle_status", F.coalesce("_life", "lifecycle_status")).select(*areas.columns)
+
+
+def revise_geometry(geometry: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Geometry (area_id, role, rings) after a log (id, seq, operation, full, review).
+
+    A geometric revision replaces what was uncertain about an area: candidates, boxes and disputes
+    go, ``review`` becomes its dispute, or its candidate where it has no assignment; ``full`` its
+    assignment. Of several the last decides, and the last ``full`` that is not null.
+    """
+    g = revisions.where(F.col("operation").isin(GEOMETRIC))
+    r = g.groupBy(F.col("id").alias("area_id")).agg(_last("full").alias("full"), F.max_by("review", "seq").alias("review"))
+    kept = geometry.join(r.select("area_id", F.col("full").isNotNull().alias("_full")).hint("merge"), "area_id", "left")
+    kept = kept.where(F.col("_full").isNull() | ((F.col("role") == "assignment") & ~F.col("_full"))).drop("_full")
+    assigned = geometry.where("role = 'assignment'").select("area_id").distinct().withColumn("_had", F.lit(True))
+    full = r.where("full IS NOT NULL").select("area_id", F.lit("assignment").alias("role"), F.col("full").alias("rings"))
+    role = F.when(F.col("full").isNotNull() | F.col("_had"), "review").otherwise("candidate")
+    review = r.where("review IS NOT NULL").join(assigned.hint("merge"), "area_id", "left").select("area_id", role.alias("role"), F.col("review").alias("rings"))
+    return kept.select("area_id", "role", "rings").unionByName(full).unionByName(review)
+
+
+def revision_faults(areas: DataFrame, geometry: DataFrame, revisions: DataFrame) -> DataFrame:
+    """id, seq, fault of revisions (id, seq, operation, evidence, full, review) that may not be applied.
+
+    A revision may name areas of the base or of an earlier ``new``, of its operation's level. It neither
+    approves an area without assignment nor takes an assignment away; a deferred boundary keeps the one there is.
+    """
+    born = revisions.where("operation = 'new'").groupBy("id").agg(F.min("seq").alias("_born"))
+    base = areas.select("id", F.col("level").alias("_level"))
+    own = geometry.where("role = 'assignment'").select(F.col("area_id").alias("id"), G.fingerprint("rings").alias("_own"))
+    j = revisions.join(base.hint("merge"), "id", "left").join(born.hint("merge"), "id", "left").join(own.hint("merge"), "id", "left")
+    op = F.col("operation")
+    known = F.col("_level").isNotNull() | (F.col("_born") < F.col("seq"))
+    wanted = F.create_map(*(F.lit(x) for kv in OPERATION_LEVEL.items() for x in kv))[op]
+    geometric = op.isin("boundary", "deferred_boundary", "region")
+    pending = F.col("_own").isNull() & F.col("_level").isNotNull()
+    checks = violations(
+        operation=op.isin(OPERATIONS),
+        evidence=F.coalesce(F.length("evidence") > 0, F.lit(False)),
+        known=F.when(op == "new", F.col("_level").isNull() & (F.col("_born") == F.col("seq"))).otherwise(known),
+        level=F.col("_level").isNull() | (F.col("_level") == wanted),
+        no_geometry=F.col("full").isNull() & F.col("review").isNull() | ~op.isin("metadata", "retire"),
+        not_approved=~geometric | ~pending | F.col("full").isNull(),
+        not_withdrawn=~op.isin("boundary", "deferred_boundary") | F.col("full").isNotNull() | pending,
+        candidate=~geometric | ~pending | F.col("review").isNotNull(),
+        same_boundary=(op != "deferred_boundary") | F.col("full").isNull() | F.coalesce(G.fingerprint("full") == F.col("_own"), F.lit(False)),
+    )
+    return j.select("id", "seq", F.explode(checks).alias("fault"))
+
+
+def revision_counts(areas: DataFrame, revisions: DataFrame, report: DataFrame) -> DataFrame:
+    """province_id, operation, n, reported: operations of which other numbers of areas are reported (province_id, operation, reported)."""
+    got = revisions.join(areas.select("id", "province_id").hint("merge"), "id", "left").groupBy("province_id", "operation").agg(F.count_distinct("id").alias("n"))
+    j = got.join(report, ["province_id", "operation"], "full").na.fill(0, ["n", "reported"])
+    return j.where("n <> reported").select("province_id", "operation", "n", "reported")
 
 
 def move_members(membership: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,11 +187,13 @@ def best_overlap(sources: DataFrame, targets: DataFrame, pairs: DataFrame, winne
 
 
 def child_coverage(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """Children (area_id, parent_id, track, rings) against their parents: parent_id, track, covered, outside, uncovered."""
-    pairs = children.join(parents.select(F.col("area_id").alias("parent_id")), "parent_id", "left_semi").select(F.col("area_id").alias("a"), F.col("parent_id").alias("b"), "track")
-    o = overlay_areas(pairs.select("a", "b"), children, parents).join(pairs, ["a", "b"])
-    g = o.groupBy(F.col("b").alias("parent_id"), "track").agg(F.sum("intersection").alias("covered"), F.sum("outside_a").alias("outside"), F.first("area_b").alias("parent_area"))
-    return g.select("parent_id", "track", "covered", "outside", (F.col("parent_area") - F.col("covered")).alias("uncovered"))
+    """Children (area_id, parent_id, track, rings) against their parents: parent_id, track, covered, outside, uncovered, repeated.
+
+    The children of a parent and track are united first: what they cover twice is no cover of the rest.
+    """
+    kids = children.join(parents.select(F.col("area_id").alias("parent_id")), "parent_id", "left_semi").select("parent_id", "track", "rings")
+    whole = parents.select(F.col("area_id").alias("parent_id"), "rings").hint("merge").join(kids.select("parent_id", "track").distinct(), "parent_id")
+    return coverage(whole.select("parent_id", "track", "rings"), kids, ["parent_id", "track"])
 
 
 def fingerprints(geometry: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Polygon overlay on edge tables: split edges at crossings, classify the fragments, keep some.
+"""Polygon overlay: regions of arrangements, as areas, as outlines and as whole shapes.
 
-All steps are joins and aggregates keyed by the pair, so overlays of whole releases run as
-one distributed plan.
+All steps are joins and aggregates keyed by pair and cell, so overlays of whole releases, and of
+shapes with very many vertices, run as one distributed plan.
 """
 
 from __future__ import annotations
@@ -10,87 +10,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaframe.functions import geometry as G
-
-EPS = 1e-12
+from areaframe.operators import arrangement as A
 
 
 def pair_edges(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, b, side ('A', 'B'), eid, ax, ay, bx, by for the pairs (a, b) of two (area_id, rings) tables."""
+    """a, b, side ('A', 'B'), ax, ay, bx, by for the pairs (a, b) of two (area_id, rings) tables."""
 
     def side(df: DataFrame, key: str, name: str) -> DataFrame:
-        e = df.select(F.col("area_id").alias(key), F.posexplode(G.edges("rings")).alias("eid", "e"))
-        return pairs.join(e, key).select("a", "b", F.lit(name).alias("side"), "eid", "e.ax", "e.ay", "e.bx", "e.by")
+        e = df.select(F.col("area_id").alias(key), F.explode(G.edges("rings")).alias("e"))
+        return pairs.hint("merge").join(e, key).select("a", "b", F.lit(name).alias("side"), "e.ax", "e.ay", "e.bx", "e.by")
 
     return side(left, "a", "A").unionByName(side(right, "b", "B"))
 
 
-def fragments(edges: DataFrame) -> DataFrame:
-    """Edges cut where they meet an edge of the other side: a, b, side, px, py, qx, qy."""
-    e, o = edges.alias("e"), edges.alias("o")
-    near = "least(e.ax, e.bx) <= greatest(o.ax, o.bx) AND least(o.ax, o.bx) <= greatest(e.ax, e.bx) AND least(e.ay, e.by) <= greatest(o.ay, o.by) AND least(o.ay, o.by) <= greatest(e.ay, e.by)"
-    met = e.join(o, (F.col("e.a") == F.col("o.a")) & (F.col("e.b") == F.col("o.b")) & (F.col("e.side") != F.col("o.side")) & F.expr(near))
-    met = met.withColumn("d", F.expr("(e.bx - e.ax) * (o.by - o.ay) - (e.by - e.ay) * (o.bx - o.ax)"))
-    met = met.withColumn("l2", F.expr("(e.bx - e.ax) * (e.bx - e.ax) + (e.by - e.ay) * (e.by - e.ay)"))
-    t = F.expr("((o.ax - e.ax) * (o.by - o.ay) - (o.ay - e.ay) * (o.bx - o.ax)) / nullif(d, 0D)")
-    u = F.expr("((o.ax - e.ax) * (e.by - e.ay) - (o.ay - e.ay) * (e.bx - e.ax)) / nullif(d, 0D)")
-    on = "((o.{p}x - e.ax) * (e.bx - e.ax) + (o.{p}y - e.ay) * (e.by - e.ay)) / l2"
-    collinear = F.expr("d = 0D AND (o.ax - e.ax) * (e.by - e.ay) = (o.ay - e.ay) * (e.bx - e.ax)")
-    cuts = F.when(F.col("d") != 0, F.when(u.between(-EPS, 1 + EPS), F.array(t))).when(collinear, F.array(F.expr(on.format(p="a")), F.expr(on.format(p="b"))))
-    met = met.select("e.a", "e.b", "e.side", "e.eid", F.explode(cuts).alias("t")).where((F.col("t") > EPS) & (F.col("t") < 1 - EPS))
-    met = met.groupBy("a", "b", "side", "eid").agg(F.collect_set("t").alias("ts"))
-    cut = edges.join(met, ["a", "b", "side", "eid"], "left")
-    cut = cut.withColumn("ts", F.expr("array_sort(concat(array(0D), coalesce(ts, cast(array() AS array<double>)), array(1D)))"))
-    cut = cut.select("*", F.explode(F.expr("transform(sequence(1, size(ts) - 1), i -> named_struct('f', ts[i - 1], 't', ts[i]))")).alias("s"))
-    at = lambda f, c: F.expr(f"CASE WHEN s.{f} = 0D THEN a{c} WHEN s.{f} = 1D THEN b{c} ELSE a{c} + s.{f} * (b{c} - a{c}) END")
-    return cut.select("a", "b", "side", "eid", F.col("s.f").alias("nth"), at("f", "x").alias("px"), at("f", "y").alias("py"), at("t", "x").alias("qx"), at("t", "y").alias("qy"))
-
-
-def classified(edges: DataFrame) -> DataFrame:
-    """Fragments with inside (even-odd in the other side) and flag: 2 on one of its edges in the
-    same direction, 1 in the opposite one, 0 off its boundary."""
-    f = fragments(edges).withColumn("mx", F.expr("(px + qx) / 2D")).withColumn("my", F.expr("(py + qy) / 2D")).alias("f")
-    o = edges.select("a", "b", F.when(F.col("side") == "A", "B").otherwise("A").alias("side"), "ax", "ay", "bx", "by").alias("e")
-    j = f.join(o, (F.col("f.a") == F.col("e.a")) & (F.col("f.b") == F.col("e.b")) & (F.col("f.side") == F.col("e.side")), "left")
-    off = "abs((e.bx - e.ax) * (my - e.ay) - (e.by - e.ay) * (mx - e.ax))"
-    size_ = "(abs(e.bx - e.ax) + abs(e.by - e.ay))"
-    on = f"({off} <= {EPS} * greatest(1D, {size_} * {size_}) AND mx BETWEEN least(e.ax, e.bx) - {EPS} AND greatest(e.ax, e.bx) + {EPS} AND my BETWEEN least(e.ay, e.by) - {EPS} AND greatest(e.ay, e.by) + {EPS})"
-    flag = F.expr(f"CASE WHEN NOT {on} THEN 0 WHEN (qx - px) * (e.bx - e.ax) + (qy - py) * (e.by - e.ay) > 0 THEN 2 ELSE 1 END")
-    cross = F.expr(f"CASE WHEN {G.CROSSES.format(x='mx', y='my')} THEN 1 ELSE 0 END")
-    keys = ["f.a", "f.b", "f.side", "f.eid", "f.nth"]
-    out = j.groupBy(*keys).agg(*(F.first(f"f.{c}").alias(c) for c in ("px", "py", "qx", "qy")), (F.sum(cross) % 2 == 1).alias("inside"), F.max(F.coalesce(flag, F.lit(0))).alias("flag"))
-    return out.drop("nth")
-
-
-_CROSS = "(px * qy - py * qx) / 2D"
-KEEP = {
-    "intersection": "(flag = 2 AND side = 'A') OR (flag = 0 AND inside)",
-    "union": "(flag = 2 AND side = 'A') OR (flag = 0 AND NOT inside)",
-}
-
-
 def overlay_areas(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """a, b, area_a, area_b, intersection, outside_a (a minus b), outside_b, union_area, in square units."""
-    f = classified(pair_edges(pairs, left, right))
-    sums = f.groupBy("a", "b").agg(
-        F.sum(F.expr(f"CASE WHEN side = 'A' THEN {_CROSS} ELSE 0D END")).alias("area_a"),
-        F.sum(F.expr(f"CASE WHEN side = 'B' THEN {_CROSS} ELSE 0D END")).alias("area_b"),
-        *(F.sum(F.expr(f"CASE WHEN {rule} THEN {_CROSS} ELSE 0D END")).alias(name if name == "intersection" else "union_area") for name, rule in KEEP.items()),
-    )
+    arcs = A.arranged(pair_edges(pairs, left, right), ["a", "b"])
+    named = {"area_a": "a", "area_b": "b", "intersection": "intersection", "union_area": "union"}
+    sums = arcs.groupBy("a", "b").agg(*(A.region_area(r).alias(n) for n, r in named.items()))
     return sums.withColumn("outside_a", F.expr("area_a - intersection")).withColumn("outside_b", F.expr("area_b - intersection"))
 
 
 def boundary(pairs: DataFrame, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Directed boundary fragments of intersection, union, difference (a minus b) or symmetric difference."""
-    f = classified(pair_edges(pairs, left, right))
-    out = ["a", "b", "px", "py", "qx", "qy"]
-    turned = lambda x: x.select("a", "b", F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("px").alias("qx"), F.col("py").alias("qy"))
-    if how in KEEP:
-        return f.where(KEEP[how]).select(*out)
-    minus = f.where("side = 'A' AND (flag = 1 OR (flag = 0 AND NOT inside))").select(*out).unionByName(turned(f.where("side = 'B' AND flag = 0 AND inside")))
-    if how == "difference":
-        return minus
-    rest = f.where("side = 'B' AND (flag = 1 OR (flag = 0 AND NOT inside))").select(*out).unionByName(turned(f.where("side = 'A' AND flag = 0 AND inside")))
-    return minus.unionByName(rest)
+    return A.region_edges(A.arranged(pair_edges(pairs, left, right), ["a", "b"]), how, ["a", "b"])
+
+
+def shapes(pairs: DataFrame, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """a, b, rings of intersection, union, difference or symmetric difference; empty results give no row."""
+    return A.polygons(boundary(pairs, left, right, how), ["a", "b"])
+
+
+def united(members: DataFrame, by: str) -> DataFrame:
+    """The union of each group of members (``by``, rings), which may overlap or share edges in part: ``by``, rings."""
+    arcs = A.arranged(A.shape_edges(members, [by], "A"), [by])
+    return A.polygons(A.region_edges(arcs, "a", [by]), [by])
+
+
+def coverage(parents: DataFrame, children: DataFrame, key: list[str]) -> DataFrame:
+    """key, covered, outside, uncovered, repeated: the union of all children (key, rings) of a key against its parent (key, rings).
+
+    All children are laid over each other at once, so what two of them share counts once in
+    ``covered`` and is what ``repeated`` measures.
+    """
+    edges = A.shape_edges(children, key, "A").unionByName(A.shape_edges(parents, key, "B"))
+    named = {"covered": "intersection", "outside": "difference", "uncovered": "outside_b", "repeated": "repeated"}
+    return A.arranged(edges, key).groupBy(*key).agg(*(A.region_area(r).alias(n) for n, r in named.items()))
 
 
 def dissolve(members: DataFrame, by: str) -> DataFrame:
@@ -110,31 +75,29 @@ def outline_measures(outline: DataFrame, by: str) -> DataFrame:
     return outline.groupBy(by).agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.expr("net * (lx * hy - ly * hx) / 2D")).alias("area"))
 
 
-def self_faces(shapes: DataFrame) -> DataFrame:
-    """Even-odd repair of self-crossing shapes (area_id, rings): area_id, px, py, qx, qy, area share.
+def outline_edges(outline: DataFrame, by: str) -> DataFrame:
+    """Directed edges (by, px, py, qx, qy) of dissolved outlines, for ``arrangement.polygons``."""
+    at = lambda a, b: F.when(F.col("net") > 0, F.col(a)).otherwise(F.col(b))
+    return outline.select(by, at("lx", "hx").alias("px"), at("ly", "hy").alias("py"), at("hx", "lx").alias("qx"), at("hy", "ly").alias("qy"))
+
+
+def self_faces(shapes_: DataFrame) -> DataFrame:
+    """Even-odd repair of self-crossing shapes (area_id, rings): area_id, px, py, qx, qy.
 
     Edges are cut at their crossings with each other; a fragment stays where exactly one of
     its sides is inside, turned so that the inside lies on its left.
     """
-    e = shapes.select("area_id", F.posexplode(G.edges("rings")).alias("eid", "e")).select("area_id", "eid", "e.ax", "e.ay", "e.bx", "e.by")
-    a, o = e.alias("e"), e.alias("o")
-    met = a.join(o, (F.col("e.area_id") == F.col("o.area_id")) & (F.col("e.eid") != F.col("o.eid")))
-    d = "((e.bx - e.ax) * (o.by - o.ay) - (e.by - e.ay) * (o.bx - o.ax))"
-    t = F.expr(f"((o.ax - e.ax) * (o.by - o.ay) - (o.ay - e.ay) * (o.bx - o.ax)) / nullif({d}, 0D)")
-    u = F.expr(f"((o.ax - e.ax) * (e.by - e.ay) - (o.ay - e.ay) * (e.bx - e.ax)) / nullif({d}, 0D)")
-    met = met.select("e.area_id", "e.eid", t.alias("t"), u.alias("u")).where((F.col("t") > EPS) & (F.col("t") < 1 - EPS) & F.col("u").between(-EPS, 1 + EPS))
-    ts = met.groupBy("area_id", "eid").agg(F.collect_set("t").alias("ts"))
-    cut = e.join(ts, ["area_id", "eid"], "left").withColumn("ts", F.expr("array_sort(concat(array(0D), coalesce(ts, cast(array() AS array<double>)), array(1D)))"))
-    cut = cut.select("*", F.explode(F.expr("transform(sequence(1, size(ts) - 1), i -> named_struct('f', ts[i - 1], 't', ts[i]))")).alias("s"))
-    at = lambda f, c: F.expr(f"a{c} + s.{f} * (b{c} - a{c})")
-    f = cut.select("area_id", "eid", F.col("s.f").alias("nth"), at("f", "x").alias("px"), at("f", "y").alias("py"), at("t", "x").alias("qx"), at("t", "y").alias("qy"))
-    # a point just left and one just right of each midpoint
-    step = "1e-7D"
-    f = f.withColumn("lx", F.expr(f"(px + qx) / 2D - {step} * (qy - py)")).withColumn("ly", F.expr(f"(py + qy) / 2D + {step} * (qx - px)"))
-    f = f.withColumn("rx", F.expr(f"(px + qx) / 2D + {step} * (qy - py)")).withColumn("ry", F.expr(f"(py + qy) / 2D - {step} * (qx - px)"))
-    j = f.alias("f").join(a, F.col("f.area_id") == F.col("e.area_id"))
-    side = lambda x, y: F.sum(F.expr(f"CASE WHEN {G.CROSSES.format(x=x, y=y)} THEN 1 ELSE 0 END")) % 2 == 1
-    keys = ["f.area_id", "f.eid", "f.nth"]
-    g = j.groupBy(*keys).agg(*(F.first(f"f.{c}").alias(c) for c in ("px", "py", "qx", "qy")), side("lx", "ly").alias("left"), side("rx", "ry").alias("right")).where("left <> right")
-    pick = lambda x, y: F.when(F.col("left"), F.col(x)).otherwise(F.col(y))
-    return g.select("area_id", pick("px", "qx").alias("px"), pick("py", "qy").alias("py"), pick("qx", "px").alias("qx"), pick("qy", "py").alias("qy"))
+    return A.region_edges(A.arranged(A.shape_edges(shapes_, ["area_id"], "A"), ["area_id"]), "odd", ["area_id"])
+
+
+def repaired(shapes_: DataFrame) -> DataFrame:
+    """area_id, rings: the even-odd repair as whole rings."""
+    return A.polygons(self_faces(shapes_), ["area_id"])
+
+
+def unproven(candidate: DataFrame, proof: DataFrame, key: list[str]) -> DataFrame:
+    """key, area: where candidate and proof (key, rings) cover different places; no row where they are equal,
+    whatever vertices they have."""
+    edges = A.shape_edges(candidate, key, "A").unionByName(A.shape_edges(proof, key, "B"))
+    arcs = A.arranged(edges, key).where("((la > 0) <> (lb > 0)) <> ((ra > 0) <> (rb > 0))")
+    return arcs.groupBy(*key).agg(A.region_area("symmetric difference").alias("area"))

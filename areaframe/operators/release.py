@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from areaframe.functions import geometry as G
 from areaframe.functions.text import fold_text
 from areaframe.operators.contract import violations
-from areaframe.operators.overlay import overlay_areas
+from areaframe.operators.arrangement import arranged, polygons, region_edges, shape_edges
+from areaframe.operators.overlay import overlay_areas, unproven
 
 # The states that a municipal audit may report, those of settled areas, and the
 # least share of a published extent that its predecessors must cover.
@@ -58,7 +60,7 @@ def one_way_merge(members: DataFrame, reference: DataFrame, least: float = LEAST
     pairs = members.join(r, "successor_id", "left_semi").select(F.col("area_id").alias("a"), F.col("successor_id").alias("b"))
     o = overlay_areas(pairs, members.select("area_id", "rings").dropDuplicates(["area_id"]), reference)  # an area may be in several plans
     share = F.try_divide(F.sum("intersection"), F.first("area_b"))
-    return o.groupBy(F.col("b").alias("successor_id")).agg(share.alias("share")).withColumn("accepted", F.coalesce(F.col("share") >= least, F.lit(False)))
+    return o.groupBy(F.col("b").alias("successor_id")).agg(share.alias("share")).withColumn("accepted", F.coalesce(F.round("share", 9) >= least, F.lit(False)))
 
 
 def audit_ledger(baseline: DataFrame, audited: DataFrame, complete: bool = False) -> DataFrame:
@@ -110,6 +112,33 @@ def sliver_correction(pairs: DataFrame, candidates: DataFrame, assigned: DataFra
     return o.select("a", "b", F.col("intersection").alias("overlap"), ((F.col("intersection") <= most) & (F.col("intersection") <= share * F.col("area_a"))).alias("correctable"))
 
 
+def cut_slivers(slivers: DataFrame, candidates: DataFrame, assigned: DataFrame) -> DataFrame:
+    """area_id, rings, area: candidates (area_id, rings) without the correctable overlaps (a, b, correctable) of ``sliver_correction``.
+
+    A candidate with an overlap that may not be cut stays as it is and gets no row.
+    """
+    whole = slivers.groupBy("a").agg(F.bool_and("correctable").alias("all")).where("all").select("a")
+    pairs = slivers.join(whole.hint("merge"), "a", "left_semi").select("a", "b")
+    own = candidates.select(F.col("area_id").alias("a"), "rings").join(whole.hint("merge"), "a", "left_semi")
+    others = pairs.join(assigned.select(F.col("area_id").alias("b"), "rings").hint("merge"), "b").select("a", "rings")
+    edges = shape_edges(own, ["a"], "A").unionByName(shape_edges(others, ["a"], "B"))
+    out = polygons(region_edges(arranged(edges, ["a"]), "difference", ["a"]), ["a"])
+    return out.select(F.col("a").alias("area_id"), "rings", G.area("rings").alias("area"))
+
+
+def migration_proofs(predecessors: DataFrame, successors: DataFrame) -> DataFrame:
+    """successor_id, proven, differs: whether a successor (area_id, rings) covers exactly what its predecessors (successor_id, rings) cover together.
+
+    Both are cut at each other first, so neither has to have the other's vertices; ``differs`` is the area
+    that only one of them covers.
+    """
+    s = successors.select(F.col("area_id").alias("successor_id"), "rings")
+    diff = unproven(s, predecessors.select("successor_id", "rings"), ["successor_id"])
+    ids = s.select("successor_id").unionByName(predecessors.select("successor_id")).distinct()
+    j = ids.join(diff.hint("merge"), "successor_id", "left")
+    return j.select("successor_id", F.col("area").isNull().alias("proven"), F.coalesce("area", F.lit(0.0)).alias("differs"))
+
+
 def relationship_evidence(candidates: DataFrame, parents: DataFrame, others: DataFrame, peers: DataFrame, least: float = 1e-9) -> DataFrame:
     """area_id, outside, others, peers, reason: what a candidate (area_id, parent_id, rings) shares with whom.
 

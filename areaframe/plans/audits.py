@@ -9,7 +9,7 @@ from areaframe.functions import geometry as G
 from areaframe.functions import text as T
 from areaframe.operators import catalogue, cells, conformance, contract, editions, hierarchy, lifecycle, lookup, overlay, population, release, review
 from areaframe.plans import lookups, records
-from areaframe.plans.lookups import BASE, GRID, IN_MUNI, MUNI, MUNI_BOXES, SHARED
+from areaframe.plans.lookups import BASE, GRID, IN_MUNI, MOVED_BOXES, MUNI, MUNI_BOXES, SHARED
 from areaframe.plans.records import ADJUSTED, AREAS, CLOSURE, _id
 from areaframe.sources import fixtures as X
 
@@ -128,9 +128,9 @@ def corridor_distances(spark: SparkSession, d: str) -> DataFrame:
 
 def envelope_violations(spark: SparkSession, d: str) -> DataFrame:
     """Stored boxes, of which every fifth is a tenth too narrow."""
-    m = X.municipalities(spark, d).where("shape = 'plain'")
+    m = X.municipalities(spark, d).where(SHAPED)
     boxes = m.select(_id("m-", "s_suppkey").alias("area_id"), F.col("x0").alias("west"), F.col("y0").alias("south"), F.expr("CASE WHEN s_suppkey % 5 = 0 THEN x1 - .1D * w ELSE x1 END").alias("east"), F.col("y1").alias("north"))
-    return conformance.envelope_faults(_shapes(spark, d, "shape = 'plain'"), boxes)
+    return conformance.envelope_faults(_shapes(spark, d), boxes)
 
 
 def small_parts_removed(spark: SparkSession, d: str) -> DataFrame:
@@ -167,8 +167,8 @@ def edition_row_faults(spark: SparkSession, d: str) -> DataFrame:
 
 def surroundings(spark: SparkSession, d: str) -> DataFrame:
     areas = X.areas(spark, d).where("layer IN ('shared', 'administrative')")
-    near = hierarchy.surroundings(areas, areas.where("level = 'municipality'").select("id"))
-    return near.groupBy("id").agg(F.count(F.lit(1)).alias("n_near"))
+    near = hierarchy.surrounding_counts(areas, areas.where("level = 'municipality'").select("id"))
+    return near.where("n_near > 0")
 
 
 def population_accounts(spark: SparkSession, d: str) -> DataFrame:
@@ -244,14 +244,14 @@ def ordered_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def one_way_merges(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring plain municipalities as mergers, against published extents that reach further east."""
+    """Neighbouring municipalities as mergers, against published extents that are whole boxes and reach further east."""
     from pyspark.sql.window import Window
 
-    m = X.municipalities(spark, d).where("shape = 'plain'")
+    m = X.municipalities(spark, d).where(SHAPED)
     w = Window.partitionBy("s_nationkey").orderBy("k")
     pairs = m.withColumns({"nk": F.lead("k").over(w), "other": F.lead("s_suppkey").over(w), "ox1": F.lead("x1").over(w)}).where("nk = k + 1")
     rows = pairs.select(_id("s-", "s_suppkey").alias("successor_id"), F.explode(F.array("s_suppkey", "other")).alias("k")).select("successor_id", _id("m-", "k").alias("area_id"))
-    members = rows.join(_shapes(spark, d, "shape = 'plain'"), "area_id").select("successor_id", "area_id", "rings")
+    members = rows.join(_shapes(spark, d), "area_id").select("successor_id", "area_id", "rings")
     reference = pairs.select(_id("s-", "s_suppkey").alias("area_id"), F.expr(f"array({G.box_rings('x0', 'y0', 'ox1 + .06D * (s_suppkey % 8) * w', 'y1')})").alias("rings"))
     return release.one_way_merge(members, reference).select("successor_id", F.round("share", 6).alias("share"), "accepted")
 
@@ -464,12 +464,12 @@ ORACLES = {
     "count_mismatches": "WITH c AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS nation, 15*count(*) AS expected FROM supplier GROUP BY 1) SELECT nation, coalesce(expected,0) AS expected, coalesce(n,0) AS n FROM s FULL JOIN c USING(nation) WHERE coalesce(expected,0)<>coalesce(n,0)",
     "rule_selection": "SELECT 'e1' AS edition, c_custkey AS row_id FROM customer WHERE c_mktsegment IN ('BUILDING','MACHINERY') AND c_nationkey IN (1,2,3) UNION ALL SELECT 'e2', c_custkey FROM customer WHERE c_mktsegment='FURNITURE'",
     "source_record_faults": "SELECT s_suppkey, concat_ws(',', CASE WHEN s_suppkey%9=0 THEN 'division_prefix,province_prefix' END, CASE WHEN s_suppkey%10=0 THEN 'label' END) AS violations FROM supplier WHERE s_suppkey%9=0 OR s_suppkey%10=0",
-    "symmetric_difference": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, round(.05e0*w*(s_suppkey%8)*16e0,6) AS area FROM muni WHERE shape='plain' AND s_suppkey%8<>0",
+    "symmetric_difference": f"""WITH muni AS ({MUNI}), {MUNI_BOXES}, {MOVED_BOXES} SELECT area_id, round(2e0*(a-i),6) AS area FROM kept WHERE a-i>1e-9""",
     "retraced_edges": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, x1 AS ax, y1 AS ay, x1 AS bx, y1+1e0 AS \"by\" FROM muni WHERE shape='plain' AND s_suppkey%2=0",
     "boundary_equality": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, s_suppkey%10<>0 AS same FROM muni WHERE {_S}",
     "hole_components": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, 0 AS part, 1 AS ring, s_suppkey%2=0 AS matched FROM muni WHERE shape='hole'",
-    "corridor_distances": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, round(.05e0*w*(s_suppkey%8),6) AS distance FROM muni WHERE shape='plain'",
-    "envelope_violations": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, CAST(2 AS BIGINT) AS n FROM muni WHERE shape='plain' AND s_suppkey%5=0",
+    "corridor_distances": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, round(.05e0*w*(s_suppkey%8),6) AS distance FROM muni WHERE {_S}",
+    "envelope_violations": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, CAST(2 AS BIGINT) AS n FROM muni WHERE {_S} AND s_suppkey%5=0",
     "small_parts_removed": f"""WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, CAST(1+CASE WHEN shape='multipart' AND .2e0*w>=.95e0 THEN 1 WHEN shape='hole' AND w>=.95e0 THEN 1 ELSE 0 END AS INT) AS n_rings,
       round(CASE shape WHEN 'plain' THEN 8e0*w WHEN 'multipart' THEN 5e0*w+CASE WHEN .2e0*w>=.95e0 THEN .2e0*w ELSE 0e0 END ELSE 8e0*w-CASE WHEN w>=.95e0 THEN w ELSE 0e0 END END,6) AS area FROM muni WHERE {_S}""",
     "revised_areas": """SELECT 'm-'||s_suppkey AS id, CASE WHEN s_suppkey%6=1 THEN 'Name '||s_suppkey ELSE 'Municipalité '||s_suppkey END AS name, CASE WHEN s_suppkey%6=0 THEN 'superseded' ELSE 'current' END AS lifecycle_status FROM supplier
@@ -496,8 +496,8 @@ ORACLES = {
     "boundary_features": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS id, 'full' AS resolution, s_suppkey%14<>0 AS suitable FROM muni WHERE {_S} UNION ALL SELECT 'm-'||s_suppkey, 'display', false FROM supplier WHERE s_suppkey%2=0",
     "ordered_matches": f"""{BASE}, hit AS (SELECT event_id, id, i FROM pts, ({GRID['fed-2']}) g WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1), m AS (SELECT DISTINCT event_id, 0 AS r, 'c' AS id FROM hit UNION SELECT event_id, 1, 'p-'||(i%5) FROM hit UNION SELECT event_id, 5, id FROM hit)
       SELECT event_id AS point_id, event_id*3 AS position, coalesce(string_agg(id, ',' ORDER BY r, id), '') AS matches FROM pts LEFT JOIN m USING(event_id) GROUP BY event_id""",
-    "one_way_merges": f"""WITH muni AS ({MUNI}), p AS (SELECT s_suppkey, k, w, lead(k) OVER o AS nk, lead(w) OVER o AS ow FROM muni WHERE shape='plain' WINDOW o AS (PARTITION BY s_nationkey ORDER BY k)), s AS (SELECT s_suppkey, (w+ow)/(w+ow+.06e0*(s_suppkey%8)*w) AS v FROM p WHERE nk=k+1)
-      SELECT 's-'||s_suppkey AS successor_id, round(v,6) AS share, v>=.9e0 AS accepted FROM s""",
+    "one_way_merges": f"""WITH muni AS ({MUNI}), p AS (SELECT s_suppkey, k, w, CASE shape WHEN 'plain' THEN 8e0*w WHEN 'hole' THEN 7e0*w ELSE 5.2e0*w END AS a, lead(k) OVER o AS nk, lead(w) OVER o AS ow, lead(CASE shape WHEN 'plain' THEN 8e0*w WHEN 'hole' THEN 7e0*w ELSE 5.2e0*w END) OVER o AS oa FROM muni WHERE {_S} WINDOW o AS (PARTITION BY s_nationkey ORDER BY k)),
+      s AS (SELECT s_suppkey, (a+oa)/(8e0*(w+ow+.06e0*(s_suppkey%8)*w)) AS v FROM p WHERE nk=k+1) SELECT 's-'||s_suppkey AS successor_id, round(v,6) AS share, round(v,9)>=.9e0 AS accepted FROM s""",
     "audit_ledger": f"""WITH s AS (SELECT s_suppkey AS k, s_suppkey%11<>0 AS there, s_suppkey%17=1 AS again FROM supplier), f AS (SELECT 'm-'||k AS id, unnest(string_split({_FAULTS(audited_once="there AND NOT again", name="NOT there OR k%13<>0 OR again AND '?'>'S'", status="NOT there OR k%7<>0 OR again AND 'done'>'qualified_partial'", evidence="NOT there OR k%5<>0")}, ',')) AS fault FROM s)
       SELECT id, fault FROM f WHERE fault<>''""",
     "coverage_gaps": f"""WITH {AREAS}, {_WARDS}, c AS (SELECT province_id, CASE WHEN m.s_suppkey%9=2 THEN 'reference' WHEN coalesce(n_current,0)>0 THEN 'included' WHEN coalesce(n_historical,0)>0 THEN 'historical_only' ELSE 'unverified' END AS s, st FROM muni m JOIN areas ON id='m-'||m.s_suppkey LEFT JOIN w ON w.s_suppkey=m.s_suppkey)
@@ -505,8 +505,8 @@ ORACLES = {
     "issues_listing": f"WITH {AREAS} SELECT id, name FROM areas WHERE st='missing_geometry' AND level='municipality'",
     "review_inventory": f"WITH {AREAS} SELECT 'municipality' AS \"table\", id, st AS status FROM areas WHERE level='municipality' AND st<>'validated_source' UNION ALL SELECT 'boundary', 'm-'||s_suppkey, 'boundary_change' FROM muni WHERE s_suppkey%19=6 AND {_S}",
     "child_union_approval": f"WITH muni AS ({MUNI}), city AS ({X.CITY.format(customer='customer', muni='muni')}) SELECT DISTINCT 'm-'||s_suppkey AS parent_id, scheme, shape='plain' AS approved FROM city JOIN (SELECT s_suppkey, shape FROM muni WHERE {_S}) m USING(s_suppkey)",
-    "sliver_corrections": f"""WITH muni AS ({MUNI}), o AS (SELECT s_suppkey, x0, x1, y0, w FROM muni WHERE shape='plain'), n AS (SELECT s_suppkey, x0+.05e0*w*(s_suppkey%8) AS x0, x1+.05e0*w*(s_suppkey%8) AS x1, y0, w FROM o),
-      p AS (SELECT 'm-'||n.s_suppkey AS a, 'm-'||o.s_suppkey AS b, 8e0*(least(n.x1,o.x1)-greatest(n.x0,o.x0)) AS v, n.w AS w FROM n JOIN o ON n.y0=o.y0 AND n.s_suppkey<>o.s_suppkey) SELECT a, b, round(v,6) AS overlap, v<=.151e0*8e0*w AS correctable FROM p WHERE v>1e-9""",
+    "sliver_corrections": f"""WITH muni AS ({MUNI}), {MUNI_BOXES}, {MOVED_BOXES}, p AS (SELECT n.area_id AS a, o.area_id AS b, sum(n.sgn*o.sgn*greatest(0e0, least(n.bx1,o.bx1)-greatest(n.bx0,o.bx0))*greatest(0e0, least(n.by1,o.by1)-greatest(n.by0,o.by0))) AS v FROM moved n JOIN boxes o ON n.area_id<>o.area_id GROUP BY 1,2)
+      SELECT p.a, b, round(v,6) AS overlap, v<=.151e0*kept.a AS correctable FROM p JOIN kept ON kept.area_id=p.a WHERE v>1e-9""",
     "relationship_evidence": f"""WITH muni AS ({MUNI}), {MUNI_BOXES}, city AS ({X.CITY.format(customer='customer', muni='muni')}), k AS (SELECT 'a-'||c_custkey AS a, s_suppkey, x0, CASE WHEN c_custkey%2=0 THEN x1+.2e0*(x1-x0) ELSE x1 END AS x1, cy0 AS y0, cy1 AS y1 FROM city WHERE scheme='alt' AND s_suppkey IN (SELECT s_suppkey FROM muni WHERE {_S})),
       o AS (SELECT a, area_id, sum({SHARED}) AS v, 'm-'||k.s_suppkey AS own, max((x1-x0)*(y1-y0)) AS area FROM k, boxes WHERE bx0<x1 AND x0<bx1 AND by0<y1 AND y0<by1 GROUP BY ALL), e AS (SELECT k.a, (k.x1-k.x0)*(k.y1-k.y0)-coalesce(max(v) FILTER (area_id=own),0) AS outside, count(*) FILTER (area_id<>own AND v>1e-6) AS n_others FROM k LEFT JOIN o ON o.a=k.a GROUP BY k.a, k.x0, k.x1, k.y0, k.y1),
       p AS (SELECT k.a, count(*) AS n_peers, bool_or(q.x0>=k.x0 AND q.x1<=k.x1 AND q.y0>=k.y0 AND q.y1<=k.y1 OR k.x0>=q.x0 AND k.x1<=q.x1 AND k.y0>=q.y0 AND k.y1<=q.y1) AS inn FROM k JOIN k q ON k.a<>q.a AND (least(k.x1,q.x1)-greatest(k.x0,q.x0))>0 AND (least(k.y1,q.y1)-greatest(k.y0,q.y0))>0 AND (least(k.x1,q.x1)-greatest(k.x0,q.x0))*(least(k.y1,q.y1)-greatest(k.y0,q.y0))>1e-6 GROUP BY 1)

@@ -189,6 +189,10 @@ def pairwise_overlap(spark: SparkSession, d: str) -> DataFrame:
 MUNI_BOXES = """boxes AS (SELECT 'm-'||s_suppkey AS area_id, s_nationkey, x0 AS bx0, x1 AS bx1, y0 AS by0, CASE WHEN shape='multipart' THEN y0+5e0 ELSE y1 END AS by1, 1e0 AS sgn FROM muni WHERE shape IN ('plain','hole','multipart')
  UNION ALL SELECT 'm-'||s_suppkey, s_nationkey, x0+.4e0*w, x0+.6e0*w, y0+6e0, y0+7e0, 1e0 FROM muni WHERE shape='multipart'
  UNION ALL SELECT 'm-'||s_suppkey, s_nationkey, x0+.25e0*w, x0+.75e0*w, y0+2e0, y0+4e0, -1e0 FROM muni WHERE shape='hole')"""
+# the same boxes after they moved east, and what each area has in common with where it was
+MOVED_BOXES = """moved AS (SELECT area_id, b.s_nationkey, bx0+.05e0*w*(s_suppkey%8) AS bx0, bx1+.05e0*w*(s_suppkey%8) AS bx1, by0, by1, sgn FROM boxes b JOIN muni ON area_id='m-'||s_suppkey),
+  kept AS (SELECT area_id, any_value(s_nationkey) AS s_nationkey, sum(i) AS i, any_value(a) AS a FROM (SELECT n.area_id, n.s_nationkey, n.sgn*o.sgn*greatest(0e0, least(n.bx1,o.bx1)-greatest(n.bx0,o.bx0))*greatest(0e0, least(n.by1,o.by1)-greatest(n.by0,o.by0)) AS i FROM moved n JOIN boxes o USING(area_id))
+    JOIN (SELECT area_id, sum(sgn*(bx1-bx0)*(by1-by0)) AS a FROM boxes GROUP BY 1) USING(area_id) GROUP BY area_id)"""
 SHARED = "sgn*greatest(0e0, least(bx1,x1)-greatest(bx0,x0))*greatest(0e0, least(by1,y1)-greatest(by0,y0))"
 
 
@@ -201,8 +205,8 @@ def child_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _moved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Plain municipalities and their extents moved east by 0.05 w (s_suppkey % 8)."""
-    m = X.municipalities(spark, d).where("shape = 'plain'")
+    """Municipalities with an assignment, and their extents moved east by 0.05 w (s_suppkey % 8)."""
+    m = X.municipalities(spark, d).where("shape IN ('plain', 'hole', 'multipart')")
     old = X.municipal_geometry(m).where("role = 'assignment'")
     new = X.municipal_geometry(m.withColumn("x0", F.expr("x0 + .05D * w * (s_suppkey % 8)")).withColumn("x1", F.expr("x1 + .05D * w * (s_suppkey % 8)"))).where("role = 'assignment'")
     return m, old, new
@@ -229,11 +233,12 @@ def best_overlap_crosswalk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dissolve_area(spark: SparkSession, d: str) -> DataFrame:
-    """Regions as the union of their plain members: outline edges and enclosed area."""
-    m = X.municipalities(spark, d).where("shape = 'plain'")
-    g = X.municipal_geometry(m).where("role = 'assignment'").join(m.select(F.concat(F.lit("m-"), F.col("s_suppkey").cast("string")).alias("area_id"), "s_nationkey"), "area_id")
-    out = overlay.outline_measures(overlay.dissolve(g, "s_nationkey"), "s_nationkey")
-    return out.select("s_nationkey", F.col("n_edges").cast("long").alias("n_edges"), F.round("area", 6).alias("area"))
+    """Regions as the union of all members that have an extent, as whole rings."""
+    m = X.municipalities(spark, d).select(F.concat(F.lit("m-"), F.col("s_suppkey").cast("string")).alias("area_id"), "s_nationkey")
+    g = _muni_geometry(spark, d, "assignment").join(m, "area_id")
+    out = overlay.united(g, "s_nationkey")
+    parts, holes = (F.expr(f"CAST(size(filter(rings, r -> r.ring {op} 0)) AS BIGINT)") for op in ("=", ">"))
+    return out.select("s_nationkey", parts.alias("n_parts"), holes.alias("n_holes"), F.round(G.area("rings"), 6).alias("area"))
 
 
 def repair_ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -335,13 +340,13 @@ ORACLES = {
       parent AS (SELECT area_id, sum(sgn*(bx1-bx0)*(by1-by0)) AS a FROM boxes GROUP BY 1),
       inside AS (SELECT parent_id, scheme, sum({SHARED}) AS s FROM c JOIN boxes ON area_id=parent_id GROUP BY 1,2), own AS (SELECT parent_id, scheme, sum((x1-x0)*(y1-y0)) AS o FROM c GROUP BY 1,2)
       SELECT parent_id, scheme, round(s,6)+0e0 AS covered, round(o-s,6)+0e0 AS outside, round(a-s,6)+0e0 AS uncovered FROM inside JOIN own USING(parent_id, scheme) JOIN parent ON area_id=parent_id""",
-    "extent_compare": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, round(1e0-.05e0*(s_suppkey%8),6) AS old_share, round(1e0-.05e0*(s_suppkey%8),6) AS new_share FROM muni WHERE shape='plain'",
-    "adjustment_groups": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, s_nationkey*10+s_suppkey%3 AS \"group\", s_suppkey%8<=4 AS sufficient, bool_and(s_suppkey%8<=4) OVER (PARTITION BY s_nationkey*10+s_suppkey%3) AS applied FROM muni WHERE shape='plain'",
+    "extent_compare": f"""WITH muni AS ({MUNI}), {MUNI_BOXES}, {MOVED_BOXES} SELECT area_id, round(i/a,6) AS old_share, round(i/a,6) AS new_share FROM kept""",
+    "adjustment_groups": f"""WITH muni AS ({MUNI}), {MUNI_BOXES}, {MOVED_BOXES}, g AS (SELECT area_id, s_nationkey*10+CAST(substr(area_id,3) AS INT)%3 AS "group", i/a>=.78e0 AS sufficient FROM kept) SELECT *, bool_and(sufficient) OVER (PARTITION BY "group") AS applied FROM g""",
     "best_overlap_crosswalk": f"""WITH muni AS ({MUNI}), {MUNI_BOXES}, o AS (SELECT area_id, id, sum({SHARED}) AS s FROM boxes, ({GRID['fed-2']}) g GROUP BY 1,2 HAVING sum({SHARED})>1e-9), a AS (SELECT area_id, sum(sgn*(bx1-bx0)*(by1-by0)) AS a FROM boxes GROUP BY 1),
       r AS (SELECT area_id, s/a AS f, row_number() OVER (PARTITION BY area_id ORDER BY s DESC) AS k FROM o JOIN a USING(area_id))
       SELECT x.area_id, round(x.f,6) AS fraction, round(coalesce(y.f,0e0),6) AS runner_up, x.f>=0.9e0 AND coalesce(y.f,0e0)<=0.1e0 AS accepted FROM r x LEFT JOIN r y ON y.area_id=x.area_id AND y.k=2 WHERE x.k=1""",
-    "dissolve_area": f"""WITH muni AS ({MUNI}), p AS (SELECT *, k-row_number() OVER (PARTITION BY s_nationkey ORDER BY k) AS run FROM muni WHERE shape='plain')
-      SELECT s_nationkey, sum(e) AS n_edges, round(sum(a),6) AS area FROM (SELECT s_nationkey, run, CAST(2*count(*)+2 AS BIGINT) AS e, sum(w*8e0) AS a FROM p GROUP BY 1,2) GROUP BY 1""",
+    "dissolve_area": f"""WITH muni AS ({MUNI}), p AS (SELECT *, k-row_number() OVER (PARTITION BY s_nationkey ORDER BY k) AS run FROM muni WHERE shape IN ('plain','hole','multipart'))
+      SELECT s_nationkey, count(DISTINCT run)+count(*) FILTER (shape='multipart') AS n_parts, count(*) FILTER (shape='hole') AS n_holes, round(sum(CASE shape WHEN 'plain' THEN w*8e0 WHEN 'hole' THEN w*7e0 ELSE w*5.2e0 END),6) AS area FROM p GROUP BY 1""",
     "repair_ledger": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, round(w*8e0/2e0,5) AS repaired_area, CAST(6 AS BIGINT) AS n_edges FROM muni WHERE shape='bowtie'",
     "display_simplify": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, CAST(CASE WHEN shape='plain' THEN 4 ELSE 8 END AS BIGINT) AS n_vertices FROM muni WHERE shape IN ('plain','hole','multipart')",
     "circle_envelopes": f"""WITH pts AS ({POINTS}), c AS (SELECT event_id, x, y, 1000e0*(1+event_id%100)/{circle._LEAST!r}*1.000001e0 AS d FROM pts), h AS (SELECT *, degrees(asin(sin(d)/cos(radians(y)))) AS h FROM c)

@@ -160,16 +160,17 @@ def reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def succession(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring plain municipalities merge in pairs."""
-    m = X.municipalities(spark, d).where("shape = 'plain'")
-    nxt = F.lead("k").over(Window.partitionBy("s_nationkey").orderBy("k"))
-    nxt_id = F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("k"))
-    pairs = m.select("s_suppkey", "k", nxt.alias("nk"), nxt_id.alias("other")).where("nk = k + 1")
+    """Neighbouring municipalities of any shape merge in pairs, each second pair against a published extent that lies further east."""
+    m = X.municipalities(spark, d).where("shape IN ('plain', 'hole', 'multipart')")
+    w = Window.partitionBy("s_nationkey").orderBy("k")
+    pairs = m.withColumns({"nk": F.lead("k").over(w), "other": F.lead("s_suppkey").over(w), "ox1": F.lead("x1").over(w)}).where("nk = k + 1")
     rows = pairs.select(_id("s-", "s_suppkey").alias("successor_id"), F.explode(F.array("s_suppkey", "other")).alias("s_suppkey"))
     g = X.municipal_geometry(m).where("role = 'assignment'")
-    members = rows.select("successor_id", _id("m-", "s_suppkey").alias("area_id")).join(g, "area_id")
-    out = lifecycle.succeed(members.select("successor_id", "area_id", "rings"))
-    return out.select("successor_id", F.array_join("predecessor_ids", ",").alias("predecessors"), F.col("n_edges").cast("long").alias("n_edges"), F.round("area", 6).alias("area"))
+    members = written(rows.select("successor_id", _id("m-", "s_suppkey").alias("area_id")).join(g, "area_id").select("successor_id", "area_id", "rings"), "members")
+    moved = pairs.where("s_suppkey % 2 = 0").select(_id("s-", "s_suppkey").alias("area_id"), F.expr(f"array({G.box_rings('x0 + .07D * (s_suppkey % 8) * w', 'y0', 'ox1 + .07D * (s_suppkey % 8) * w', 'y1')})").alias("rings"))
+    out = lifecycle.succeed(members, moved).withColumn("deferred", F.when(F.regexp_extract("successor_id", r"\d+", 0).cast("int") % 2 == 0, F.col("deferred")))
+    parts, holes = (F.expr(f"CAST(size(filter(rings, r -> r.ring {op} 0)) AS BIGINT)") for op in ("=", ">"))
+    return out.select("successor_id", F.array_join("predecessor_ids", ",").alias("predecessors"), parts.alias("n_parts"), holes.alias("n_holes"), F.round("area", 6).alias("area"), "deferred")
 
 
 def region_ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -374,8 +375,11 @@ ORACLES = {
     "stale_crosswalk": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, 'changed' AS fault FROM muni WHERE s_suppkey%10=0 AND shape<>'unknown'",
     "reconcile": """SELECT 'n-'||n_nationkey AS foreign_id, CASE WHEN n_nationkey%6<>5 THEN 'matched' ELSE 'unmatched' END AS status, CASE WHEN n_nationkey%6<>5 THEN 'g-'||n_nationkey ELSE '' END AS area_ids FROM nation
       UNION ALL SELECT 'f-m-'||s_suppkey, 'matched', 'm-'||s_suppkey FROM supplier""",
-    "succession": f"""WITH muni AS ({MUNI}), p AS (SELECT s_suppkey, k, w, lead(k) OVER o AS nk, lead(s_suppkey) OVER o AS other, lead(w) OVER o AS ow FROM muni WHERE shape='plain' WINDOW o AS (PARTITION BY s_nationkey ORDER BY k))
-      SELECT 's-'||s_suppkey AS successor_id, least('m-'||s_suppkey,'m-'||other)||','||greatest('m-'||s_suppkey,'m-'||other) AS predecessors, CAST(6 AS BIGINT) AS n_edges, round((w+ow)*8e0,6) AS area FROM p WHERE nk=k+1""",
+    "succession": f"""WITH muni AS ({MUNI}), {MUNI_BOXES}, q AS (SELECT *, CASE shape WHEN 'plain' THEN 8e0*w WHEN 'hole' THEN 7e0*w ELSE 5.2e0*w END AS a FROM muni WHERE shape IN ('plain','hole','multipart')),
+      p AS (SELECT *, lead(k) OVER o AS nk, lead(s_suppkey) OVER o AS other, lead(shape) OVER o AS oshape, lead(a) OVER o AS oa, lead(x1) OVER o AS ox1 FROM q WINDOW o AS (PARTITION BY s_nationkey ORDER BY k)),
+      i AS (SELECT s_suppkey, any_value(a+oa) AS old, any_value((ox1-p.x0)*8e0) AS new, sum(sgn*greatest(0e0,least(bx1,ox1+t)-greatest(bx0,p.x0+t))*greatest(0e0,least(by1,p.y1)-greatest(by0,p.y0))) AS i FROM (SELECT *, .07e0*(s_suppkey%8)*w AS t FROM p WHERE nk=k+1) p JOIN boxes ON area_id IN ('m-'||s_suppkey,'m-'||other) GROUP BY 1)
+      SELECT 's-'||p.s_suppkey AS successor_id, least('m-'||p.s_suppkey,'m-'||other)||','||greatest('m-'||p.s_suppkey,'m-'||other) AS predecessors, 1+CAST(shape='multipart' AS BIGINT)+CAST(oshape='multipart' AS BIGINT) AS n_parts,
+        CAST(shape='hole' AS BIGINT)+CAST(oshape='hole' AS BIGINT) AS n_holes, round(a+oa,6) AS area, CASE WHEN p.s_suppkey%2=0 THEN NOT (i>=.8e0*old AND i>=.8e0*new) END AS deferred FROM p JOIN i USING(s_suppkey) WHERE nk=k+1""",
     "region_ledger": "SELECT s_nationkey AS division_id, count(*) FILTER (s_suppkey%4<>3) AS n_assigned, count(*) FILTER (s_suppkey%4=3) AS n_unassigned, CASE WHEN count(*) FILTER (s_suppkey%4=3)=0 THEN 'assigned' WHEN count(*) FILTER (s_suppkey%4<>3)=0 THEN 'unassigned' ELSE 'partially_assigned' END AS state FROM supplier GROUP BY 1",
     "release_diff": """WITH n AS (SELECT o_orderkey, o_orderkey%11<>0 AS a, o_orderkey%13<>0 AS b, o_orderkey%17=0 AND o_orderstatus<>'Z' AS s, o_orderkey%19=0 AND o_orderpriority IS NOT NULL AS p FROM orders)
       SELECT o_orderkey, CASE WHEN NOT a THEN 'added' WHEN NOT b THEN 'removed' ELSE 'changed' END AS change, CASE WHEN a AND b THEN concat_ws(',', CASE WHEN p THEN 'o_orderpriority' END, CASE WHEN s THEN 'o_orderstatus' END) END AS "columns" FROM n WHERE (a OR b) AND (NOT a OR NOT b OR s OR p)""",
@@ -394,7 +398,9 @@ ORACLES = {
       WHERE (least(p.x1,q.x1)-greatest(p.x0,q.x0))*(least(p.cy1,q.cy1)-greatest(p.cy0,q.cy0))>1e-9""",
     "city_layer_status": f"""WITH muni AS ({MUNI}), city AS ({CITY}), {MUNI_BOXES}, c AS (SELECT c_custkey, 'm-'||s_suppkey AS pid, scheme, x0, CASE WHEN c_custkey%4=1 THEN x0+.7e0*(x1-x0) ELSE x1 END AS x1, cy0 AS y0, CASE WHEN c_custkey%10=0 THEN cy1+.2e0*(cy1-cy0) ELSE cy1 END AS y1 FROM city),
       s AS (SELECT c_custkey, pid, scheme, any_value((x1-x0)*(y1-y0)) AS a, sum({SHARED}) AS i FROM c JOIN boxes ON area_id=pid GROUP BY 1,2,3), pa AS (SELECT area_id AS pid, sum(sgn*(bx1-bx0)*(by1-by0)) AS pa FROM boxes GROUP BY 1),
-      v AS (SELECT pid, scheme, round(sum(i)/any_value(pa),9) AS cov FROM s JOIN pa USING(pid) GROUP BY 1,2), o AS (SELECT p.c_custkey, sum(greatest(0e0,least(p.x1,q.x1)-greatest(p.x0,q.x0))*greatest(0e0,least(p.y1,q.y1)-greatest(p.y0,q.y0))) AS o FROM c p JOIN c q ON p.pid=q.pid AND p.scheme=q.scheme AND p.c_custkey<>q.c_custkey GROUP BY 1),
+      tw AS (SELECT p.pid, p.scheme, greatest(p.x0,q.x0) AS x0, least(p.x1,q.x1) AS x1, greatest(p.y0,q.y0) AS y0, least(p.y1,q.y1) AS y1 FROM c p JOIN c q ON p.pid=q.pid AND p.scheme=q.scheme AND p.c_custkey<q.c_custkey AND p.x0<q.x1 AND q.x0<p.x1 AND p.y0<q.y1 AND q.y0<p.y1),
+      tws AS (SELECT pid, scheme, sum({SHARED}) AS t FROM tw JOIN boxes ON area_id=pid GROUP BY 1,2),
+      v AS (SELECT pid, scheme, round((sum(i)-coalesce(any_value(t),0e0))/any_value(pa),9) AS cov FROM s JOIN pa USING(pid) LEFT JOIN tws USING(pid, scheme) GROUP BY 1,2), o AS (SELECT p.c_custkey, sum(greatest(0e0,least(p.x1,q.x1)-greatest(p.x0,q.x0))*greatest(0e0,least(p.y1,q.y1)-greatest(p.y0,q.y0))) AS o FROM c p JOIN c q ON p.pid=q.pid AND p.scheme=q.scheme AND p.c_custkey<>q.c_custkey GROUP BY 1),
       r AS (SELECT c.c_custkey, round((a-i)/a,9) AS share, coalesce(o,0e0)*1e10 AS o, a*1e10 AS a, cov FROM c LEFT JOIN s USING(c_custkey) LEFT JOIN o USING(c_custkey) LEFT JOIN v ON v.pid=c.pid AND v.scheme=c.scheme)
       SELECT CASE WHEN share IS NULL OR share>0.1 THEN 'rejected' WHEN share>0.01 THEN 'unreviewed_parent' WHEN o>greatest(1e0,1e-6*a) THEN 'unreviewed_overlap' WHEN cov<0.9 THEN 'display_reference' ELSE 'validated_source' END AS status, count(*) AS n FROM r GROUP BY 1""",
     "stable_core_area": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, round(CASE shape WHEN 'plain' THEN w*7.2e0 WHEN 'hole' THEN w*7.2e0-w ELSE w*5e0*.9e0+.2e0*w END, 5) AS area FROM muni WHERE s_suppkey%19=6 AND shape IN ('plain','hole','multipart')",
