@@ -7,9 +7,10 @@ always lie in one piece. The relation of phrases of k words is extended to k + 1
 of sorted positions, after a semi-join with the frequent groups of k words; the groups of
 all blocks are then counted.
 
-The semi-join uses a bitmap of fixed size over the frequent groups. It may let through a group
-that is not frequent, which the exact count then drops; it never loses one. So its size does not
-depend on the data, and neither does the plan.
+The semi-join uses bitmaps of fixed size over the frequent groups. They may let through a group
+that is not frequent, which the exact count then drops; they never lose one. So their size does not
+depend on the data, and neither does the plan; beyond some 50 million frequent groups they let
+more through, up to all groups of frequent words.
 """
 
 from __future__ import annotations
@@ -88,37 +89,60 @@ def occurrences(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def _mixed(columns: list[np.ndarray]) -> np.ndarray:
-    """Bit numbers of groups of keys."""
+    """64-bit hashes of groups of keys."""
     h = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
         h = (h ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-    return (h % np.uint64(BITMAP_BITS)).astype(np.int64)
+    return h
 
 
-def _bitmap(groups: DataFrame, keys: list[str]) -> np.ndarray:
-    """Bits of all groups; what reaches the driver is at most BITMAP_BITS / 64 rows."""
+def _bitmap(places: DataFrame) -> np.ndarray:
+    """The bits of all places (place, from 0); what reaches the driver is at most BITMAP_BITS / 64 rows."""
+    bit = places.select(F.pmod("place", F.lit(BITMAP_BITS)).alias("bit"))
+    bits = bit.groupBy(F.expr("bit div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(BITMAP_BITS // 64, np.uint64)
+    out[bits.column("at").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+    return out
+
 
+def _places(groups: DataFrame, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.unique(_mixed([batch.column(k).to_numpy() for k in keys]))
-            value = np.left_shift(np.uint64(1), (bit & 63).astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(value)], ["at", "bits"])
+            place = _mixed([batch.column(k).to_numpy() for k in keys]) >> _PLACE
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64))], ["place"])
+
+    return groups.select(*keys).mapInArrow(run, "place bigint")
 
-    bits = groups.select(*keys).mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BITMAP_BITS // 64, np.uint64)
-    out[bits.column("at").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
-    return out
 
+_PLACE = np.uint64(24)  # a place is the upper 40 bits of a hash
 
-def extend(blocks: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
-    """Groups of ``length`` words: k1, k2, ..., n per block, whose parts of one word less are in ``frequent``."""
+
+def extend(blocks: DataFrame, frequent: DataFrame, length: int, least: int) -> DataFrame:
+    """Groups of ``length`` words that occur ``least`` times: k1, k2, ..., n. Their parts of one word less are in ``frequent``.
+
+    Most groups occur once or twice, so places (hashes of 40 bits) are counted first, in rows a
+    third as wide, and only groups in frequent places are counted themselves. A place holds all that its
+    groups have, so none that is frequent is lost.
+    """
+    parts = _bitmap(_places(frequent, [f"k{i + 1}" for i in range(length - 1)]))
+    places = _counted(blocks, length, parts).where(F.col("n") >= least)
+    return _counted(blocks, length, parts, _bitmap(places)).where(F.col("n") >= least)
+
+
+def _counted(blocks: DataFrame, length: int, parts: np.ndarray, places: np.ndarray | None = None) -> DataFrame:
+    """Counts of groups by place, or, with a bitmap of places, of the groups in these by themselves."""
     keys = [f"k{i + 1}" for i in range(length)]
-    shared = blocks.sparkSession.sparkContext.broadcast(_bitmap(frequent, keys[:-1]))  # BITMAP_BITS bits
+    shared = blocks.sparkSession.sparkContext.broadcast((parts, places))  # BITMAP_BITS bits each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        kept = lambda columns: (bits[(b := _mixed(columns)) >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
+        parts, places = shared.value
+
+        def kept(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+            b = place % np.uint64(BITMAP_BITS)
+            return (bits[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+
+        frequent = lambda columns: kept(parts, _mixed(columns) >> _PLACE)
         for batch in batches:
             for i in range(len(batch)):
                 names = np.append(np.int64(0), batch.column("keys")[i].values.to_numpy())
@@ -129,7 +153,7 @@ def extend(blocks: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
                 for k in range(1, length):
                     # semi-join with the frequent groups of k words: the prefix here, what follows its first word below
                     if k == length - 1:
-                        keep = kept([names[g] for g in groups])[group]
+                        keep = frequent([names[g] for g in groups])[group]
                         where, group = where[keep], group[keep]
                     # merge-join with the words at the next position
                     later = np.minimum(where + k, len(word) - 1)
@@ -146,11 +170,17 @@ def extend(blocks: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
                 del word, where, group, pairs, last, met, later
                 for low in range(0, len(n), BATCH_ROWS):
                     columns = [names[g[low : low + BATCH_ROWS]] for g in groups]
-                    keep = kept(columns[1:])
-                    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns] + [pa.array(n[low : low + BATCH_ROWS][keep], pa.int64())], [*keys, "n"])
+                    place = _mixed(columns) >> _PLACE
+                    keep = frequent(columns[1:])
+                    if places is None:
+                        columns = [place.astype(np.int64)]
+                    else:
+                        keep &= kept(places, place)
+                    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns] + [pa.array(n[low : low + BATCH_ROWS][keep], pa.int64())], [*(keys if places is not None else ["place"]), "n"])
 
-    found = blocks.select("keys", "at").mapInArrow(run, ", ".join(f"{k} bigint" for k in keys) + ", n bigint")
-    return found.groupBy(*keys).agg(F.sum("n").alias("n"))
+    by = ["place"] if places is None else keys
+    found = blocks.select("keys", "at").mapInArrow(run, ", ".join(f"{k} bigint" for k in by) + ", n bigint")
+    return found.groupBy(*by).agg(F.sum("n").alias("n"))
 
 
 def _joined(df: DataFrame, counts: DataFrame, on: list[str], value: str) -> DataFrame:
@@ -188,7 +218,7 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int =
     levels = {1: named.select("k1", "n")}
     numbered = blocks.select(F.transform("words", lambda w: _key(seed, w)).alias("keys"), "at")
     for length in range(2, longest + 1):
-        levels[length] = write_table(extend(numbered, levels[length - 1], length).where(F.col("n") >= least), f"phrase-groups-{length}")
+        levels[length] = write_table(extend(numbered, levels[length - 1], length, least), f"phrase-groups-{length}")
 
     out = None
     words = named.select(F.col("k1").alias("_k1"), F.col("lang").alias("_lang"), F.col("word").alias("_word"))
