@@ -223,14 +223,15 @@ def stitched(edges: DataFrame, key: list[str]) -> DataFrame:
 def polygons(edges: DataFrame, key: list[str]) -> DataFrame:
     """key, rings (part, ring, pts): stitched rings as geometries, each hole with the smallest outer ring around it."""
     r = written(stitched(edges, key), "rings")
-    r = r.withColumns({"area_id": F.col("ring").cast("string"), "role": F.concat_ws("\u0001", *(F.col(c).cast("string") for c in key))})
     shells, holes = r.where("area > 0"), r.where("area < 0")
-    geometry = shells.select("area_id", "role", F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("ring"), "pts")).alias("rings"))
+    of = F.concat_ws("\u0001", *(F.col(c).cast("string") for c in key))  # only the rings of one key are compared
+    geometry = shells.select(F.col("ring").cast("string").alias("area_id"), of.alias("role"), F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("ring"), "pts")).alias("rings"))
     size = cell_size(geometry)
     middle = lambda c: F.expr(f"(pts[0].{c} + pts[1].{c}) / 2D")
-    points = holes.select(F.col("ring").alias("hole"), F.col("role").alias("_of"), middle("x").alias("x"), middle("y").alias("y"))
+    points = holes.select(F.col("ring").alias("hole"), of.alias("_of"), middle("x").alias("x"), middle("y").alias("y"))
     around = covering(points, written(polygon_cells(geometry, size), "cells"), "hole", "_of", size=size).where("role = _of")
-    around = around.join(shells.select("area_id", "area", "ring").hint("merge"), "area_id").groupBy("hole").agg(F.min_by("ring", F.struct("area", "ring")).alias("shell"))
+    outer = shells.select(F.col("ring").cast("string").alias("area_id"), F.struct("area", "ring").alias("_outer"))
+    around = around.join(outer.hint("merge"), "area_id").groupBy("hole").agg(F.min("_outer")["ring"].alias("shell"))
     rows = shells.select(*key, F.col("ring").alias("shell"), F.lit(-1).cast("bigint").alias("hole"), "pts")
     rows = rows.unionByName(holes.join(around.hint("merge"), F.col("ring") == F.col("hole"), "left").select(*key, "shell", F.col("ring").alias("hole"), "pts"))
     g = rows.groupBy(*key, "shell").agg(F.transform(F.array_sort(F.collect_list(F.struct("hole", "pts"))), lambda x: x["pts"]).alias("rs"))

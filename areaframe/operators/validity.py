@@ -15,10 +15,10 @@ def faults(shapes: DataFrame) -> DataFrame:
 
     First what a ring alone shows (``geometry.issue``); a shape with such a fault is not looked at
     further. Then, all from edges cut at each other: ``overlapping_edges`` (a stretch that is run
-    more than once: a spike, a repeated ring, parts that share an edge), ``touching_itself`` (a ring that
-    passes a point twice), ``hole_outside`` and ``crossing`` (a part whose rings cover some place other than
-    not at all or once), ``nested_parts`` (parts that cover a place together more than once). Rings
-    may run in either direction.
+    more than once: a spike, a repeated ring, parts that share an edge), ``crossing`` and ``crossing_holes`` (an
+    outer ring, or the holes of a part, that cover some place other than not at all or once),
+    ``hole_outside``, ``touching_itself`` (a ring that passes a point twice), ``nested_parts`` (parts that
+    cover a place together more than once). Rings may run in either direction.
     """
     first = shapes.select("area_id", G.issue("rings").alias("fault"), "rings")
     plain = first.where("fault IS NOT NULL").select("area_id", "fault")
@@ -34,16 +34,16 @@ def faults(shapes: DataFrame) -> DataFrame:
     often = cut.groupBy("area_id", F.least(low, high).alias("l"), F.greatest(low, high).alias("h")).agg(F.sum("times").alias("n")).where("n > 1")
     twice = cut.groupBy("area_id", "side", "px", "py").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
-    # depths within a part, and of all parts together
-    own = A.arranged(edges.drop("ring"), ["area_id", "part"]).withColumns({"least": F.least("la", "ra"), "most": F.greatest("la", "ra")})
-    below, above = own.where("least < 0"), own.where("most > 1")
+    # depths of outer rings and holes within a part, and of all parts together
+    parts = edges.withColumn("side", F.when(F.col("ring") == 0, "A").otherwise("B")).drop("ring")
+    own = A.arranged(parts, ["area_id", "part"])
+    crossing = own.where("least(la, ra) < 0 OR greatest(la, ra) > 1")
+    holes = own.where("least(lb, rb) < -1 OR greatest(lb, rb) > 0")
+    outside = own.where("la + lb < 0 OR ra + rb < 0")
     several = rings.groupBy("area_id").agg(F.max("part").alias("last")).where("last > 0").select("area_id")
     together = A.arranged(edges.drop("part", "ring").join(several.hint("merge"), "area_id", "left_semi"), ["area_id"]).where("la > 1 OR ra > 1")
-    crossed = below.select("area_id", "part").intersect(above.select("area_id", "part")).select("area_id")
 
-    found = [
-        (often, "overlapping_edges"), (twice, "touching_itself"), (crossed, "crossing"), (below, "hole_outside"), (above, "crossing"), (together, "nested_parts"),
-    ]
+    found = [(often, "overlapping_edges"), (crossing, "crossing"), (holes, "crossing_holes"), (outside, "hole_outside"), (twice, "touching_itself"), (together, "nested_parts")]
     rank = lambda i: F.lit(i).alias("rank")
     rows = plain.select("area_id", F.lit(-1).alias("rank"), "fault")
     for i, (df, name) in enumerate(found):

@@ -144,7 +144,7 @@ def revised_areas(spark: SparkSession, d: str) -> DataFrame:
     op = F.when(_k() % 6 == 0, "retire").when(_k() % 6 == 1, "metadata").when(_k() % 6 == 2, "new")
     id_ = F.when(_k() % 6 == 2, _id("m-new-", "s_suppkey")).otherwise(_id("m-", "s_suppkey"))
     r = s.select(id_.alias("id"), F.lit(1).alias("seq"), op.alias("operation"), F.when(_k() % 6 != 0, _id("Name ", "s_suppkey")).alias("name")).where("operation IS NOT NULL")
-    # an earlier revision of the same areas gives way to the last one
+    # an earlier revision of the same areas: its retirement stays, whatever is renamed later
     r = r.unionByName(s.where(_k() % 6 == 1).select(_id("m-", "s_suppkey").alias("id"), F.lit(0).alias("seq"), F.lit("retire").alias("operation"), F.lit(None).cast("string").alias("name")))
     return lifecycle.apply_revisions(_munis(spark, d), r).select("id", "name", "lifecycle_status")
 
@@ -472,7 +472,7 @@ ORACLES = {
     "envelope_violations": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, CAST(2 AS BIGINT) AS n FROM muni WHERE {_S} AND s_suppkey%5=0",
     "small_parts_removed": f"""WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, CAST(1+CASE WHEN shape='multipart' AND .2e0*w>=.95e0 THEN 1 WHEN shape='hole' AND w>=.95e0 THEN 1 ELSE 0 END AS INT) AS n_rings,
       round(CASE shape WHEN 'plain' THEN 8e0*w WHEN 'multipart' THEN 5e0*w+CASE WHEN .2e0*w>=.95e0 THEN .2e0*w ELSE 0e0 END ELSE 8e0*w-CASE WHEN w>=.95e0 THEN w ELSE 0e0 END END,6) AS area FROM muni WHERE {_S}""",
-    "revised_areas": """SELECT 'm-'||s_suppkey AS id, CASE WHEN s_suppkey%6=1 THEN 'Name '||s_suppkey ELSE 'Municipalité '||s_suppkey END AS name, CASE WHEN s_suppkey%6=0 THEN 'superseded' ELSE 'current' END AS lifecycle_status FROM supplier
+    "revised_areas": """SELECT 'm-'||s_suppkey AS id, CASE WHEN s_suppkey%6=1 THEN 'Name '||s_suppkey ELSE 'Municipalité '||s_suppkey END AS name, CASE WHEN s_suppkey%6<2 THEN 'superseded' ELSE 'current' END AS lifecycle_status FROM supplier
       UNION ALL SELECT 'm-new-'||s_suppkey, 'Name '||s_suppkey, 'current' FROM supplier WHERE s_suppkey%6=2""",
     "renamed_areas": """SELECT 'm-'||s_suppkey AS id, CASE WHEN s_suppkey%8=1 THEN 'M-'||s_suppkey WHEN s_suppkey%4=1 THEN 'Ville '||s_suppkey ELSE 'Municipalité '||s_suppkey END AS name,
       CASE WHEN s_suppkey%8=1 THEN 'Municipalité '||s_suppkey WHEN s_suppkey%4=1 THEN 'M-'||s_suppkey||',Municipalité '||s_suppkey ELSE 'M-'||s_suppkey END AS aliases FROM supplier""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from areaframe.plans import audits, lookups, records
+from areaframe.plans import audits, lookups, records, shapes
 
-QUERIES = lookups.QUERIES | records.QUERIES | audits.QUERIES
-ORACLES = lookups.ORACLES | records.ORACLES | audits.ORACLES
+QUERIES = lookups.QUERIES | records.QUERIES | audits.QUERIES | shapes.QUERIES
+ORACLES = lookups.ORACLES | records.ORACLES | audits.ORACLES | shapes.ORACLES
