@@ -183,12 +183,14 @@ def _counted(blocks: DataFrame, length: int, parts: np.ndarray, places: np.ndarr
     return found.groupBy(*by).agg(F.sum("n").alias("n"))
 
 
-def _joined(df: DataFrame, counts: DataFrame, on: list[str], value: str) -> DataFrame:
-    """df with the count of the group named by its columns ``on``."""
-    keys = [c for c in counts.columns if c.startswith("k")]
-    side = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("n").alias(value))
-    joined = df.join(sized(side, 48, counts.count()), [F.col(c) == F.col(f"_{k}") for c, k in zip(on, keys, strict=True)])
-    return joined.drop(*(f"_{k}" for k in keys))
+def _joined(df: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+    """df with what ``side`` (columns k1, k2, ... and others) says of the group named by the columns ``on``.
+
+    Always sort-merged: one plan at every size.
+    """
+    keys = [c for c in side.columns if c.startswith("k")]
+    side = side.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return df.join(side.hint("merge"), [F.col(c) == F.col(f"_{k}") for c, k in zip(on, keys, strict=True)]).drop(*(f"_{k}" for k in keys))
 
 
 def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, held: int = HELD) -> DataFrame:
@@ -221,24 +223,22 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int =
         levels[length] = write_table(extend(numbered, levels[length - 1], length, least), f"phrase-groups-{length}")
 
     out = None
-    words = named.select(F.col("k1").alias("_k1"), F.col("lang").alias("_lang"), F.col("word").alias("_word"))
-    words_side = lambda i: sized(words, 80, named.count()).withColumnsRenamed({"_k1": f"_w{i}", "_lang": f"_l{i}", "_word": f"word{i}"})
     for length in range(2, longest + 1):
         keys = [f"k{i + 1}" for i in range(length)]
         df = levels[length].withColumnRenamed("n", "a")
         if length < longest:  # one word more is enough: what holds the phrase in still longer ones holds it in one of these
             longer = levels[length + 1]
             sides = [longer.select(*(F.col(f"k{i + 1 + shift}").alias(f"k{i + 1}") for i in range(length)), "n") for shift in (0, 1)]
-            most = write_table(sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.max("n").alias("_most")), "phrase-longer")
-            df = df.join(sized(most, 48), keys, "left").where(F.coalesce(100 * F.col("_most") < held * F.col("a"), F.lit(True))).drop("_most")
-        cuts = []
-        for k in range(1, length):
-            df = _joined(_joined(df, levels[k], keys[:k], f"_l{k}"), levels[length - k], keys[k:], f"_r{k}")
-            cuts.append(F.struct(_score(f"_l{k}", f"_r{k}").alias("score"), F.lit(k).alias("k"), F.col(f"_l{k}").alias("l"), F.col(f"_r{k}").alias("r")))
-        df = df.withColumn("_cut", F.array_min(F.array(*cuts))).select(*keys, "a", "_cut.l", "_cut.r", "_cut.score")
-        for i, k in enumerate(keys):
-            df = df.join(words_side(i), F.col(k) == F.col(f"_w{i}")).drop(f"_w{i}")
-        df = df.select(F.col("_l0").alias("lang"), F.concat_ws(" ", *(f"word{i}" for i in range(length))).alias("phrase"), "a", "l", "r", "score")
+            most = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.max("n").alias("_most"))
+            df = df.join(most.hint("merge"), keys, "left").where(F.coalesce(100 * F.col("_most") < held * F.col("a"), F.lit(True))).drop("_most")
+        for i, k in enumerate(keys):  # the words, and how often the first and the last of them occur
+            df = _joined(df, named.select("k1", F.col("n").alias(f"n{i}_1"), F.col("word").alias(f"word{i}"), *([F.col("lang")] if i == 0 else [])), [k])
+        for size in range(2, length):
+            for i in (0, length - size):
+                df = _joined(df, levels[size].withColumnRenamed("n", f"n{i}_{size}"), keys[i : i + size])
+        cuts = [F.struct(_score(f"n0_{k}", f"n{k}_{length - k}").alias("score"), F.lit(k).alias("k"), F.col(f"n0_{k}").alias("l"), F.col(f"n{k}_{length - k}").alias("r")) for k in range(1, length)]
+        df = df.withColumn("_cut", F.array_min(F.array(*cuts)))
+        df = df.select("lang", F.concat_ws(" ", *(f"word{i}" for i in range(length))).alias("phrase"), "a", "_cut.l", "_cut.r", "_cut.score")
         out = df if out is None else out.unionByName(df)
     # the best of each part of a language first, so that a language with most phrases is no single sort
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
