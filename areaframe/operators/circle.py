@@ -137,14 +137,38 @@ def discover(circles: DataFrame, municipalities: DataFrame, geometry: DataFrame,
     ``stable`` (area_id, rings) is what no dispute touches: a circle that reaches it matches
     in spite of the dispute. An area with no extent leaves every circle incomplete.
     """
+    return _decided(circles, municipalities, geometry, _reached(circles, geometry, stable))
+
+
+def compare_rules(circles: DataFrame, municipalities: DataFrame, geometry: DataFrame, stable: DataFrame) -> DataFrame:
+    """circle_id, legacy_status, status, n_legacy, n_matches, change: circles answered without and with what disputes leave untouched.
+
+    ``change`` is ``unchanged``, ``completed`` (the disputes no longer matter), ``fewer_affected``, or ``regressed``,
+    which no circle may be: an answer that was complete has to stay as it was.
+    """
+    hits = written(_reached(circles, geometry, stable), "circle-hits")
+    columns = ("status", "n_matches", "matches", "n_affected")
+    old = _decided(circles, municipalities, geometry, hits.withColumn("roles", F.array_remove("roles", "stable")).where("size(roles) > 0")).select("circle_id", F.struct(*columns).alias("o"))
+    new = _decided(circles, municipalities, geometry, hits).select("circle_id", F.struct(*columns).alias("n"))
+    j = old.join(new.hint("merge"), "circle_id")
+    change = F.when(F.col("o").eqNullSafe(F.col("n")), "unchanged").when((F.col("o.status") == "incomplete") & (F.col("n.status") == "complete"), "completed")
+    change = change.when((F.col("n.status") == "incomplete") & (F.col("o.status") == "incomplete") & (F.col("n.n_affected") < F.col("o.n_affected")), "fewer_affected").otherwise("regressed")
+    return j.select("circle_id", F.col("o.status").alias("legacy_status"), "n.status", F.col("o.n_matches").alias("n_legacy"), "n.n_matches", change.alias("change"))
+
+
+def _reached(circles: DataFrame, geometry: DataFrame, stable: DataFrame | None) -> DataFrame:
+    """circle_id, area_id, roles that a circle reaches."""
+    parts = geometry.select("area_id", "role", "rings")
+    if stable is not None:
+        parts = parts.unionByName(stable.select("area_id", F.lit("stable").alias("role"), "rings"))
+    return circle_hits(circles, parts).groupBy("circle_id", "area_id").agg(F.collect_set("role").alias("roles"))
+
+
+def _decided(circles: DataFrame, municipalities: DataFrame, geometry: DataFrame, hits: DataFrame) -> DataFrame:
     shaped = geometry.select("area_id").distinct()
     unlocated = municipalities.join(shaped, "area_id", "left_anti").select("area_id")
     missing = [r[0] for r in unlocated.orderBy("area_id").limit(20).collect()]
     n_missing = unlocated.count()
-    parts = geometry.select("area_id", "role", "rings")
-    if stable is not None:
-        parts = parts.unionByName(stable.select("area_id", F.lit("stable").alias("role"), "rings"))
-    hits = circle_hits(circles, parts).groupBy("circle_id", "area_id").agg(F.collect_set("role").alias("roles"))
     disputed = F.array_contains("roles", "review") & ~F.array_contains("roles", "stable")
     ungiven = F.array_contains("roles", "candidate") | F.array_contains("roles", "bbox")
     hits = hits.withColumn("reason", F.when(ungiven, "municipal_geometry_unavailable").when(disputed, "boundary_disagreement"))

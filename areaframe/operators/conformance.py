@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from areaframe.functions import geometry as G
 from areaframe.operators.cells import box_pairs, sized
 from areaframe.operators.overlay import boundary, overlay_areas
+from areaframe.sources.workspace import written
 
 # Thresholds of a city layer and of sibling overlap.
 OUTSIDE_REJECT, OUTSIDE_REVIEW, LEAST_COVERED = 0.10, 0.01, 0.90
@@ -29,9 +30,13 @@ def escalate_municipal(result: DataFrame, located: DataFrame, coverage: DataFram
     return out.withColumn("status", F.when(raised, "review_required").otherwise(F.col("status"))).drop("bad")
 
 
-def edition_overlaps(districts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b), a < b, of one edition's districts (area_id, rings) that share more than ``least``."""
+def edition_overlaps(districts: DataFrame, least: float, by: str | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of districts (area_id, rings) that share more than ``least``: of one edition, or of
+    the same ``by`` where several are given."""
     pairs = box_pairs(districts, districts).where("a < b")
+    if by:
+        of = lambda k: districts.select(F.col("area_id").alias(k), F.col(by).alias(f"_{k}")).hint("merge")
+        pairs = written(pairs.join(of("a"), "a").join(of("b"), "b").where("_a = _b").select("a", "b"), "edition-pairs")
     return overlay_areas(pairs, districts, districts).where(F.col("intersection") > least).select("a", "b", "intersection")
 
 
@@ -80,12 +85,14 @@ def same_boundary(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def holes_matched(shapes: DataFrame, components: DataFrame) -> DataFrame:
-    """area_id, ring, matched: holes whose outline equals that of a whole component (rings) elsewhere."""
+    """area_id, part, ring, matched: holes whose outline is that of a whole component (rings) elsewhere: the same
+    vertices in the same order, wherever a ring begins and whichever way it runs."""
+    one = lambda r: F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("ring"), r["pts"].alias("pts")))
     hole = shapes.select("area_id", F.explode(F.expr("filter(rings, r -> r.ring > 0)")).alias("r"))
-    key = lambda c: F.sha2(F.array_join(F.array_sort(F.transform(F.slice(c, 2, 1_000_000_000), lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))), ","), 256)
-    hole = hole.select("area_id", F.col("r.part").alias("part"), F.col("r.ring").alias("ring"), key(F.col("r.pts")).alias("k"))
-    whole = components.select(F.explode(F.expr("filter(rings, r -> r.ring = 0)")).alias("r")).select(key(F.col("r.pts")).alias("k")).distinct().withColumn("matched", F.lit(True))
-    return hole.join(whole, "k", "left").select("area_id", "part", "ring", F.coalesce("matched", F.lit(False)).alias("matched"))
+    hole = hole.select("area_id", F.col("r.part").alias("part"), F.col("r.ring").alias("ring"), one(F.col("r")).alias("rings")).withColumn("rings", G.oriented("rings"))
+    whole = components.select(F.explode(F.expr("filter(rings, r -> r.ring = 0)")).alias("r")).select(one(F.col("r")).alias("rings")).withColumn("rings", G.oriented("rings"))
+    known = whole.select(G.fingerprint("rings").alias("k")).distinct().withColumn("matched", F.lit(True))
+    return hole.withColumn("k", G.fingerprint("rings")).join(known.hint("merge"), "k", "left").select("area_id", "part", "ring", F.coalesce("matched", F.lit(False)).alias("matched"))
 
 
 def corridor_distance(changed: DataFrame, reference: DataFrame, size: float) -> DataFrame:

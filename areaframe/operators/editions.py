@@ -72,5 +72,8 @@ def rule_rows(rows: DataFrame, rules: DataFrame) -> DataFrame:
 def merged_features(rows: DataFrame, by: str) -> DataFrame:
     """Rows of one id merged: parts numbered on, and whether all agree on the name."""
     parts = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("row_id", "rings"))).alias("g"), F.count_distinct("name").alias("names"), F.min("name").alias("name"))
-    rings = F.expr("flatten(transform(g, (x, i) -> transform(x.rings, r -> named_struct('part', int(r.part + i * 10000), 'ring', r.ring, 'pts', r.pts))))")
+    rings = F.expr(
+        """transform(array(1 + array_max(flatten(transform(g, x -> transform(x.rings, r -> r.part))))), m ->
+        flatten(transform(g, (x, i) -> transform(x.rings, r -> named_struct('part', CAST(r.part + i * m AS INT), 'ring', r.ring, 'pts', r.pts)))))[0]"""
+    )
     return parts.select(by, "name", rings.alias("rings"), (F.col("names") == 1).alias("name_agrees"))
