@@ -52,7 +52,7 @@ def _numbers() -> dict[bytes, int]:
 
 
 def occurrences(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Blocks of the occurrence relation of (lang, text): lang, words, n (how often each occurs), at (int32 numbers of words).
+    """Blocks of the occurrence relation of (lang, text): lang, words, n (how often each occurs), at (numbers of words, of 2 bytes where these suffice, else of 4).
 
     Texts are lower-cased in A-Z and split into pieces, these into words. ``words`` begin at number 1.
     """
@@ -66,6 +66,7 @@ def occurrences(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             del sizes[lang]
             at = np.concatenate(parts)
             n = np.bincount(at, minlength=len(known))[1:]
+            at = at.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32)
             words = pa.array(list(known)[1:], pa.binary()).cast(pa.string())
             columns = [pa.array([lang], pa.string()), pa.ListArray.from_arrays([0, len(words)], words), pa.ListArray.from_arrays([0, len(n)], pa.array(n, pa.int64())), pa.array([at.tobytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["lang", "words", "n", "at"])
@@ -82,6 +83,8 @@ def occurrences(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                     yield closed(lang)
             while sum(sizes.values()) > 4 * block_words:  # very many languages
                 yield closed(max(sizes, key=sizes.__getitem__))
+            del batch
+            pa.default_memory_pool().release_unused()
         for lang in list(open_):
             yield closed(lang)
 
@@ -146,7 +149,7 @@ def _counted(blocks: DataFrame, length: int, parts: np.ndarray, places: np.ndarr
         for batch in batches:
             for i in range(len(batch)):
                 names = np.append(np.int64(0), batch.column("keys")[i].values.to_numpy())
-                word = np.frombuffer(batch.column("at")[i].as_py(), np.int32).astype(np.int64)
+                word = np.frombuffer(batch.column("at")[i].as_py(), np.uint16 if len(names) <= 1 << 16 else np.uint32).astype(np.int64)
                 # the relation of single words, then of longer groups: sorted positions and group numbers
                 where, group, groups = np.flatnonzero(word), word[word > 0], [np.arange(len(names))]
                 n = np.zeros(0, np.int64)
@@ -177,6 +180,8 @@ def _counted(blocks: DataFrame, length: int, parts: np.ndarray, places: np.ndarr
                     else:
                         keep &= kept(places, place)
                     yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns] + [pa.array(n[low : low + BATCH_ROWS][keep], pa.int64())], [*(keys if places is not None else ["place"]), "n"])
+                del names, groups, n
+            pa.default_memory_pool().release_unused()
 
     by = ["place"] if places is None else keys
     found = blocks.select("keys", "at").mapInArrow(run, ", ".join(f"{k} bigint" for k in by) + ", n bigint")
