@@ -20,7 +20,7 @@ def fold_text(s: pd.Series) -> pd.Series:
 
 
 def slug(c: Column) -> Column:
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(c), "[^a-z0-9_-]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9_-]+", "-"), F.lit("-"))
 
 
 def stable_string(c: Column) -> Column:

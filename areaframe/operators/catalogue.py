@@ -71,6 +71,11 @@ def register_sources(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("source_id", d).groupBy("source_id").agg(F.min("title").alias("title"), F.min("url").alias("url"), F.array_sort(F.collect_set("role")).alias("roles"), F.count_distinct("record_id").alias("n_records"))
 
 
+def unscoped_sources(registered: DataFrame, usage: DataFrame) -> DataFrame:
+    """Registered sources (source_id) that no area uses (area_id, source_id): they are said to apply, but to nothing that is known."""
+    return registered.join(usage.select("source_id").distinct().hint("merge"), "source_id", "left_anti")
+
+
 def bundle_members(areas: DataFrame, closure: DataFrame, roots: DataFrame, geometry: DataFrame) -> DataFrame:
     """root_id, n_members, n_shaped, n_candidate, coverage of the area sets below each root (root_id)."""
     members = closure.select(F.col("ancestor_id").alias("root_id"), "id").join(roots, "root_id", "left_semi").unionByName(roots.select("root_id", F.col("root_id").alias("id")))

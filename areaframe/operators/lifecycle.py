@@ -146,12 +146,26 @@ def move_members(membership: DataFrame, moves: DataFrame) -> tuple[DataFrame, Da
     return now, touched
 
 
-def region_ledger(municipalities: DataFrame, membership: DataFrame) -> DataFrame:
-    """Divisions (municipalities: area_id, division_id): assigned, unassigned and the state of each."""
+def region_ledger(municipalities: DataFrame, membership: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """Divisions (municipalities: area_id, division_id): assigned, unassigned and the state of each.
+
+    ``excluded`` (division_id) are left out of regions on purpose; one with an assigned municipality is in ``conflict``.
+    """
     j = municipalities.join(membership.select("area_id", "region_id"), "area_id", "left")
     g = j.groupBy("division_id").agg(F.count_if(F.col("region_id").isNotNull()).alias("n_assigned"), F.count_if(F.col("region_id").isNull()).alias("n_unassigned"))
     state = F.when(F.col("n_unassigned") == 0, "assigned").when(F.col("n_assigned") == 0, "unassigned").otherwise("partially_assigned")
-    return g.withColumn("state", state)
+    if excluded is not None:
+        g = g.join(excluded.select("division_id", F.lit(True).alias("_out")).distinct().hint("merge"), "division_id", "left")
+        state = F.when(F.col("_out") & (F.col("n_assigned") > 0), "conflict").when(F.col("_out"), "excluded").otherwise(state)
+    return g.withColumn("state", state).select("division_id", "n_assigned", "n_unassigned", "state")
+
+
+def build_regions(plan: DataFrame, municipalities: DataFrame) -> DataFrame:
+    """area_id, region_id from a plan (region_id, division_ids, member_ids): all municipalities (area_id, division_id)
+    of its divisions, and those it names. A municipality that two regions claim is in both rows."""
+    by = plan.select("region_id", F.explode("division_ids").alias("division_id")).join(municipalities.hint("merge"), "division_id").select("area_id", "region_id")
+    named = plan.select("region_id", F.explode("member_ids").alias("area_id")).join(municipalities.select("area_id").hint("merge"), "area_id", "left_semi").select("area_id", "region_id")
+    return by.unionByName(named).distinct()
 
 
 def release_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str], allowed: DataFrame | None = None) -> DataFrame:

@@ -228,6 +228,18 @@ def summary(areas: DataFrame) -> DataFrame:
     return g.select("layer", "n", (F.col("n_missing") + F.col("n_repair")).alias("n_open"), listed.alias("limitations"))
 
 
+def viewports(roots: DataFrame, boxes: DataFrame) -> DataFrame:
+    """area_id, basis, west, south, east, north: what to show for a requested root (area_id, bundle_id): its own box
+    (area_id, west, ...), or the box of all in its bundle that have one."""
+    names = ["west", "south", "east", "north"]
+    j = roots.join(boxes.hint("merge"), "area_id", "left")
+    ends = (F.min, F.min, F.max, F.max)
+    whole = j.groupBy("bundle_id").agg(*(f(c).alias(f"_{c}") for f, c in zip(ends, names, strict=True)))
+    j = j.join(whole.hint("merge"), "bundle_id")
+    basis = F.when(F.col("west").isNotNull(), "root_display").when(F.col("_west").isNotNull(), "available_features")
+    return j.select("area_id", basis.alias("basis"), *(F.coalesce(c, f"_{c}").alias(c) for c in names))
+
+
 def group_listing(groups: DataFrame, roots: DataFrame, maps: DataFrame) -> DataFrame:
     """group_id, membership, n_missing, anchor, map_status: groups (group_id, members) with what is known of them.
 

@@ -62,6 +62,27 @@ def apply_review(areas: DataFrame, approvals: DataFrame) -> DataFrame:
     return held.withColumn("issues", F.when(F.col("_ok"), F.array().cast("array<string>")).otherwise(F.col("issues"))).drop("_ok")
 
 
+def promote_regions(areas: DataFrame) -> DataFrame:
+    """Regions (level region) of which every current municipality is settled become ``validated_derived``; those
+    with one that is not fall back to ``unreviewed_repair``, and regions without members stay as they are."""
+    settled = F.col("assignment_status").isin("validated_source", "validated_derived")
+    members = areas.where("level = 'municipality' AND lifecycle_status = 'current'").groupBy(F.col("parent_id").alias("id")).agg(F.bool_and(settled).alias("_all"))
+    j = areas.join(members.hint("merge"), "id", "left")
+    status = F.when((F.col("level") == "region") & F.col("_all"), "validated_derived").when((F.col("level") == "region") & ~F.col("_all"), "unreviewed_repair").otherwise(F.col("assignment_status"))
+    return j.withColumn("assignment_status", status).drop("_all")
+
+
+def review_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """level, assignment_status, n_before, n_after: the counts that a report has to state anew."""
+    count = lambda df, n: df.groupBy("level", "assignment_status").agg(F.count(F.lit(1)).alias(n))
+    return count(before, "n_before").join(count(after, "n_after"), ["level", "assignment_status"], "full").na.fill(0, ["n_before", "n_after"])
+
+
+def decision_counts(decisions: DataFrame) -> DataFrame:
+    """decision, n, n_approved: how often each decision was taken, and how often its group was approved."""
+    return decisions.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.count_if("approved").alias("n_approved"))
+
+
 def changed_answers(before: DataFrame, after: DataFrame) -> DataFrame:
     """Probes (point_id, direct) whose assignment differs between two versions."""
     j = before.select("point_id", F.col("direct").alias("old")).join(after.select("point_id", F.col("direct").alias("new")), "point_id", "full")

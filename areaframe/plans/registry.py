@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from areaframe.plans import audits, lookups, publishing, records, shapes
+from areaframe.plans import audits, inputs, lookups, publishing, records, shapes
 
-QUERIES = lookups.QUERIES | records.QUERIES | audits.QUERIES | shapes.QUERIES | publishing.QUERIES
-ORACLES = lookups.ORACLES | records.ORACLES | audits.ORACLES | shapes.ORACLES | publishing.ORACLES
+QUERIES = lookups.QUERIES | records.QUERIES | audits.QUERIES | shapes.QUERIES | inputs.QUERIES | publishing.QUERIES
+ORACLES = lookups.ORACLES | records.ORACLES | audits.ORACLES | shapes.ORACLES | inputs.ORACLES | publishing.ORACLES

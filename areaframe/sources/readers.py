@@ -6,6 +6,8 @@ quarantined; ``strict`` raises instead.
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,21 +92,89 @@ def named_join_faults(inventory_: DataFrame, shapes: DataFrame) -> DataFrame:
     return a.join(b, "name", "full").na.fill(0, ["n_inventory", "n_shapes"]).where("n_inventory <> n_shapes OR n_inventory > 1")
 
 
-def release_faults(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """Files of a release against its manifest (name, bytes, sha256): name, fault."""
+#: Files up to this size are hashed as one row each; larger ones are reported instead of being passed over.
+HASHED_BYTES = 1 << 30
+#: What the public may see of an area.
+PUBLIC = ["id", "name", "level", "layer", "parent_id", "province_id", "scheme", "edition", "assignment_status", "lifecycle_status"]
+
+
+def inventory_of(spark: SparkSession, root: str, hashed_bytes: int = HASHED_BYTES) -> DataFrame:
+    """name (path below the folder), bytes, sha256 of all files of a folder but for hidden ones and marks of the
+    writer; sha256 is null for files that are too large to be one row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    own = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("own_bytes"), F.sha2("content", 256).alias("own_sha"))
+    below = urlparse(root).path.rstrip("/") + "/"
+    name = F.substring("path", F.instr(F.col("path"), below) + len(below), F.length("path"))
+    files = files.withColumn("name", name).where(~F.element_at(F.split("name", "/"), -1).rlike("^[_.]"))
+    small = files.where(F.col("length") <= hashed_bytes).select("name", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return small.unionByName(files.where(F.col("length") > hashed_bytes).select("name", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256")))
+
+
+def release_faults(spark: SparkSession, root: str, manifest: DataFrame, hashed_bytes: int = HASHED_BYTES) -> DataFrame:
+    """Files of a release against its manifest (name, bytes, sha256): name, fault.
+
+    Files that are too large to be hashed are compared by size only, and say so. The manifest's own folder is not part of it.
+    """
+    own = inventory_of(spark, root, hashed_bytes).where("NOT startswith(name, 'manifest/')").withColumnsRenamed({"bytes": "own_bytes", "sha256": "own_sha"})
     j = manifest.join(own, "name", "full")
-    fault = F.when(F.col("own_sha").isNull(), "missing").when(F.col("sha256").isNull(), "unexpected").when(F.col("bytes") != F.col("own_bytes"), "size").when(F.col("sha256") != F.col("own_sha"), "content")
+    fault = F.when(F.col("own_bytes").isNull(), "missing").when(F.col("bytes").isNull(), "unexpected").when(F.col("bytes") != F.col("own_bytes"), "size")
+    fault = fault.when(F.col("own_sha").isNull(), "too_large_to_hash").when(F.col("sha256") != F.col("own_sha"), "content")
     return j.select("name", fault.alias("fault")).where("fault IS NOT NULL")
 
 
-def export_release(areas: DataFrame, geometry: DataFrame, target: str) -> None:
-    """Write a release, never over an existing one: areas by level and province, display documents by province."""
-    areas.withColumn("province", F.coalesce("province_id", F.lit("-"))).write.mode("errorifexists").partitionBy("level", "province").parquet(f"{target}/area")
+def vector_layer(spark: SparkSession, path: str, columns: list[str], most: int | None = None) -> DataFrame:
+    """The named columns of a vector layer in Parquet; a column that it lacks is an error, and so are more than ``most`` features.
+
+    Only these columns are read, and filters on the result reach the files.
+    """
+    layer = spark.read.parquet(path)
+    if lacking := sorted(set(columns) - set(layer.columns)):
+        raise ValueError(f"{path} has no columns {lacking}")
+    out = layer.select(*columns)
+    if most is not None and (n := layer.count()) > most:  # answered from the files' footers
+        raise ValueError(f"{path} has {n} features, {most} are allowed")
+    return out
+
+
+def export_release(areas: DataFrame, geometry: DataFrame, target: str, columns: list[str] = PUBLIC) -> None:
+    """Write a release, never over an existing one: public columns of the areas by level and province, display
+    documents by province, and last a manifest of both."""
+    spark = areas.sparkSession
+    own = areas.withColumn("province", F.coalesce("province_id", F.lit("-")))
+    level = F.col("level").alias("of_level")
+    own.select(*columns, level, "province").write.mode("errorifexists").partitionBy("of_level", "province").parquet(f"{target}/area")
+    display_collections(areas, geometry).write.mode("errorifexists").partitionBy("province").text(f"{target}/display")
+    inventory_of(spark, target).coalesce(1).write.mode("errorifexists").parquet(f"{target}/manifest")
+
+
+def display_collections(areas: DataFrame, geometry: DataFrame) -> DataFrame:
+    """province, value: one GeoJSON feature a line for every geometry, with its id, name and role."""
     shown = geometry.join(areas.select(F.col("id").alias("area_id"), "name", F.coalesce("province_id", F.lit("-")).alias("province")), "area_id")
     body = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct("area_id", "name", "role")), F.lit(',"geometry":'), G.to_geojson("rings"), F.lit("}"))
-    shown.select("province", body.alias("value")).write.mode("errorifexists").partitionBy("province").text(f"{target}/display")
+    return shown.select("province", body.alias("value"))
+
+
+def licence_release_faults(old: DataFrame, new: DataFrame, key: str, licence_columns: list[str]) -> DataFrame:
+    """key, fault of a derived release of sources in which only ``licence_columns`` may differ: added, removed, or another column changed."""
+    from areaframe.operators.lifecycle import release_diff
+
+    fixed = [c for c in old.columns if c != key and c not in licence_columns]
+    return release_diff(old, new, key, fixed).select(key, F.coalesce(F.array_join("columns", ","), "change").alias("fault"))
+
+
+# The groups of a website catalogue, by level.
+GROUPS = {"country": "countries", "province": "provinces", "region": "regions", "municipality": "municipalities", "city_area": "city_areas"}
+
+
+def website_catalogue(areas: DataFrame, counts: DataFrame) -> DataFrame:
+    """group, id, name, parent, parent_name, province, n_children of the five groups; ids and parents are those of the website, group/code."""
+    pairs = [F.lit(x) for kv in GROUPS.items() for x in kv]
+    own = areas.withColumn("group", F.try_element_at(F.create_map(*pairs), F.col("level"))).where("group IS NOT NULL")
+    own = own.withColumn("web", F.concat_ws("/", "group", F.substring_index("id", "-", -1)))
+    totals = counts.groupBy(F.col("parent_id").alias("id")).agg(F.sum("n_children").alias("n_children"))
+    parents = own.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name"), F.col("web").alias("parent"))
+    province = own.where("level = 'province'").select(F.col("id").alias("province_id"), F.col("web").alias("province"))
+    j = own.join(totals.hint("merge"), "id", "left").join(parents.hint("merge"), "parent_id", "left").join(province.hint("merge"), "province_id", "left")
+    return j.select("group", F.col("web").alias("id"), "name", "parent", "parent_name", "province", F.coalesce("n_children", F.lit(0)).alias("n_children"))
 
 
 def catalogue_export(areas: DataFrame, counts: DataFrame, target: str) -> None:
