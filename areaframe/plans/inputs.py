@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaframe.functions import geometry as G
@@ -17,7 +17,10 @@ from areaframe.sources import readers
 from areaframe.sources.workspace import shared_path, written
 
 SHAPED = "shape IN ('plain', 'hole', 'multipart')"
-_K = F.col("s_suppkey")
+
+
+def _k() -> Column:
+    return F.col("s_suppkey")
 
 
 def _municipal(spark: SparkSession, d: str) -> DataFrame:
@@ -36,14 +39,14 @@ def _text_file(spark: SparkSession, lines: DataFrame, name: str) -> str:
 def pinned_source(spark: SparkSession, d: str) -> DataFrame:
     """Municipal shapes, one FeatureCollection file for each nation, against pins with other names, ids and too many features."""
     m = X.municipalities(spark, d).withColumn("area_id", _id("m-", "s_suppkey")).join(_municipal(spark, d).hint("merge"), "area_id", "left")
-    geometry = F.when(_K % 6 == 5, "null").otherwise(F.coalesce(G.to_geojson("rings"), F.lit("null")))
+    geometry = F.when(_k() % 6 == 5, "null").otherwise(F.coalesce(G.to_geojson("rings"), F.lit("null")))
     feature = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(F.col("area_id").alias("code"), _id("N", "s_suppkey").alias("name"))), F.lit(',"geometry":'), geometry, F.lit("}"))
     docs = m.groupBy("s_nationkey").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("value"))
     path = shared_path(spark, "features")
     docs.write.partitionBy("s_nationkey").text(path)  # a file is one document
     rows = readers.feature_collection(spark, path)
-    name = F.when(_K % 9 == 4, "other").otherwise(_id("N", "s_suppkey"))
-    pins = m.select(F.when(_K % 10 == 7, F.concat("area_id", F.lit("x"))).otherwise(F.col("area_id")).alias("id"), F.create_map(F.lit("name"), name).alias("props"))
+    name = F.when(_k() % 9 == 4, "other").otherwise(_id("N", "s_suppkey"))
+    pins = m.select(F.when(_k() % 10 == 7, F.concat("area_id", F.lit("x"))).otherwise(F.col("area_id")).alias("id"), F.create_map(F.lit("name"), name).alias("props"))
     return readers.checked_source(rows, pins, "code", m.count() + 1)
 
 
@@ -69,7 +72,7 @@ def transfer_rows(spark: SparkSession, d: str) -> DataFrame:
 def inventory_contract(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as a consumer's inventory in which some rows lack a kind, an id or names."""
     s = X.table(spark, d, "supplier")
-    rows = s.select(F.to_json(F.struct(F.when(_K % 11 != 0, _id("m-", "s_suppkey")).alias("id"), F.when(_K % 7 != 0, "municipality").alias("kind"), F.when(_K % 5 != 0, F.array("s_name")).otherwise(F.array().cast("array<string>")).alias("names"), _id("k", "s_suppkey").alias("parent_id"))).alias("value"))
+    rows = s.select(F.to_json(F.struct(F.when(_k() % 11 != 0, _id("m-", "s_suppkey")).alias("id"), F.when(_k() % 7 != 0, "municipality").alias("kind"), F.when(_k() % 5 != 0, F.array("s_name")).otherwise(F.array().cast("array<string>")).alias("names"), _id("k", "s_suppkey").alias("parent_id"))).alias("value"))
     return readers.inventory(spark, _text_file(spark, rows, "inventory")).select(F.col("parent_id").alias("row"), "foreign_id", "fault")
 
 
@@ -126,7 +129,7 @@ def website_catalogue(spark: SparkSession, d: str) -> DataFrame:
 def licence_release(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as sources whose licence was reviewed; in some of them more than that has changed."""
     s = X.table(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").alias("size"), F.lit("unknown").alias("licence"))
-    new = s.where(_K % 12 != 5).withColumns({"licence": F.when(_K % 2 == 0, "open").otherwise("closed"), "s_name": F.when(_K % 9 == 0, "x").otherwise(F.col("s_name")), "size": F.when(_K % 18 == 0, 0.5).otherwise(F.col("size"))})
+    new = s.where(_k() % 12 != 5).withColumns({"licence": F.when(_k() % 2 == 0, "open").otherwise("closed"), "s_name": F.when(_k() % 9 == 0, "x").otherwise(F.col("s_name")), "size": F.when(_k() % 18 == 0, 0.5).otherwise(F.col("size"))})
     return readers.licence_release_faults(s, new, "s_suppkey", ["licence"])
 
 
@@ -171,14 +174,14 @@ def active_municipalities(spark: SparkSession, d: str) -> DataFrame:
 
 def extent_faults(spark: SparkSession, d: str) -> DataFrame:
     m = X.municipalities(spark, d)
-    b = m.select(_id("m-", "s_suppkey").alias("area_id"), F.when(_K % 9 == 2, F.col("x1")).otherwise(F.col("x0")).alias("west"), F.when(_K % 10 == 3, -91.0).otherwise(F.col("y0")).alias("south"), F.when(_K % 9 == 2, F.col("x0")).otherwise(F.col("x1")).alias("east"), F.when(_K % 8 == 5, float("nan")).otherwise(F.col("y1")).alias("north"))
+    b = m.select(_id("m-", "s_suppkey").alias("area_id"), F.when(_k() % 9 == 2, F.col("x1")).otherwise(F.col("x0")).alias("west"), F.when(_k() % 10 == 3, -91.0).otherwise(F.col("y0")).alias("south"), F.when(_k() % 9 == 2, F.col("x0")).otherwise(F.col("x1")).alias("east"), F.when(_k() % 8 == 5, float("nan")).otherwise(F.col("y1")).alias("north"))
     return contract.extent_violations(b).select("area_id", F.array_join("violations", ",").alias("violations"))
 
 
 def redistribution(spark: SparkSession, d: str) -> DataFrame:
     """Which suppliers' data may be handed on: by licence, review and open conditions."""
     s = X.table(spark, d, "supplier")
-    source = F.struct(F.when(_K % 5 != 0, "open").alias("licence"), F.when(_K % 3 == 0, "pending").otherwise("approved").alias("status"), F.transform(F.sequence(F.lit(1), (_K % 4).cast("int") + 1), lambda i: F.struct((i != _K % 7).alias("met"))).alias("conditions"))
+    source = F.struct(F.when(_k() % 5 != 0, "open").alias("licence"), F.when(_k() % 3 == 0, "pending").otherwise("approved").alias("status"), F.transform(F.sequence(F.lit(1), (_k() % 4).cast("int") + 1), lambda i: F.struct((i != _k() % 7).alias("met"))).alias("conditions"))
     return s.withColumn("source", source).select("s_suppkey", contract.redistribution_approved().alias("approved"))
 
 
@@ -186,9 +189,9 @@ def edition_faults(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as editions with dates, a default, a status and a link, on the first of June 2024."""
     s = X.table(spark, d, "supplier")
     e = s.select(
-        _id("e-", "s_suppkey").alias("id"), F.when(_K % 7 == 0, "2024-13-01").when(_K % 7 == 1, "2025-01-01").when(_K % 7 == 2, None).otherwise("2020-01-01").alias("effective_date"),
-        F.when(_K % 5 == 0, "2019-01-01").when(_K % 5 == 1, "2022").otherwise(None).alias("valid_to"), (_K % 2 == 0).alias("default"), F.when(_K % 3 == 0, "historical").otherwise("current").alias("status"),
-        F.when(_K % 4 == 0, "ftp://x").when(_K % 4 == 1, None).otherwise("https://example.org/x").alias("evidence_url"),
+        _id("e-", "s_suppkey").alias("id"), F.when(_k() % 7 == 0, "2024-13-01").when(_k() % 7 == 1, "2025-01-01").when(_k() % 7 == 2, None).otherwise("2020-01-01").alias("effective_date"),
+        F.when(_k() % 5 == 0, "2019-01-01").when(_k() % 5 == 1, "2022").otherwise(None).alias("valid_to"), (_k() % 2 == 0).alias("default"), F.when(_k() % 3 == 0, "historical").otherwise("current").alias("status"),
+        F.when(_k() % 4 == 0, "ftp://x").when(_k() % 4 == 1, None).otherwise("https://example.org/x").alias("evidence_url"),
     )
     return contract.edition_violations(e, "2024-06-01").select("id", F.array_join("violations", ",").alias("violations"))
 
@@ -257,13 +260,13 @@ def document_bytes(spark: SparkSession, d: str) -> DataFrame:
 
 def repair_envelopes(spark: SparkSession, d: str) -> DataFrame:
     m = X.municipalities(spark, d)
-    ledger = m.select(_id("m-", "s_suppkey").alias("area_id"), (_K % 3).alias("lost_vertices"), F.when(F.col("shape") == "multipart", 2).otherwise(1).alias("n_parts"), F.when(F.col("shape") != "unknown", F.col("x0")).alias("west"))
+    ledger = m.select(_id("m-", "s_suppkey").alias("area_id"), (_k() % 3).alias("lost_vertices"), F.when(F.col("shape") == "multipart", 2).otherwise(1).alias("n_parts"), F.when(F.col("shape") != "unknown", F.col("x0")).alias("west"))
     return conformance.repair_envelope(ledger).select("area_id", "usable")
 
 
 def edition_selection(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as editions of five layers: the defaults of each, and a choice of one layer."""
-    e = X.table(spark, d, "supplier").select(_id("e-", "s_suppkey").alias("id"), F.concat(F.lit("l-"), (F.col("s_nationkey") % 5).cast("string")).alias("layer"), (_K % 4 == 0).alias("default"))
+    e = X.table(spark, d, "supplier").select(_id("e-", "s_suppkey").alias("id"), F.concat(F.lit("l-"), (F.col("s_nationkey") % 5).cast("string")).alias("layer"), (_k() % 4 == 0).alias("default"))
     rows = [(layer, i) for layer in (f"l-{k}" for k in range(5)) for i in editions.selected(e, layer)]
     return spark.createDataFrame(rows, "layer string, id string")
 
@@ -281,7 +284,7 @@ def region_build(spark: SparkSession, d: str) -> DataFrame:
 def population_pages(spark: SparkSession, d: str) -> DataFrame:
     """Municipalities with what is known of their population; one without a record says so."""
     s = X.table(spark, d, "supplier")
-    records = s.where(_K % 4 != 0).select(_id("m-", "s_suppkey").alias("area_id"), F.when(_K % 4 != 1, _K * 10).alias("population"), F.when(_K % 4 == 1, "suppressed").alias("reason"))
+    records = s.where(_k() % 4 != 0).select(_id("m-", "s_suppkey").alias("area_id"), F.when(_k() % 4 != 1, _k() * 10).alias("population"), F.when(_k() % 4 == 1, "suppressed").alias("reason"))
     return population.with_population(s.select(_id("m-", "s_suppkey").alias("area_id")), records)
 
 
