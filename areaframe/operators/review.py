@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from areaframe.functions import geometry as G
+from areaframe.operators import validity
 from areaframe.operators.overlay import self_faces
+from areaframe.sources.workspace import written
 
 # Limits of a minor correction.
 MAX_AREA_M2, MAX_PROVEN_M2, MAX_SHARE, MAX_SHIFT_M = 100.0, 6000.0, 1e-4, 5.0
@@ -123,6 +125,16 @@ def simplified(geometry: DataFrame, tolerance: float) -> DataFrame:
     return rings.mapInPandas(run, rings.schema)
 
 
+def display_shapes(geometry: DataFrame, tolerance: float) -> DataFrame:
+    """area_id, rings, basis: shapes simplified for display; one that is not sound any more afterwards (rings that
+    cross, parts that come to lie in each other) is shown in full."""
+    rings = simplified(geometry, tolerance).groupBy("area_id").agg(F.array_sort(F.collect_list(F.struct("part", "ring", "pts"))).alias("simple"))
+    rings = written(rings, "simplified")
+    broken = validity.faults(rings.select("area_id", F.col("simple").alias("rings"))).select("area_id", F.lit(True).alias("broken"))
+    j = geometry.select("area_id", "rings").join(rings.hint("merge"), "area_id").join(broken.hint("merge"), "area_id", "left")
+    return j.select("area_id", F.when(F.col("broken"), F.col("rings")).otherwise(F.col("simple")).alias("rings"), F.when(F.col("broken"), "full").otherwise("simplified").alias("basis"))
+
+
 def _douglas_peucker(xy: np.ndarray, tolerance: float) -> np.ndarray:
     keep = np.zeros(len(xy), bool)
     keep[[0, -1]] = True

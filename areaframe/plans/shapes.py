@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from areaframe.functions import geometry as G
-from areaframe.operators import hierarchy, lifecycle, overlay, release, validity
+from areaframe.operators import hierarchy, lifecycle, overlay, plan_contracts, release, review, validity
 from areaframe.plans import lookups
 from areaframe.plans.lookups import MOVED_BOXES, MUNI, MUNI_BOXES
 from areaframe.plans.records import _id
@@ -169,10 +169,60 @@ def repaired_shapes(spark: SparkSession, d: str) -> DataFrame:
     return out.join(validity.faults(r).select("area_id", "fault"), "area_id", "left")
 
 
+def display_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Shapes simplified for display; every third has a notch with a part of its own inside, which simplifying would swallow."""
+    m = X.municipalities(spark, d)
+    notch = _ring([("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0 + .6D * w", "y1"), ("x0 + .6D * w", "y1 - .005D"), ("x0 + .4D * w", "y1 - .005D"), ("x0 + .4D * w", "y1"), ("x0", "y1"), ("x0", "y0")], 0, 0)
+    part = G.box_rings("x0 + .45D * w", "y1 - .004D", "x0 + .55D * w", "y1 - .002D", 1)
+    rings = F.expr(f"IF(s_suppkey % 3 = 0, array({notch}, {part}), array({G.box_rings('x0', 'y0', 'x1', 'y1')}))")
+    g = m.select(_id("m-", "s_suppkey").alias("area_id"), (F.col("s_suppkey") % 3).alias("k"), rings.alias("rings"))
+    g = written(g.select("area_id", F.when(F.col("k") == 0, F.col("rings")).otherwise(G.densified("rings", 0.5)).alias("rings")), "dense")
+    return review.display_shapes(g, 0.01).select("area_id", "basis", G.counts("rings")[2].cast("bigint").alias("n_vertices"))
+
+
+def region_plan_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as regions, whole or by their members, with a fault of another kind in each of some."""
+    s = X.table(spark, d, "supplier").join(X.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    m = written(s.select(_id("m-", "s_suppkey").alias("area_id"), _id("p-", "n_regionkey").alias("province_id"), F.col("s_nationkey").alias("division_id"), F.col("s_name").alias("name"), F.lit("T").alias("type"), "s_suppkey"), "municipalities")
+    n = F.col("division_id")
+    g = m.groupBy("division_id", "province_id").agg(F.array_sort(F.collect_list("area_id")).alias("ids"), F.array_sort(F.collect_list(F.struct(F.col("area_id").alias("id"), "name", "type"))).alias("members"))
+    named = n % 2 == 0
+    ids = F.array().cast("array<string>")
+    plan = g.select(
+        F.when(n % 11 == 3, F.concat(F.lit("x-"), n.cast("string"))).otherwise(F.concat_ws("-", "province_id", n.cast("string"))).alias("region_id"), "province_id", F.concat(F.lit("R"), n.cast("string")).alias("name"),
+        F.when(n % 7 == 5, "").otherwise("region").alias("kind"), F.lit("official").alias("basis"), F.when(~named, F.array(n)).otherwise(F.array().cast("array<int>")).alias("division_ids"),
+        F.when(named, F.when(n == 8, F.concat("ids", F.array(F.lit("m-none")))).when(n == 10, F.concat("ids", F.slice("ids", 1, 1))).otherwise(F.col("ids"))).otherwise(ids).alias("member_ids"),
+        F.when(n % 9 == 1, F.transform("members", lambda x: F.struct(x["id"].alias("id"), F.lit("old").alias("name"), x["type"].alias("type")))).otherwise(F.col("members")).alias("members"),
+        F.when(named & (n != 14), "selected_members").otherwise("whole_divisions").alias("coverage_policy"), (F.size("ids") + F.when(n == 6, 1).otherwise(0)).alias("expected_count"),
+        F.sha2(F.concat(F.array_join(F.when(n == 13, F.reverse("ids")).otherwise(F.col("ids")), "\n"), F.lit("\n")), 256).alias("digest"),
+    )
+    return plan_contracts.region_plan_faults(written(plan, "plan"), m)
+
+
+def city_plan_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as city areas of their nation's first municipality, from two sources."""
+    s = X.table(spark, d, "supplier")
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    first = s.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.min("s_suppkey").alias("s"))
+    c = X.table(spark, d, "customer").join(first, "c_nationkey").withColumn("parent", _id("m-", "s"))
+    code = k.cast("string")
+    plan = c.select(
+        F.when(k % 50 == 3, F.concat("parent", F.lit("-x"), code)).otherwise(F.concat_ws("-", "parent", code)).alias("id"), F.when(k % 70 == 9, "q").when(k % 2 == 0, "a").otherwise("b").alias("source"), code.alias("source_id"), F.col("parent").alias("parent_id"),
+        F.when(k % 90 == 4, "?").otherwise(F.concat(F.lit("N"), n.cast("string"))).alias("parent_name"), F.when(k % 110 == 5, " ").otherwise(F.col("c_name")).alias("name"),
+    )
+    plan = written(plan.withColumn("name", F.trim("name")), "city-plan")
+    counts = plan.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
+    parents = first.select(_id("m-", "s").alias("parent_id"), F.concat(F.lit("N"), n.cast("string")).alias("name"), "c_nationkey").join(counts, "parent_id").select("parent_id", "name", F.when(n % 6 == 1, "all").otherwise("partial").alias("coverage_policy"), (F.col("n") + F.when(n % 8 == 2, 1).otherwise(0)).alias("expected_count"))
+    sources = plan.where("source <> 'q'").groupBy("source").agg(F.count(F.lit(1)).alias("expected_count")).withColumn("crs", F.when(F.col("source") == "b", "EPSG:3347").otherwise("EPSG:4326"))
+    municipalities = s.select(_id("m-", "s_suppkey").alias("area_id"), F.concat(F.lit("N"), F.when(F.col("s_nationkey") % 10 == 7, 0).otherwise(F.col("s_nationkey")).cast("string")).alias("name"))
+    return plan_contracts.city_plan_faults(plan, written(parents, "parents"), sources, municipalities)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         geometry_validity, document_issues, union_coverage, child_union_gaps, closure_walks, revision_log, revised_geometry, revision_faults, revision_counts, migration_proofs, slivers_cut, repaired_shapes,
+        display_fallback, region_plan_faults, city_plan_faults,
     )
 }
 
@@ -216,4 +266,11 @@ ORACLES = {
     "slivers_cut": f"""WITH muni AS ({MUNI}), {MUNI_BOXES}, {MOVED_BOXES}, p AS (SELECT n.area_id AS a, o.area_id AS b, sum(n.sgn*o.sgn*greatest(0e0, least(n.bx1,o.bx1)-greatest(n.bx0,o.bx0))*greatest(0e0, least(n.by1,o.by1)-greatest(n.by0,o.by0))) AS v FROM moved n JOIN boxes o ON n.area_id<>o.area_id GROUP BY 1,2)
       SELECT p.a AS area_id, round(any_value(kept.a)-sum(v),6) AS area FROM p JOIN kept ON kept.area_id=p.a WHERE v>1e-9 GROUP BY 1 HAVING bool_and(v<=.151e0*kept.a)""",
     "repaired_shapes": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, CAST(2 AS BIGINT) AS n_rings, round(w*8e0/2e0,5) AS area, CAST(NULL AS VARCHAR) AS fault FROM muni WHERE shape='bowtie'",
+    "display_fallback": "SELECT 'm-'||s_suppkey AS area_id, CASE WHEN s_suppkey%3=0 THEN 'full' ELSE 'simplified' END AS basis, CAST(CASE WHEN s_suppkey%3=0 THEN 12 ELSE 4 END AS BIGINT) AS n_vertices FROM supplier",
+    "region_plan_faults": """WITH n AS (SELECT DISTINCT n_nationkey AS n, n_regionkey AS p FROM nation JOIN supplier ON s_nationkey=n_nationkey), c AS (SELECT s_nationkey AS n, count(*) AS c FROM supplier GROUP BY 1)
+      SELECT CASE WHEN n%11=3 THEN 'x-'||n ELSE 'p-'||p||'-'||n END AS region_id, unnest(list_filter([CASE WHEN n%11=3 THEN 'identity' END, CASE WHEN n%7=5 THEN 'labels' END, CASE WHEN n=10 THEN 'selected_once' END, CASE WHEN n=8 THEN 'known' END, CASE WHEN n%9=1 THEN 'attributes' END,
+        CASE WHEN n=14 THEN 'coverage' END, CASE WHEN n=6 THEN 'count' END, CASE WHEN n=13 AND c>1 THEN 'digest' END], lambda x: x IS NOT NULL)) AS fault FROM n JOIN c USING(n)""",
+    "city_plan_faults": """WITH f AS (SELECT s_nationkey AS n, min(s_suppkey) AS s FROM supplier GROUP BY 1), c AS (SELECT c_custkey AS k, n, s FROM customer JOIN f ON n=c_nationkey), p AS (SELECT DISTINCT n, s FROM c)
+      SELECT 'area' AS "of", 'm-'||s||'-'||CASE WHEN k%50=3 THEN 'x' ELSE '' END||k AS id, unnest(list_filter([CASE WHEN k%70=9 THEN 'source' END, CASE WHEN k%90=4 THEN 'parent' END, CASE WHEN k%50=3 THEN 'identity' END, CASE WHEN k%110=5 THEN 'name' END], lambda x: x IS NOT NULL)) AS fault FROM c
+      UNION ALL SELECT 'parent', 'm-'||s, unnest(list_filter([CASE WHEN n%10=7 THEN 'name' END, CASE WHEN n%6=1 THEN 'policy' END, CASE WHEN n%8=2 THEN 'count' END], lambda x: x IS NOT NULL)) FROM p UNION ALL SELECT 'source', 'b', 'crs' WHERE EXISTS (SELECT 1 FROM c WHERE k%70<>9 AND k%2=1)""",
 }
