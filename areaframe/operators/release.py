@@ -78,8 +78,15 @@ def audit_ledger(baseline: DataFrame, audited: DataFrame, complete: bool = False
     return j.select("id", F.explode(checks).alias("fault"))
 
 
-def coverage_gaps(cover: DataFrame, areas: DataFrame) -> DataFrame:
-    """province_id, n_gaps, n_pending: what is partial, historical or unknown, and areas that are not settled."""
+def coverage_gaps(cover: DataFrame, areas: DataFrame, within: DataFrame | None = None, editions: list[str] | None = None) -> DataFrame:
+    """province_id, n_gaps, n_pending: what is partial, historical or unknown, and areas that are not settled.
+
+    ``within`` (province_id) narrows both to a scope; ``editions`` narrows areas of editions to those chosen.
+    """
+    if within is not None:
+        cover, areas = (df.join(within.select("province_id").distinct().hint("merge"), "province_id", "left_semi") for df in (cover, areas))
+    if editions is not None:
+        areas = areas.where(F.col("edition").isNull() | F.col("edition").isin(editions))
     gaps = cover.where(~F.col("status").isin("included")).groupBy("province_id").agg(F.count(F.lit(1)).alias("n_gaps"))
     pending = areas.where(~F.col("assignment_status").isin(*SETTLED, "hierarchy_only")).groupBy("province_id").agg(F.count(F.lit(1)).alias("n_pending"))
     return gaps.join(pending, "province_id", "full").na.fill(0, ["n_gaps", "n_pending"])
@@ -215,8 +222,15 @@ def selected_records(records: DataFrame, relations: DataFrame, layer: str, editi
     return shown.join(relations, "record_id").select("record_id", "relation", "edition", "basis")
 
 
-def summary(areas: DataFrame) -> DataFrame:
-    """layer, n, n_open, limitations: counts, and what a reader has to know about each layer."""
+def summary(areas: DataFrame, editions: list[str] | None = None) -> DataFrame:
+    """layer, n, n_open, limitations: counts, and what a reader has to know about each layer.
+
+    With ``editions`` only areas of these count beside those that belong to no edition; a layer of which nothing
+    is chosen keeps its row and says so.
+    """
+    layers = areas.select("layer").distinct()
+    if editions is not None:
+        areas = areas.where(F.col("edition").isNull() | F.col("edition").isin(editions))
     g = areas.groupBy("layer").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("assignment_status") == "missing_geometry").alias("n_missing"),
@@ -224,7 +238,9 @@ def summary(areas: DataFrame) -> DataFrame:
         F.count_if(F.col("lifecycle_status") != "current").alias("n_past"),
     )
     flags = {"missing_geometry": "n_missing > 0", "unreviewed_repair": "n_repair > 0", "holds_history": "n_past > 0"}
+    flags["not_selected"] = "n = 0"
     listed = F.filter(F.array(*(F.when(F.expr(rule), F.lit(name)) for name, rule in flags.items())), lambda x: x.isNotNull())
+    g = layers.join(g.hint("merge"), "layer", "left").na.fill(0)
     return g.select("layer", "n", (F.col("n_missing") + F.col("n_repair")).alias("n_open"), listed.alias("limitations"))
 
 

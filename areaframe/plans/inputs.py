@@ -313,12 +313,27 @@ def root_viewports(spark: SparkSession, d: str) -> DataFrame:
     return release.viewports(m, boxes).select("area_id", "basis", *(F.round(c, 9).alias(c) for c in ("west", "south", "east", "north")))
 
 
+def selection_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Layers with their limitations for one historical edition, and for none."""
+    areas = X.areas(spark, d)
+    one, none = release.summary(areas, ["fed-1"]).withColumn("chosen", F.lit("fed-1")), release.summary(areas, []).withColumn("chosen", F.lit(""))
+    return one.unionByName(none).select("chosen", "layer", "n", "n_open", F.array_join("limitations", ",").alias("limitations"))
+
+
+def scoped_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps and pending areas of two provinces, with the districts of the current edition."""
+    areas = X.areas(spark, d).withColumn("assignment_status", F.when(F.col("edition") == "fed-1", "missing_geometry").otherwise(F.col("assignment_status")))
+    cover = X.table(spark, d, "supplier").join(X.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(_id("p-", "n_regionkey").alias("province_id"), F.when(_k() % 3 == 0, "partial").otherwise("included").alias("status"))
+    return release.coverage_gaps(cover, areas, areas.where("id IN ('p-1', 'p-3')").select("province_id"), ["fed-2"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         pinned_source, vector_scan, transfer_rows, inventory_contract, paged_snapshot, name_join_faults, release_export, display_collections, website_catalogue, licence_release, pending_source_rows,
         value_functions, record_digests, active_municipalities, extent_faults, redistribution, edition_faults, coverage_listing, engine_crosscheck, nested_neighbours, decision_counts, artefact_dedupe,
         historical_counts, level_histogram, union_areas, document_bytes, repair_envelopes, edition_selection, region_build, population_pages, review_application, source_registration, root_viewports,
+        selection_summary, scoped_gaps,
     )
 }
 
@@ -373,4 +388,9 @@ ORACLES = {
     "source_registration": """SELECT 'T'||(o_custkey%50) AS title, CASE WHEN o_custkey%3<>0 THEN 'https://example.org/'||(o_custkey%50) END AS url, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS roles, count(DISTINCT o_orderkey) AS n_records, any_value(o_custkey%50)%2<>0 AS unscoped FROM orders GROUP BY 1,2""",
     "root_viewports": f"""WITH muni AS ({MUNI}), b AS (SELECT s_suppkey AS k, s_nationkey AS n, {SHAPED} AS has, x0, x1, y0, CASE WHEN shape='multipart' THEN y0+7e0 ELSE y1 END AS y1 FROM muni), g AS (SELECT n, min(x0) AS w, min(y0) AS s, max(x1) AS e, max(y1) AS t FROM b WHERE has GROUP BY 1)
       SELECT 'm-'||k AS area_id, CASE WHEN has THEN 'root_display' WHEN w IS NOT NULL THEN 'available_features' END AS basis, round(CASE WHEN has THEN x0 ELSE w END,9) AS west, round(CASE WHEN has THEN y0 ELSE s END,9) AS south, round(CASE WHEN has THEN x1 ELSE e END,9) AS east, round(CASE WHEN has THEN y1 ELSE t END,9) AS north FROM b LEFT JOIN g USING(n)""",
+    "selection_summary": f"""WITH {AREAS}, b AS (SELECT layer, count(*) FILTER (level<>'electoral_district') AS n FROM areas GROUP BY 1), o AS (SELECT count(*) FILTER (shape IN ('unknown','bbox')) AS m, count(*) FILTER (shape='bowtie') AS r FROM muni)
+      SELECT c AS chosen, layer, CASE WHEN layer='federal' AND c<>'' THEN 135 ELSE n END AS n, CASE WHEN layer='administrative' THEN m+r ELSE 0 END AS n_open,
+        CASE layer WHEN 'federal' THEN CASE WHEN c='' THEN 'not_selected' ELSE 'holds_history' END WHEN 'administrative' THEN concat_ws(',', CASE WHEN m>0 THEN 'missing_geometry' END, CASE WHEN r>0 THEN 'unreviewed_repair' END) ELSE '' END AS limitations FROM b, o, (VALUES ('fed-1'),('')) t(c)""",
+    "scoped_gaps": f"""WITH muni AS ({MUNI}), s AS (SELECT n_regionkey AS p, s_suppkey%3=0 AS gap, shape IN ('unknown','bbox','bowtie') AS pend FROM muni JOIN nation ON n_nationkey=s_nationkey)
+      SELECT 'p-'||p AS province_id, count(*) FILTER (gap) AS n_gaps, count(*) FILTER (pend) AS n_pending FROM s WHERE p IN (1,3) GROUP BY 1 HAVING count(*) FILTER (gap)+count(*) FILTER (pend)>0""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from areaframe.functions import geometry as G
-from areaframe.operators import hierarchy, lifecycle, overlay, plan_contracts, release, review, validity
+from areaframe.operators import hierarchy, lifecycle, overlay, plan_contracts, release, review, surface, validity
 from areaframe.plans import lookups
 from areaframe.plans.lookups import MOVED_BOXES, MUNI, MUNI_BOXES
 from areaframe.plans.records import _id
@@ -218,11 +218,35 @@ def city_plan_faults(spark: SparkSession, d: str) -> DataFrame:
     return plan_contracts.city_plan_faults(plan, written(parents, "parents"), sources, municipalities)
 
 
+def surface_approvals(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines that run into a hole through one point, bow-ties and sound boxes with their repairs; some repairs move
+    the boundary, some holes are filled by a neighbour, some neighbours reach into the candidate."""
+    m = X.municipalities(spark, d).withColumns({"area_id": _id("m-", "s_suppkey"), "v": F.col("s_suppkey") % 6})
+    box = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")]
+    hole = [("x0", "y0 + 4D"), ("x0 + .5D * w", "y0 + 5D"), ("x0 + .5D * w", "y0 + 3D")]
+    one = _ring([*box, *hole, hole[0], box[0]], 0, 0)
+    two = f"array({_ring([*box, hole[0], box[0]], 0, 0)}, {_ring([*hole, hole[0]], 0, 1)})"
+    moved = f"array({_ring([*box, hole[0], box[0]], 0, 0)}, {_ring([hole[0], ('x0 + .5D * w', 'y0 + 5.5D'), hole[2], hole[0]], 0, 1)})"
+    bow = _ring([box[0], box[2], box[1], box[3], box[0]], 0, 0)
+    mid = ("x0 + .5D * w", "y0 + 4D")
+    lobes = f"array({_ring([box[0], mid, box[3], box[0]], 0, 0)}, {_ring([box[1], box[2], mid, box[1]], 1, 0)})"
+    plain = f"array({G.box_rings('x0', 'y0', 'x1', 'y1')})"
+    original = F.expr(f"CASE v WHEN 1 THEN array({bow}) WHEN 2 THEN {plain} ELSE array({one}) END")
+    candidate = F.expr(f"CASE v WHEN 1 THEN {lobes} WHEN 2 THEN {plain} WHEN 3 THEN {moved} ELSE {two} END")
+    fill = f"array({_ring([hole[0], hole[2], hole[1], hole[0]], 0, 0)})"
+    near = f"array({G.box_rings('x1', 'y0', 'x1 + 1D', 'y1')})"
+    into = f"array({G.box_rings('x1 - .01D * w', 'y0', 'x1 + 1D', 'y1')})"
+    g = written(m.select("area_id", "s_suppkey", "v", original.alias("original"), candidate.alias("candidate"), F.expr(fill).alias("fill"), F.expr(f"IF(v = 4, {into}, {near})").alias("near")), "surfaces")
+    others = g.select("area_id", F.lit("near").alias("other_id"), F.col("near").alias("rings")).unionByName(g.where("v IN (0, 3, 4) OR s_suppkey % 12 = 5").select("area_id", F.lit("fill").alias("other_id"), F.col("fill").alias("rings")))
+    out = surface.surface_checks(g.select("area_id", F.col("original").alias("rings")), g.select("area_id", F.col("candidate").alias("rings")), others)
+    return out.select("area_id", "topology_only", F.array_join("reasons", ",").alias("reasons"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         geometry_validity, document_issues, union_coverage, child_union_gaps, closure_walks, revision_log, revised_geometry, revision_faults, revision_counts, migration_proofs, slivers_cut, repaired_shapes,
-        display_fallback, region_plan_faults, city_plan_faults,
+        display_fallback, region_plan_faults, city_plan_faults, surface_approvals,
     )
 }
 
@@ -273,4 +297,6 @@ ORACLES = {
     "city_plan_faults": """WITH f AS (SELECT s_nationkey AS n, min(s_suppkey) AS s FROM supplier GROUP BY 1), c AS (SELECT c_custkey AS k, n, s FROM customer JOIN f ON n=c_nationkey), p AS (SELECT DISTINCT n, s FROM c)
       SELECT 'area' AS "of", 'm-'||s||'-'||CASE WHEN k%50=3 THEN 'x' ELSE '' END||k AS id, unnest(list_filter([CASE WHEN k%70=9 THEN 'source' END, CASE WHEN k%90=4 THEN 'parent' END, CASE WHEN k%50=3 THEN 'identity' END, CASE WHEN k%110=5 THEN 'name' END], lambda x: x IS NOT NULL)) AS fault FROM c
       UNION ALL SELECT 'parent', 'm-'||s, unnest(list_filter([CASE WHEN n%10=7 THEN 'name' END, CASE WHEN n%6=1 THEN 'policy' END, CASE WHEN n%8=2 THEN 'count' END], lambda x: x IS NOT NULL)) FROM p UNION ALL SELECT 'source', 'b', 'crs' WHERE EXISTS (SELECT 1 FROM c WHERE k%70<>9 AND k%2=1)""",
+    "surface_approvals": """WITH s AS (SELECT s_suppkey AS k, s_suppkey%6 AS v FROM supplier) SELECT 'm-'||k AS area_id, v=0 OR k%12=5 AS topology_only,
+      CASE v WHEN 0 THEN '' WHEN 1 THEN 'area_roundoff_only' WHEN 2 THEN 'invalid_source' WHEN 3 THEN 'boundary_unchanged,even_odd_agrees,area_roundoff_only,exclusions_corroborated' WHEN 4 THEN 'neighbour_overlap_bounded' ELSE CASE WHEN k%12=5 THEN '' ELSE 'exclusions_corroborated' END END AS reasons FROM s""",
 }
