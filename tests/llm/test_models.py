@@ -144,11 +144,11 @@ def test_pipeline_stages(spark, rows, tmp_path):
     assert counts == sorted(counts, reverse=True) and counts[1] < counts[0] and counts[4] < counts[3]
     placed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in placed.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
-    assert len(corpus_pipeline.STAGES) == 5 and queries.QUERIES.keys() >= {f"op{i}_" for i in ()}
+    assert len(corpus_pipeline.STAGES) == 5
 
 
 def test_every_operator_is_registered():
-    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 14))
     groups = defaultdict(list)
     for n in queries.QUERIES:
         groups[n.split("_")[0]].append(n)
