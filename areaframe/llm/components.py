@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areaframe.llm.common import write_table
+from areaframe.llm.common import parts, write_table
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang the larger (or, small star: the smaller) neighbours of each node on the least of them."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+def _both(first: tuple[str, str], second: tuple[str, str]) -> Column:
+    """Two edges for each row, in one pass."""
+    return F.inline(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in (first, second))))
+
+
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """Hang the larger (or, small star: the smaller) neighbours of each node on the least of them; in n partitions."""
+    both = edges.select(_both(("u", "v"), ("v", "u"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    hung = both.hint("merge").join(least, "u")
-    if large:
-        out = hung.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    hung = both.hint("merge").join(least, "u").coalesce(n)
+    out = hung.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else hung.select(_both(("v", "m"), ("u", "m")))
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
@@ -30,10 +32,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     edges = write_table(edges.where(F.col("u") != F.col("v")).distinct(), "edges")
     before = None
     for _ in range(rounds):
-        edges = write_table(_star(_star(edges, True), False), "edges")
+        n = parts(edges)
+        edges = write_table(_star(_star(edges.coalesce(n), True, n), False, n), "edges")
         if (now := state(edges)) == before:
             break
         before = now
     else:
         raise RuntimeError("the components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return edges.coalesce(parts(edges)).select(_both(("u", "v"), ("v", "v"))).select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()

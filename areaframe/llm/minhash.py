@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from areaframe.llm.common import documents, sized, text_key, write_table
+from areaframe.llm.common import compact, documents, parts, sized, text_key, write_table
 from areaframe.llm.components import components
 
 SHINGLE = 5
@@ -34,6 +34,8 @@ CHUNKS, WIDTH, ERRORS = 12, 8, 1
 PERCENT = 85
 #: The chunks are laid out for similarities from this one on.
 LEAST_PERCENT = 80
+#: Rounds of pivots go on while the groups of a shingle hold more open pairs than this a row.
+PAIRS_A_ROW = 8
 #: Characters of text whose words are hashed at once.
 SLICE_CHARS = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -199,19 +201,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     key = ["n", "f1", "f2"]
     classes = signed.where(F.col("n") > 0).groupBy(*key).agg(F.min(F.struct("doc_id", "_t")).alias("rep"), F.first("sig").alias("sig"), F.min("doc_id").alias("low"))
     classes = write_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # ids are fixed by the written table
-    index = write_table(_shared_keys(_index(classes)), "buckets")
+    index = compact(write_table(_shared_keys(_index(classes)), "buckets"))
 
     company = index.groupBy("node").agg(F.sum("size").alias("company"))
     members = index.hint("merge").join(company, "node")
     pivots = members.groupBy("key").agg(F.max(F.struct("company", "node", "n")).alias("p"))
     met = members.hint("merge").join(pivots, "key").where(F.col("node") != F.col("p.node"))
-    met = write_table(met.select("key", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "bucket-rows")
+    met = compact(write_table(met.select("key", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "bucket-rows"))
     first = met.where(_similar_sizes("n", "pivot_n", percent)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     links = _confirmed(first, classes, d, percent)
-    group = write_table(components(links), "groups")
+    group = compact(write_table(components(links), "groups"))
 
-    more = _confirmed(_still_apart(met.select("key", "node"), group, classes, d, percent), classes, d, percent)
-    group = write_table(components(links.unionByName(more)), "groups")
+    links = _still_apart(met.select("key", "node"), links, group, classes, d, percent)
+    group = compact(write_table(components(links), "groups"))
 
     named = classes.hint("merge").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -228,22 +230,44 @@ def _shared_keys(index: DataFrame) -> DataFrame:
     return index.join(sized(sizes, 16), "key")
 
 
-def _still_apart(rows: DataFrame, group: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that cover every link between the components of a bucket, from its ``rows`` (key, node).
+def _families(rows: DataFrame, group: DataFrame) -> DataFrame:
+    """family, node, root: the classes of the buckets (key, node) whose members are in several components.
 
-    Buckets that share classes form a cluster. Its reference is the set of shingles that more
-    than half of its classes hold, and each class is known by its difference from that: D, of d
-    shingles. With g = (100 + p) d - (100 - p) n, two classes are linked exactly if
+    A class's hub is the class with the most company among the pivots of its buckets. A bucket
+    whose classes agree on the hub belongs to the hub's family, any other to its own pivot's. So the
+    classes of each bucket meet in one family, and families do not chain: their classes
+    share a key with one and the same class.
+    """
+    n = parts(rows)
+    labelled = rows.hint("merge").join(group, "node", "left").coalesce(n).withColumn("root", F.coalesce("root", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("size")).where("r1 <> r2").select("key", "size")
+    apart = write_table(labelled.hint("merge").join(mixed, "key"), "apart")
+    n = parts(apart)
+    apart = apart.coalesce(n)
+    company = apart.groupBy("node").agg(F.sum("size").alias("company"))
+    known = apart.hint("merge").join(company, "node").coalesce(n)
+    pivots = known.groupBy("key").agg(F.max(F.struct("company", "node")).alias("p"))
+    known = known.hint("merge").join(pivots, "key").coalesce(n)
+    hubs = known.groupBy("node").agg(F.max("p").alias("hub"))
+    known = known.hint("merge").join(hubs, "node").coalesce(n)
+    family = known.groupBy("key").agg(F.min("hub.node").alias("h1"), F.max("hub.node").alias("h2"), F.first("p.node").alias("p"))
+    family = family.select("key", F.when(F.col("h1") == F.col("h2"), F.col("h1")).otherwise(F.col("p")).alias("family"))
+    return write_table(known.hint("merge").join(family, "key").coalesce(n).select("family", "node", "root").distinct(), "families")
+
+
+def _still_apart(rows: DataFrame, links: DataFrame, group: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``links`` and those between the components of a bucket, from its ``rows`` (key, node).
+
+    Within a family the reference is the set of shingles that more than half of its classes
+    hold, and each class is known by its difference from that: D, of d shingles. With
+    g = (100 + p) d - (100 - p) n, two classes are linked exactly if
     g_x + g_y <= 2 (100 + p) |D_x & D_y|. So classes with g_x + g_y <= 0 are linked with the one
     of least g, and every other link shares a shingle of D. Taking D by frequency, rarest
     first, the first shared one lies early enough to leave room for the rest of the overlap;
-    texts with changes of their own meet nobody.
+    texts with changes of their own meet nobody. Shingles that many share are settled by
+    ``_by_pivots`` before their pairs are made.
     """
-    labelled = rows.hint("merge").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("node").alias("least")).where("r1 <> r2")
-    apart = write_table(labelled.hint("merge").join(mixed.select("key", "least"), "key").select("node", "root", "least").distinct(), "apart")
-    cluster = components(apart.select(F.col("node").alias("u"), F.col("least").alias("v"))).withColumnRenamed("root", "cluster")
-    nodes = write_table(apart.select("node", "root").distinct().hint("merge").join(cluster, "node"), "apart-nodes")
+    nodes = _families(rows, group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,26 +278,59 @@ def _still_apart(rows: DataFrame, group: DataFrame, classes: DataFrame, docs: Da
                 flat = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "own"])
 
-    own = _texts(nodes.select("node"), classes, docs, "apart").mapInArrow(run, "node bigint, own array<bigint>")
+    own = _texts(nodes.select("node").distinct(), classes, docs, "apart").mapInArrow(run, "node bigint, own array<bigint>")
     own = write_table(own.hint("merge").join(nodes, "node"), "apart-sets")
-    sizes = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    often = own.select("cluster", F.explode("own").alias("e")).groupBy("cluster", "e").agg(F.count(F.lit(1)).alias("df"))
-    # at most twice as many as a class of the cluster has on average
-    reference = often.hint("merge").join(sizes, "cluster").where(2 * F.col("df") > F.col("size")).groupBy("cluster").agg(F.collect_list("e").alias("ref"))
-    delta = own.hint("merge").join(reference, "cluster", "left").withColumn("ref", F.coalesce("ref", F.array().cast("array<bigint>")))
-    delta = delta.select("cluster", "node", "root", F.size("own").cast("long").alias("n"), F.concat(F.array_except("own", "ref"), F.array_except("ref", "own")).alias("delta")).withColumn("d", F.size("delta").cast("long"))
+    sizes = own.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    often = own.select("family", F.explode("own").alias("e")).groupBy("family", "e").agg(F.count(F.lit(1)).alias("df"))
+    # at most twice as many as a class of the family has on average
+    reference = often.hint("merge").join(sizes, "family").where(2 * F.col("df") > F.col("size")).groupBy("family").agg(F.collect_list("e").alias("ref"))
+    delta = own.hint("merge").join(reference, "family", "left").withColumn("ref", F.coalesce("ref", F.array().cast("array<bigint>")))
+    delta = delta.select("family", "node", "root", F.size("own").cast("long").alias("n"), F.concat(F.array_except("own", "ref"), F.array_except("ref", "own")).alias("delta")).withColumn("d", F.size("delta").cast("long"))
     delta = write_table(delta.withColumn("gap", (100 + percent) * F.col("d") - (100 - percent) * F.col("n")), "apart-deltas")
-    centre = delta.groupBy("cluster").agg(F.min(F.struct("gap", "node", "root")).alias("c"))
-    delta = delta.hint("merge").join(centre, "cluster")
+    centre = delta.groupBy("family").agg(F.min(F.struct("gap", "node", "root")).alias("c"))
+    delta = delta.hint("merge").join(centre, "family")
     sure = delta.where((F.col("gap") + F.col("c.gap") <= 0) & (F.col("root") != F.col("c.root"))).select(F.col("node").alias("a"), F.col("c.node").alias("b"))
 
     least = F.greatest(F.lit(1), F.ceil((F.col("gap") + F.col("c.gap")) / (2 * (100 + percent))), F.col("d") - F.floor((100 - percent) * F.col("n") / percent))
-    parts = delta.select("cluster", "node", "root", "n", "d", "gap", least.alias("least"), F.explode("delta").alias("e"))
-    df = parts.groupBy("cluster", "e").agg(F.count(F.lit(1)).alias("df"))
-    parts = parts.hint("merge").join(df, ["cluster", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "e")))
-    parts = parts.where((F.col("df") > 1) & (F.col("rank") <= F.col("d") - F.col("least") + 1)).withColumn("room", F.col("d") - F.col("rank") + 1)
-    parts = write_table(parts.select("cluster", "e", "node", "root", "n", "gap", "room"), "apart-prefixes")
-    a, b = (parts.select("cluster", "e", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "n", "gap", "room"))) for side in "ab")
+    cut = delta.select("family", "node", "root", "n", "d", "gap", least.alias("least"), F.explode("delta").alias("e"))
+    df = cut.groupBy("family", "e").agg(F.count(F.lit(1)).alias("df"))
+    cut = cut.hint("merge").join(df, ["family", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("family", "node").orderBy("df", "e")))
+    cut = cut.where((F.col("df") > 1) & (F.col("rank") <= F.col("d") - F.col("least") + 1)).withColumn("room", F.col("d") - F.col("rank") + 1)
+    cut = write_table(cut.select("family", "e", "node", "root", "n", "gap", "room"), "apart-prefixes")
+
+    links, cut, sure = _by_pivots(cut, sure, links, classes, docs, percent)
+    pairs = _fitting(cut, cut, percent).where(F.col("a") < F.col("b"))
+    return links.unionByName(_confirmed(sure.unionByName(pairs).distinct(), classes, docs, percent))
+
+
+def _fitting(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a shingle and may be similar enough."""
+    x, y = (part.select("family", "e", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "n", "gap", "room"))) for side, part in (("a", left), ("b", right)))
     fits = F.col("a_gap") + F.col("b_gap") <= 2 * (100 + percent) * F.least("a_room", "b_room")
-    shared = a.hint("merge").join(b, ["cluster", "e"]).where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _similar_sizes("a_n", "b_n", percent) & fits)
-    return sure.unionByName(shared.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))).distinct()
+    met = x.hint("merge").join(y, ["family", "e"]).where((F.col("a_root") != F.col("b_root")) & _similar_sizes("a_n", "b_n", percent) & fits)
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
+def _by_pivots(cut: DataFrame, sure: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, prefixes and sure pairs that are left when the shingles' groups are small or no longer shrink.
+
+    In each round every class of a group meets the group's pivot. Then components are
+    contracted; the pivot, whose pairs are all settled, and groups within one component go.
+    """
+    before = None
+    while True:
+        per = cut.groupBy("family", "e", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("family", "e").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
+        total, open_ = per.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
+        if not open_ or open_ <= PAIRS_A_ROW * total or (before and open_ > 0.8 * before):
+            return links, cut, sure
+        before = open_
+        pivots = cut.groupBy("family", "e").agg(F.min(F.struct("gap", "node", "root", "n", "room")).alias("p")).select("family", "e", "p.*")
+        pivots = write_table(pivots, "apart-pivots")
+        first = _fitting(cut, pivots, percent).unionByName(sure).distinct()
+        links = links.unionByName(_confirmed(first, classes, docs, percent))
+        sure = sure.where("false")
+        group = compact(write_table(components(links), "groups"))
+        rest = cut.hint("merge").join(pivots.select("family", "e", "node"), ["family", "e", "node"], "left_anti").drop("root")
+        rest = rest.hint("merge").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = rest.groupBy("family", "e").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("family", "e")
+        cut = write_table(rest.hint("merge").join(several, ["family", "e"]).select(*cut.columns), "apart-prefixes")

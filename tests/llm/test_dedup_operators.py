@@ -251,17 +251,7 @@ def test_substring_dedup_of_very_frequent_places(spark, monkeypatch):
     check_cut(spark, [(i, "".join(r.choice("xyzw") for _ in range(40)) + line[r.randint(0, 30) :] + str(i)) for i in range(25)])
 
 
-def test_near_duplicates_in_a_hot_group_of_unlinked_texts(spark):
-    """Copies of one text, most of them too far from each other, against brute force over all pairs."""
-    r = random.Random(5)
-    words = [f"w{i}" for i in range(400)]
-    origin = [r.choice(words) for _ in range(120)]
-    data = []
-    for i in range(150):
-        t = list(origin)
-        for at in r.sample(range(120), r.randint(0, 9)):
-            t[at] = r.choice(words)
-        data.append((i, " ".join(t), "en", "s", 0))
+def linked_by_brute_force(data):
     sets = [set(minhash.shingles(t[1]).tolist()) for t in data]
     root = list(range(len(data)))
 
@@ -275,8 +265,47 @@ def test_near_duplicates_in_a_hot_group_of_unlinked_texts(spark):
             if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
+    return {i: find(i) for i in range(len(data))}
+
+
+def families_of_near_copies(size, joints, words=300):
+    """Four families of texts just under the threshold, joined by texts that are half of one and half of another."""
+    r = random.Random(11)
+    names = [f"w{i}" for i in range(3000)]
+    origins = [[r.choice(names) for _ in range(words)] for _ in range(4)]
+    texts = [list(o) for o in origins for _ in range(size)]
+    for _ in range(joints):
+        a, b = r.sample(origins, 2)
+        texts.append(a[: words // 2] + b[words // 2 :])
+    for t in texts:
+        for at in r.sample(range(words), words // 100 + 1):
+            t[at] = r.choice(names)
+    return [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("pairs_a_row", [8, 0])
+def test_near_duplicates_in_families_that_chain(spark, monkeypatch, pairs_a_row):
+    """Whether pairs are made at once or rounds of pivots go before, against brute force."""
+    monkeypatch.setattr(minhash, "PAIRS_A_ROW", pairs_a_row)
+    data = families_of_near_copies(30, 30, 100)
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got == linked_by_brute_force(data)
+    assert len(set(got.values())) > 4
+
+
+def test_near_duplicates_in_a_hot_group_of_unlinked_texts(spark):
+    """Copies of one text, most of them too far from each other, against brute force over all pairs."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    origin = [r.choice(words) for _ in range(120)]
+    data = []
+    for i in range(150):
+        t = list(origin)
+        for at in r.sample(range(120), r.randint(0, 9)):
+            t[at] = r.choice(words)
+        data.append((i, " ".join(t), "en", "s", 0))
     got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()}
-    assert got == {i: find(i) for i in range(len(data))}
+    assert got == linked_by_brute_force(data)
     assert len(set(got.values())) > 20
     with pytest.raises(ValueError):
         minhash.near_duplicates(spark.createDataFrame(data[:2], SCHEMA), 50)
