@@ -303,7 +303,9 @@ ORACLES = {
     "lookup_counts_by_area": f"{BASE} SELECT 'm-'||s_suppkey AS area_id, count(*) AS n_points FROM pts JOIN muni ON {IN_MUNI} GROUP BY 1",
     "lineitem_counts_by_area": f"""WITH muni AS ({MUNI}), li AS (SELECT -131e0+((l_orderkey*7919+l_linenumber*31)%67000)/1000e0 AS x, 41e0+((l_orderkey*104729+l_partkey)%42000)/1000e0 AS y, l_quantity FROM lineitem)
       SELECT 'm-'||s_suppkey AS area_id, count(*) AS n_items, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM li JOIN muni ON {IN_MUNI} GROUP BY 1""",
-    "review_candidates": f"{BASE} SELECT DISTINCT event_id AS point_id, 'm-'||s_suppkey AS area_id FROM pts JOIN muni ON {PENDING}",
+    # the upright sides of a bow-tie hold their points whatever the products of the diagonals round to
+    "review_candidates": f"""{BASE} SELECT DISTINCT event_id AS point_id, 'm-'||s_suppkey AS area_id FROM pts JOIN muni ON {PENDING}
+      OR (shape='bowtie' AND x BETWEEN x0 AND x1 AND (x=x0 OR x=x1) AND y BETWEEN y0 AND y1)""",
     "point_lookup_status": f"""{FULL}, {_DIRECT}, {_UPS},
       dis AS (SELECT d.event_id, count(*) AS n FROM direct d JOIN muni m ON m.s_suppkey=d.s_suppkey JOIN pts p ON p.event_id=d.event_id WHERE d.level='city_area' AND m.shape IN ('plain','hole','multipart') AND NOT {IN_MUNI} GROUP BY 1),
       amb AS (SELECT event_id, bool_or(n>1) AS a FROM (SELECT event_id, level, track, count(*) AS n FROM direct GROUP BY ALL) GROUP BY 1),
