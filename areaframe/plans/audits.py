@@ -470,8 +470,9 @@ ORACLES = {
     "hole_components": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, 0 AS part, 1 AS ring, s_suppkey%2=0 AS matched FROM muni WHERE shape='hole'",
     "corridor_distances": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, round(.05e0*w*(s_suppkey%8),6) AS distance FROM muni WHERE {_S}",
     "envelope_violations": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, CAST(2 AS BIGINT) AS n FROM muni WHERE {_S} AND s_suppkey%5=0",
-    "small_parts_removed": f"""WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, CAST(1+CASE WHEN shape='multipart' AND .2e0*w>=.95e0 THEN 1 WHEN shape='hole' AND w>=.95e0 THEN 1 ELSE 0 END AS INT) AS n_rings,
-      round(CASE shape WHEN 'plain' THEN 8e0*w WHEN 'multipart' THEN 5e0*w+CASE WHEN .2e0*w>=.95e0 THEN .2e0*w ELSE 0e0 END ELSE 8e0*w-CASE WHEN w>=.95e0 THEN w ELSE 0e0 END END,6) AS area FROM muni WHERE {_S}""",
+    "small_parts_removed": f"""WITH muni AS ({MUNI}), r AS (SELECT s_suppkey, CASE shape WHEN 'multipart' THEN 5e0*w ELSE 8e0*w END AS body, CASE shape WHEN 'multipart' THEN .2e0*w ELSE 0e0 END AS part, CASE shape WHEN 'hole' THEN w ELSE 0e0 END AS hole FROM muni WHERE {_S}),
+      k AS (SELECT *, body>=.95e0 AS b, part>=.95e0 AS p, hole>=.95e0 AND body>=.95e0 AS h FROM r)
+      SELECT 'm-'||s_suppkey AS area_id, CAST(b AS INT)+CAST(p AS INT)+CAST(h AS INT) AS n_rings, round(CASE WHEN b THEN body ELSE 0e0 END+CASE WHEN p THEN part ELSE 0e0 END-CASE WHEN h THEN hole ELSE 0e0 END,6) AS area FROM k""",
     "revised_areas": """SELECT 'm-'||s_suppkey AS id, CASE WHEN s_suppkey%6=1 THEN 'Name '||s_suppkey ELSE 'Municipalité '||s_suppkey END AS name, CASE WHEN s_suppkey%6<2 THEN 'superseded' ELSE 'current' END AS lifecycle_status FROM supplier
       UNION ALL SELECT 'm-new-'||s_suppkey, 'Name '||s_suppkey, 'current' FROM supplier WHERE s_suppkey%6=2""",
     "renamed_areas": """SELECT 'm-'||s_suppkey AS id, CASE WHEN s_suppkey%8=1 THEN 'M-'||s_suppkey WHEN s_suppkey%4=1 THEN 'Ville '||s_suppkey ELSE 'Municipalité '||s_suppkey END AS name,

@@ -31,3 +31,9 @@ def test_review_candidates_at_the_corner_of_a_bow_tie(compared):
     # municipality 162 of 300 ends where the point lies; the products of the diagonals differ there by rounding
     got = compared("review_candidates", [(3292 - 161 + i, 5) for i in range(300)], [307580])
     assert ("307580", "m-3292") in got
+
+
+@pytest.mark.parametrize("n", [7, 60, 200, 1400])
+def test_small_parts_removed_at_every_width(compared, n):
+    got = compared("small_parts_removed", [(i, 3) for i in range(n)])
+    assert len(got) > 3 and any(r[1] == "0" for r in got) == (n > 68)
