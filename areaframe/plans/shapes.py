@@ -290,7 +290,9 @@ ORACLES = {
     "slivers_cut": f"""WITH muni AS ({MUNI}), {MUNI_BOXES}, {MOVED_BOXES}, p AS (SELECT n.area_id AS a, o.area_id AS b, sum(n.sgn*o.sgn*greatest(0e0, least(n.bx1,o.bx1)-greatest(n.bx0,o.bx0))*greatest(0e0, least(n.by1,o.by1)-greatest(n.by0,o.by0))) AS v FROM moved n JOIN boxes o ON n.area_id<>o.area_id GROUP BY 1,2)
       SELECT p.a AS area_id, round(any_value(kept.a)-sum(v),6) AS area FROM p JOIN kept ON kept.area_id=p.a WHERE v>1e-9 GROUP BY 1 HAVING bool_and(v<=.151e0*kept.a)""",
     "repaired_shapes": f"WITH muni AS ({MUNI}) SELECT 'm-'||s_suppkey AS area_id, CAST(2 AS BIGINT) AS n_rings, round(w*8e0/2e0,5) AS area, CAST(NULL AS VARCHAR) AS fault FROM muni WHERE shape='bowtie'",
-    "display_fallback": "SELECT 'm-'||s_suppkey AS area_id, CASE WHEN s_suppkey%3=0 THEN 'full' ELSE 'simplified' END AS basis, CAST(CASE WHEN s_suppkey%3=0 THEN 12 ELSE 4 END AS BIGINT) AS n_vertices FROM supplier",
+    # a box loses its other corners where they are within the tolerance of its diagonal; a ring that would collapse stays whole
+    "display_fallback": f"""WITH muni AS ({MUNI}), t AS (SELECT s_suppkey, s_suppkey%3=0 AS notched, 8e0*w/sqrt(w*w+64e0)>.01e0 AS wide FROM muni)
+      SELECT 'm-'||s_suppkey AS area_id, CASE WHEN notched AND wide THEN 'full' ELSE 'simplified' END AS basis, CAST(CASE WHEN notched THEN 12 WHEN wide THEN 4 ELSE 34 END AS BIGINT) AS n_vertices FROM t""",
     "region_plan_faults": """WITH n AS (SELECT DISTINCT n_nationkey AS n, n_regionkey AS p FROM nation JOIN supplier ON s_nationkey=n_nationkey), c AS (SELECT s_nationkey AS n, count(*) AS c FROM supplier GROUP BY 1)
       SELECT CASE WHEN n%11=3 THEN 'x-'||n ELSE 'p-'||p||'-'||n END AS region_id, unnest(list_filter([CASE WHEN n%11=3 THEN 'identity' END, CASE WHEN n%7=5 THEN 'labels' END, CASE WHEN n=10 THEN 'selected_once' END, CASE WHEN n=8 THEN 'known' END, CASE WHEN n%9=1 THEN 'attributes' END,
         CASE WHEN n=14 THEN 'coverage' END, CASE WHEN n=6 THEN 'count' END, CASE WHEN n=13 AND c>1 THEN 'digest' END], lambda x: x IS NOT NULL)) AS fault FROM n JOIN c USING(n)""",

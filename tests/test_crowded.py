@@ -37,3 +37,9 @@ def test_review_candidates_at_the_corner_of_a_bow_tie(compared):
 def test_small_parts_removed_at_every_width(compared, n):
     got = compared("small_parts_removed", [(i, 3) for i in range(n)])
     assert len(got) > 3 and any(r[1] == "0" for r in got) == (n > 68)
+
+
+@pytest.mark.parametrize("n", [9, 1400])
+def test_display_fallback_of_boxes_within_the_tolerance(compared, n):
+    got = compared("display_fallback", [(i, 3) for i in range(n)])
+    assert any(r[1] == "full" for r in got) == (n == 9)
