@@ -20,6 +20,9 @@ _A, _F = 6378137.0, 1 / 298.257223563
 _B = _A * (1 - _F)
 #: The least radius of curvature, so that no envelope is too small.
 _LEAST = _B * _B / _A
+_MEAN = (2 * _A + _B) / 3
+#: Circles that one task meets with edges; each may reach very many of them.
+CIRCLES_EACH = 20_000
 
 
 def envelopes(circles: DataFrame) -> DataFrame:
@@ -70,7 +73,7 @@ def _haversine(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.nd
     """Metres on a sphere of the mean radius."""
     p1, p2 = np.radians(lat1), np.radians(lat2)
     a = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
-    return 2 * (2 * _A + _B) / 3 * np.arcsin(np.sqrt(np.minimum(a, 1)))
+    return 2 * _MEAN * np.arcsin(np.sqrt(np.minimum(a, 1)))
 
 
 def nearest(p: pd.DataFrame, metric=distance) -> np.ndarray:
@@ -100,24 +103,51 @@ def within(p: pd.DataFrame) -> np.ndarray:
     return out
 
 
+def _bounds(boxes: DataFrame) -> DataFrame:
+    """Adds to envelopes what ``_far`` and ``_sure`` compare with: x beside the box, weights of a degree
+    of longitude and latitude that no distance in the envelope falls below, and the limits of both."""
+    b = boxes.withColumns({"_d": F.expr(f"radius_m / {_LEAST!r}D * 1.000001D"), "_p": F.radians("y")})
+    polar = "(_p - _d <= -pi() / 2D OR _p + _d >= pi() / 2D)"
+    b = b.withColumn("_h", F.expr(f"IF({polar}, 0D, asin(least(1D, sin(_d) / cos(_p))))"))
+    sinc = "IF({0} > 1e-6D, sin({0} / 2D) / ({0} / 2D), 1D)"
+    return b.select(
+        *boxes.columns,
+        F.expr("CASE WHEN x > east THEN x - 360D WHEN x < west THEN x + 360D ELSE x END").alias("_x"),
+        F.expr(f"IF({polar}, 0D, cos(_p) * least(cos(radians(south)), cos(radians(north))) * pow({sinc.format('_h')}, 2))").alias("_kx"),
+        F.expr(f"IF(_d < pi(), pow({sinc.format('_d')}, 2), 0D)").alias("_ky"),
+        F.expr(f"pow(degrees((radius_m + {BAND!r}D) / {1 - SPHERE!r}D / {_MEAN!r}D) * 1.0001D, 2)").alias("_far"),
+        F.expr(f"pow(sin(least(pi() / 2D, radius_m / {1 + SPHERE!r}D / {2 * _MEAN!r}D)), 2)").alias("_near"),
+    )
+
+
+#: Where along an edge it comes nearest with those weights, and that its distance there is beyond the radius on
+#: any sphere and ellipsoid, or that the haversine of this one place is within it on both.
+_T = "least(1D, greatest(0D, coalesce(((_x - ax) * (bx - ax) * _kx + (y - ay) * (by - ay) * _ky) / nullif((bx - ax) * (bx - ax) * _kx + (by - ay) * (by - ay) * _ky, 0D), 0D)))"
+_OUT = "pow(_x - ax - _t * (bx - ax), 2) * _kx + pow(y - ay - _t * (by - ay), 2) * _ky > _far"
+_IN = "pow(sin(radians(ay + _t * (by - ay) - y) / 2D), 2) + cos(radians(y)) * cos(radians(ay + _t * (by - ay))) * pow(sin(radians(ax + _t * (bx - ax) - _x) / 2D), 2) <= _near"
+
+
 def circle_hits(circles: DataFrame, geometry: DataFrame) -> DataFrame:
     """circle_id, area_id, role: geometries that hold the centre or come within the radius.
 
     Cells find the geometries that hold a centre and, by the envelopes, the edges that may be
-    near; only edges whose box meets the envelope reach the NumPy kernel. Distances up to BAND
-    beyond the radius count as within.
+    near. One place on an edge settles those well within the radius, a bound from below those well
+    beyond; only the others reach the NumPy kernel. Distances up to BAND beyond the radius count as within.
     """
+    circles = circles.repartition(circles.count() // CIRCLES_EACH + 1, "circle_id")
     size = cell_size(geometry)
     cells = written(polygon_cells(geometry, size), "cells")
     key = ["circle_id", "area_id", "role"]
     inside = covering(circles, cells, "circle_id", size=size)
     # an edge is met in the first cell that its box and the envelope share
     e = cells.select("area_id", "role", "cx", "cy", F.explode("edges").alias("e")).select("area_id", "role", "cx", "cy", "e.*")
-    cc = with_cells(envelopes(circles), size)
+    cc = with_cells(_bounds(envelopes(circles)), size)
     met = cc.join(sized(written(e, "cell-edges")), ["cx", "cy"])
     met = met.where("least(ax, bx) <= east AND west <= greatest(ax, bx) AND least(ay, by) <= north AND south <= greatest(ay, by)")
     first = (F.col("cx") == F.floor(F.greatest(F.col("west"), F.least("ax", "bx")) / size[0])) & (F.col("cy") == F.floor(F.greatest(F.col("south"), F.least("ay", "by")) / size[1]))
-    met = met.where(first).select(*key, "x", "y", "radius_m", "ax", "ay", "bx", "by")
+    met = met.where(first).withColumn("_t", F.expr(_T))
+    sure = met.where(_IN).select(*key)
+    met = met.where(f"NOT ({_OUT}) AND NOT ({_IN})").select(*key, "x", "y", "radius_m", "ax", "ay", "bx", "by")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -126,7 +156,7 @@ def circle_hits(circles: DataFrame, geometry: DataFrame) -> DataFrame:
 
     kind = dict(circles.dtypes)["circle_id"]
     near = met.mapInPandas(run, f"circle_id {kind}, area_id string, role string")
-    return inside.unionByName(near).distinct()
+    return inside.unionByName(sure).unionByName(near).distinct()
 
 
 def discover(circles: DataFrame, municipalities: DataFrame, geometry: DataFrame, stable: DataFrame | None = None) -> DataFrame:
