@@ -141,14 +141,18 @@ def nested_loop(points: DataFrame, geometry: DataFrame, *keep: str) -> DataFrame
     return met.where(G.covers("edges", "x", "y")).select(*keep, "area_id", "role")
 
 
-def box_pairs(left: DataFrame, right: DataFrame, size: float = CELL) -> DataFrame:
-    """Distinct pairs (a, b) of two (area_id, rings) tables whose boxes overlap or touch.
+def box_pairs(left: DataFrame, right: DataFrame, size: Size | None = None, least: float | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of two (area_id, rings) tables whose boxes overlap or touch; where ``least`` is
+    given, only those whose boxes share enough for an overlap of more than that.
 
     Each pair is met in one cell only: the one that holds the lower left corner of what
-    the two boxes share, so no distinct is needed.
+    the two boxes share, so no distinct is needed. The cells follow the boxes unless a size is given.
     """
-    box = lambda df, s: with_cells(df.select(F.col("area_id").alias(s), *G.bbox("rings")), size).select(s, "cx", "cy", *(F.col(c).alias(f"{s}_{c}") for c in ("west", "south", "east", "north")))
+    x, y = _xy(size or cell_size(left.select("rings").unionByName(right.select("rings"))))
+    box = lambda df, s: with_cells(df.select(F.col("area_id").alias(s), *G.bbox("rings")), (x, y)).select(s, "cx", "cy", *(F.col(c).alias(f"{s}_{c}") for c in ("west", "south", "east", "north")))
     met = box(left, "a").join(box(right, "b").hint("merge"), ["cx", "cy"])
     met = met.where("a_west <= b_east AND b_west <= a_east AND a_south <= b_north AND b_south <= a_north")
-    home = (F.col("cx") == F.floor(F.greatest("a_west", "b_west") / size)) & (F.col("cy") == F.floor(F.greatest("a_south", "b_south") / size))
+    if least is not None:  # half of it, so that rounding loses no pair
+        met = met.where(f"(least(a_east, b_east) - greatest(a_west, b_west)) * (least(a_north, b_north) - greatest(a_south, b_south)) > {least / 2!r}D")
+    home = (F.col("cx") == F.floor(F.greatest("a_west", "b_west") / x)) & (F.col("cy") == F.floor(F.greatest("a_south", "b_south") / y))
     return met.where(home).select("a", "b")

@@ -33,7 +33,7 @@ def escalate_municipal(result: DataFrame, located: DataFrame, coverage: DataFram
 def edition_overlaps(districts: DataFrame, least: float, by: str | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of districts (area_id, rings) that share more than ``least``: of one edition, or of
     the same ``by`` where several are given."""
-    pairs = box_pairs(districts, districts).where("a < b")
+    pairs = box_pairs(districts, districts, least=least).where("a < b")
     if by:
         of = lambda k: districts.select(F.col("area_id").alias(k), F.col(by).alias(f"_{k}")).hint("merge")
         pairs = written(pairs.join(of("a"), "a").join(of("b"), "b").where("_a = _b").select("a", "b"), "edition-pairs")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from areaframe.functions import geometry as G
-from areaframe.operators import cells
+from areaframe.operators import cells, conformance
 
 
 def slices(spark, n):
@@ -13,6 +13,13 @@ def slices(spark, n):
     return r.select("area_id", "role", F.expr(f"array({G.box_rings('x0', '0D', 'x1', '1D')})").alias("rings"))
 
 
+def test_pairs_of_boxes_that_only_touch_reach_no_overlay(spark):
+    g = slices(spark, 300)
+    assert cells.box_pairs(g, g, least=1e-9).where("a < b").collect() == [("a-00298", "a-00299")]
+    assert cells.box_pairs(g, g).where("a < b").count() == 299
+    assert [(r["a"], r["b"]) for r in conformance.edition_overlaps(g, 1e-9).collect()] == [("a-00298", "a-00299")]
+
+
 def test_box_joins_are_no_nested_loops(spark):
     g = slices(spark, 300)
     p = spark.range(500).select(F.col("id").alias("point_id"), (F.col("id") / 499).alias("x"), F.lit(0.5).alias("y"))
