@@ -26,6 +26,12 @@ CITY = """SELECT c_custkey, s_suppkey, scheme, x0, x1, y0+8e0*j/jj AS cy0, y0+8e
      SELECT c.c_custkey, m.s_suppkey, m.x0, m.x1, m.y0, CASE WHEN c.c_custkey%3<>0 THEN 'default' ELSE 'alt' END AS scheme
      FROM {customer} c JOIN {muni} m ON m.s_nationkey=c.c_nationkey AND m.k=c.c_custkey%m.cnt) s) r"""
 
+#: The join of CITY by equal keys: a customer's place among the municipalities of its nation is known before
+#: they meet. As CITY states it, only the nation is a key, and every customer meets every municipality of it.
+_PLACED = """(SELECT /*+ BROADCAST(n) */ c.c_custkey, c.c_nationkey, c.c_custkey%n.cnt AS k
+  FROM {customer} c JOIN (SELECT s_nationkey, count(*) AS cnt FROM {muni} GROUP BY s_nationkey) n ON n.s_nationkey=c.c_nationkey)"""
+CITY_BY_PLACE = CITY.replace("FROM {customer} c JOIN {muni} m ON m.s_nationkey=c.c_nationkey AND m.k=c.c_custkey%m.cnt", f"FROM {_PLACED} c JOIN {{muni}} m ON m.s_nationkey=c.c_nationkey AND m.k=c.k")
+
 POINTS = """SELECT event_id, ts, user_id, event_type,
   CASE WHEN event_id%50=0 THEN -130e0+(event_id%6)*13e0 ELSE -131e0+((event_id*7919)%67000)/1000e0 END AS x,
   CASE WHEN event_id%70=0 THEN 42e0+(event_id%6)*8e0 ELSE 41e0+((event_id*104729)%42000)/1000e0 END AS y
@@ -43,7 +49,7 @@ def municipalities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def city_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CITY, customer=table(spark, sf_dir, "customer"), muni=municipalities(spark, sf_dir))
+    return spark.sql(CITY_BY_PLACE, customer=table(spark, sf_dir, "customer"), muni=municipalities(spark, sf_dir))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
