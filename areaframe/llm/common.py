@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,10 @@ BROADCAST_BYTES = 32 << 20
 #: Bytes of rows that a partition of a table of ids is given, see ``compact``.
 PARTITION_BYTES = 16 << 20
 
+#: Bytes of a batch that a Python worker is handed. A worker holds a batch several times over (Arrow on both
+#: sides, its strings at up to four bytes a character), and keeps its memory for the tasks that follow.
+BATCH_BYTES = 4 << 20
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words as the contracts of several operators define them: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, Arrow batches end at BATCH_BYTES: 10 000 rows with one or two texts may be very large."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -47,7 +65,8 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
