@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from areaframe.operators.cells import cover, sized
+from areaframe.sources.workspace import written
 
 IDS = T.ArrayType(T.StringType())
 
@@ -21,10 +22,12 @@ def lookup(points: DataFrame, areas: DataFrame, geometry: DataFrame, closure: Da
     ``areas`` are the visible, current areas; ``geometry`` (area_id, role, rings) may hold
     assignment geometry and, for what is not approved, candidate, review and bbox geometry.
     Areas with no extent at all are unknown for every point. The closure is joined to the
-    few areas, not to the points.
+    few areas, not to the points. Areas, visible geometry and chains are read several times, so
+    each is written once.
     """
+    areas = written(areas.select("id", "level", "scheme", "edition"), "lookup-areas")
     info = areas.select(F.col("id").alias("area_id"), "level", F.coalesce(F.when(F.col("level") == "city_area", F.col("scheme")).otherwise(F.col("edition")), F.lit("")).alias("track"))
-    visible = geometry.join(info, "area_id", "left_semi")
+    visible = written(geometry.join(info, "area_id", "left_semi"), "lookup-shapes")
     n_unknown = info.join(visible.select("area_id").distinct(), "area_id", "left_anti").count()
     hits = cover(points, visible, "point_id")
     # each area with its ancestors, those of its own level, and those that have geometry
@@ -36,7 +39,7 @@ def lookup(points: DataFrame, areas: DataFrame, geometry: DataFrame, closure: Da
         F.collect_set(F.when(F.col("has"), F.col("ancestor_id"))).alias("up_shaped"),
         F.collect_set(F.when(F.col("up_level") == F.col("level"), F.col("ancestor_id"))).alias("up_same"),
     )
-    hits = hits.join(sized(chains), "area_id")
+    hits = hits.join(sized(written(chains, "lookup-chains")), "area_id")
     direct = F.col("role") == "assignment"
     by_point = hits.groupBy("point_id").agg(
         F.collect_set(F.when(direct, F.struct("area_id", "level", "track", "up", "up_shaped", "up_same"))).alias("d"),
