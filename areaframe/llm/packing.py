@@ -10,6 +10,7 @@ each length and looks their places up in the plan.
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from areaframe.llm.common import write_table
 
 CAPACITY = 4096
 END_ID = 1
-#: Parts of chunks whose ids a task remembers, in each of two generations, and the longest of them.
+#: Parts of chunks whose ids a worker remembers, in each of two generations, and the longest of them.
 CACHE_PARTS = 150_000
 CACHE_CHARS = 32
 #: Characters of text that are encoded at once.
@@ -116,9 +117,15 @@ class Encoder:
         return ids, np.append(0, np.cumsum(sizes))[np.cumsum(pc.list_value_length(split).to_numpy())]
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker: tokenizers that are made and dropped task by task leave memory behind."""
+    return Encoder(path)
+
+
 def encode(path: str, texts: list[str]) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each text."""
-    ids, ends = Encoder(path).texts(texts)
+    ids, ends = encoder(path).texts(texts)
     for a, b in zip([0, *ends[:-1]], ends, strict=True):
         yield ids[a:b].tobytes()
 
@@ -131,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        own = encoder(tokenizer_path)
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             at = 0
@@ -140,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 while stop < len(texts) and (size < SLICE_CHARS or stop == at):
                     size += len(texts[stop])
                     stop += 1
-                ids, ends = encoder.texts(texts[at:stop])
+                ids, ends = own.texts(texts[at:stop])
                 row, piece, start, length, crc = ([] for _ in range(5))
                 begin = 0
                 for i, e in enumerate(ends.tolist(), at):
