@@ -207,12 +207,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = index.hint("merge").join(company, "node")
     pivots = members.groupBy("key").agg(F.max(F.struct("company", "node", "n")).alias("p"))
     met = members.hint("merge").join(pivots, "key").where(F.col("node") != F.col("p.node"))
-    met = compact(write_table(met.select("key", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "bucket-rows"))
+    met = compact(write_table(met.select("key", "node", "n", "company", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "bucket-rows"))
     first = met.where(_similar_sizes("n", "pivot_n", percent)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     links = _confirmed(first, classes, d, percent)
     group = compact(write_table(components(links), "groups"))
 
-    links = _still_apart(met.select("key", "node"), links, group, classes, d, percent)
+    links = _still_apart(met.select("key", "node", "company"), links, group, classes, d, percent)
     group = compact(write_table(components(links), "groups"))
 
     named = classes.hint("merge").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -231,32 +231,29 @@ def _shared_keys(index: DataFrame) -> DataFrame:
 
 
 def _families(rows: DataFrame, group: DataFrame) -> DataFrame:
-    """family, node, root: the classes of the buckets (key, node) whose members are in several components.
+    """family, node, root: the classes of the buckets (key, node, company) whose members are in several components.
 
-    A class's hub is the class with the most company among the pivots of its buckets. A bucket
-    whose classes agree on the hub belongs to the hub's family, any other to its own pivot's. So the
+    A class's hub is the class with the most company among the pivots of its buckets. Where all classes
+    of the buckets of a pivot agree on the hub, they belong to the hub's family, else to the pivot's. So the
     classes of each bucket meet in one family, and families do not chain: their classes
-    share a key with one and the same class.
+    share a key with one and the same class. Copies share nearly all keys, so the buckets of a pivot are
+    put together before families are told: each row of a bucket meets its pivot, and only that.
     """
     n = parts(rows)
     labelled = rows.hint("merge").join(group, "node", "left").coalesce(n).withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("size")).where("r1 <> r2").select("key", "size")
-    apart = write_table(labelled.hint("merge").join(mixed, "key"), "apart")
-    n = parts(apart)
-    apart = apart.coalesce(n)
-    company = apart.groupBy("node").agg(F.sum("size").alias("company"))
-    known = apart.hint("merge").join(company, "node").coalesce(n)
-    pivots = known.groupBy("key").agg(F.max(F.struct("company", "node")).alias("p"))
-    known = known.hint("merge").join(pivots, "key").coalesce(n)
-    hubs = known.groupBy("node").agg(F.max("p").alias("hub"))
-    known = known.hint("merge").join(hubs, "node").coalesce(n)
-    family = known.groupBy("key").agg(F.min("hub.node").alias("h1"), F.max("hub.node").alias("h2"), F.first("p.node").alias("p"))
-    family = family.select("key", F.when(F.col("h1") == F.col("h2"), F.col("h1")).otherwise(F.col("p")).alias("family"))
-    return write_table(known.hint("merge").join(family, "key").coalesce(n).select("family", "node", "root").distinct(), "families")
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max(F.struct("company", "node")).alias("p")).where("r1 <> r2").select("key", "p")
+    known = labelled.hint("merge").join(mixed, "key").select("node", "root", "p", F.col("p.node").alias("pivot")).distinct()
+    known = write_table(known, "apart")
+    n = parts(known)
+    known = known.coalesce(n)
+    hubs = known.groupBy("node").agg(F.max("p")["node"].alias("hub"))
+    family = known.hint("merge").join(hubs, "node").coalesce(n).groupBy("pivot").agg(F.min("hub").alias("h1"), F.max("hub").alias("h2"))
+    family = family.select("pivot", F.when(F.col("h1") == F.col("h2"), F.col("h1")).otherwise(F.col("pivot")).alias("family"))
+    return write_table(known.hint("merge").join(family, "pivot").coalesce(n).select("family", "node", "root").distinct(), "families")
 
 
 def _still_apart(rows: DataFrame, links: DataFrame, group: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """``links`` and those between the components of a bucket, from its ``rows`` (key, node).
+    """``links`` and those between the components of a bucket, from its ``rows`` (key, node, company).
 
     Within a family the reference is the set of shingles that more than half of its classes
     hold, and each class is known by its difference from that: D, of d shingles. With
