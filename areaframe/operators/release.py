@@ -11,6 +11,7 @@ from areaframe.functions.text import fold_text
 from areaframe.operators.contract import violations
 from areaframe.operators.arrangement import arranged, polygons, region_edges, shape_edges
 from areaframe.operators.overlay import overlay_areas, unproven
+from areaframe.sources.workspace import dealt
 
 # The states that a municipal audit may report, those of settled areas, and the
 # least share of a published extent that its predecessors must cover.
@@ -271,10 +272,12 @@ def group_listing(groups: DataFrame, roots: DataFrame, maps: DataFrame) -> DataF
 
 def reproduced_groups(extracted: DataFrame, updates: DataFrame, reviewed: DataFrame) -> DataFrame:
     """group_id, fault: groups (group_id, id) that, with the reviewed id updates (group_id, previous_id, current_id), differ."""
-    now = extracted.join(updates.withColumnRenamed("previous_id", "id"), ["group_id", "id"], "left").select("group_id", F.coalesce("current_id", "id").alias("id"))
-    more = now.exceptAll(reviewed.select("group_id", "id")).select("group_id", F.lit("not_reviewed").alias("fault"))
-    less = reviewed.select("group_id", "id").exceptAll(now).select("group_id", F.lit("not_extracted").alias("fault"))
-    return more.unionByName(less).distinct()
+    n = dealt(extracted)
+    key = ["group_id", "id"]
+    now = extracted.repartition(n, *key).join(updates.withColumnRenamed("previous_id", "id").repartition(n, *key).hint("merge"), key, "left").select("group_id", F.coalesce("current_id", "id").alias("id"), F.lit(1).alias("n"))
+    both = now.union(reviewed.select("group_id", "id", F.lit(-1).alias("n"))).repartition(n, "group_id")  # rows of both, those reviewed counted down
+    apart = both.groupBy(*key).agg(F.sum("n").alias("n")).where("n <> 0")
+    return apart.select("group_id", F.when(F.col("n") > 0, "not_reviewed").otherwise("not_extracted").alias("fault")).distinct()
 
 
 def attributions(members: DataFrame) -> DataFrame:

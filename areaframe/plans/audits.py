@@ -12,6 +12,7 @@ from areaframe.plans import lookups, records
 from areaframe.plans.lookups import BASE, GRID, IN_MUNI, MOVED_BOXES, MUNI, MUNI_BOXES, SHARED
 from areaframe.plans.records import ADJUSTED, AREAS, CLOSURE, _id
 from areaframe.sources import fixtures as X
+from areaframe.sources.workspace import dealt, written
 
 SHAPED = "shape IN ('plain', 'hole', 'multipart')"
 
@@ -374,7 +375,8 @@ def group_listing(spark: SparkSession, d: str) -> DataFrame:
 
 def reproduced_groups(spark: SparkSession, d: str) -> DataFrame:
     """Line items as extracted groups; parts divisible by ten got a new id, which some reviewed lists do not know."""
-    li = X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("id")).distinct()
+    li = X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("id"))
+    li = written(li.repartition(dealt(li), "group_id", "id").distinct(), "groups")
     updates = li.where("id % 10 = 0").select("group_id", F.col("id").alias("previous_id"), (-F.col("id")).alias("current_id"))
     reviewed = li.withColumn("id", F.expr("CASE WHEN id % 10 = 0 AND group_id % 7 <> 0 THEN -id ELSE id END"))
     return release.reproduced_groups(li, updates, reviewed)

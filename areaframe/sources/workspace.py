@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task is given to sort or to group, see ``dealt``.
+TASK_ROWS = 1_000_000
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``.
@@ -28,3 +31,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> int:
+    """How many partitions the rows of ``df``, which must be cheap to count, need: as many as the session
+    shuffles into, and more where a task would get more than TASK_ROWS. So a task's memory does not grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
