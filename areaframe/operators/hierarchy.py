@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaframe.sources.workspace import written
-
-#: Steps that the first plan of a closure reaches before it is written.
-FIRST_STEPS = 8
+from areaframe.sources.workspace import dealt, written
 
 
 def ancestors(areas: DataFrame, depth: int | None = None) -> DataFrame:
@@ -19,23 +16,23 @@ def ancestors(areas: DataFrame, depth: int | None = None) -> DataFrame:
     areas are their own ancestors (``cycles``). With ``depth`` only pairs up to that many steps are returned.
     """
     pairs = areas.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("ancestor_id")).withColumn("depth", F.lit(1))
-    pairs = written(pairs, "parents")
-    reach = 1
-    step = pairs
-    while reach < FIRST_STEPS:
-        step, reach = _twice(step), 2 * reach
+    step, reach = written(_least(pairs), "parents"), 1
     while True:
-        step = written(_least(step), "closure")
-        if step.where(F.col("depth") == reach).isEmpty():  # nothing lies as far as could be reached
+        ends = step.where(F.col("depth") == reach)
+        if ends.isEmpty():  # nothing lies as far as could be reached
             break
-        step, reach = _twice(step), 2 * reach
+        step, reach = written(_twice(step, ends), "closure"), 2 * reach
     return step if depth is None else step.where(F.col("depth") <= depth)
 
 
-def _twice(pairs: DataFrame) -> DataFrame:
-    on = pairs.select(F.col("id").alias("_via"), F.col("ancestor_id").alias("_up"), F.col("depth").alias("_more"))
-    longer = pairs.join(on.hint("merge"), F.col("ancestor_id") == F.col("_via")).select("id", F.col("_up").alias("ancestor_id"), (F.col("depth") + F.col("_more")).alias("depth"))
-    return _least(pairs.unionByName(longer))
+def _twice(pairs: DataFrame, ends: DataFrame) -> DataFrame:
+    """Pairs of twice the depth. Beyond ``ends``, the pairs of the greatest depth so far, a longer
+    one goes on by a known one, so it is made once and not at every place where it could be divided."""
+    n = dealt(pairs)
+    first = ends.select("id", F.col("ancestor_id").alias("_via"), F.col("depth").alias("_less")).repartition(n, "_via")
+    on = pairs.select(F.col("id").alias("_via"), "ancestor_id", "depth").repartition(n, "_via")
+    longer = first.join(on.hint("merge"), "_via").select("id", "ancestor_id", (F.col("_less") + F.col("depth")).alias("depth"))
+    return _least(pairs.unionByName(longer).repartition(2 * n, "id", "ancestor_id"))
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -52,9 +49,11 @@ def scope(areas: DataFrame, roots: DataFrame, most_members: int | None = None, m
 
     ``fault`` names a cycle through the root, or the limit that a scope exceeds; nothing is left out of a scope.
     """
-    below = ancestors(areas).join(roots.hint("merge"), F.col("ancestor_id") == F.col("root_id"))
+    pairs = ancestors(areas)
+    n = dealt(pairs)
+    below = pairs.withColumn("root_id", F.col("ancestor_id")).repartition(n, "root_id").join(roots.repartition(n, "root_id").hint("merge"), "root_id")
     counts = below.groupBy("root_id").agg(F.count(F.lit(1)).alias("members"), F.max("depth").alias("max_depth"), F.bool_or(F.col("id") == F.col("root_id")).alias("_cycle"))
-    out = roots.join(counts, "root_id", "left").na.fill(0, ["members", "max_depth"])
+    out = roots.join(counts.hint("merge"), "root_id", "left").na.fill(0, ["members", "max_depth"])
     fault = F.when(F.col("_cycle"), "cycle")
     if most_members is not None:
         fault = fault.when(F.col("members") > most_members, "too_many_members")
