@@ -11,21 +11,27 @@ from pyspark.sql import functions as F
 
 from areaframe.functions import geometry as G
 from areaframe.operators import arrangement as A
+from areaframe.sources.workspace import written
 
 
-def pair_edges(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, b, side ('A', 'B'), ax, ay, bx, by for the pairs (a, b) of two (area_id, rings) tables."""
+def pair_shapes(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b, side ('A', 'B'), rings for the pairs (a, b) of two (area_id, rings) tables."""
+    pairs = written(pairs.select("a", "b"), "pairs").hint("merge")
 
     def side(df: DataFrame, key: str, name: str) -> DataFrame:
-        e = df.select(F.col("area_id").alias(key), F.explode(G.edges("rings")).alias("e"))
-        return pairs.hint("merge").join(e, key).select("a", "b", F.lit(name).alias("side"), "e.ax", "e.ay", "e.bx", "e.by")
+        return pairs.join(df.select(F.col("area_id").alias(key), "rings"), key).select("a", "b", F.lit(name).alias("side"), "rings")
 
     return side(left, "a", "A").unionByName(side(right, "b", "B"))
 
 
+def _sides(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """key, side, rings of two tables (key, rings)."""
+    return a.select(*key, F.lit("A").alias("side"), "rings").unionByName(b.select(*key, F.lit("B").alias("side"), "rings"))
+
+
 def overlay_areas(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """a, b, area_a, area_b, intersection, outside_a (a minus b), outside_b, union_area, in square units."""
-    arcs = A.arranged(pair_edges(pairs, left, right), ["a", "b"])
+    arcs = A.arranged_shapes(pair_shapes(pairs, left, right), ["a", "b"])
     named = {"area_a": "a", "area_b": "b", "intersection": "intersection", "union_area": "union"}
     sums = arcs.groupBy("a", "b").agg(*(A.region_area(r).alias(n) for n, r in named.items()))
     return sums.withColumn("outside_a", F.expr("area_a - intersection")).withColumn("outside_b", F.expr("area_b - intersection"))
@@ -33,18 +39,17 @@ def overlay_areas(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFr
 
 def boundary(pairs: DataFrame, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Directed boundary fragments of intersection, union, difference (a minus b) or symmetric difference."""
-    return A.region_edges(A.arranged(pair_edges(pairs, left, right), ["a", "b"]), how, ["a", "b"])
+    return A.region_edges(A.arranged_shapes(pair_shapes(pairs, left, right), ["a", "b"]), how, ["a", "b"])
 
 
 def shapes(pairs: DataFrame, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """a, b, rings of intersection, union, difference or symmetric difference; empty results give no row."""
-    return A.polygons(boundary(pairs, left, right, how), ["a", "b"])
+    return A.region_polygons(pair_shapes(pairs, left, right), ["a", "b"], how)
 
 
 def united(members: DataFrame, by: str) -> DataFrame:
     """The union of each group of members (``by``, rings), which may overlap or share edges in part: ``by``, rings."""
-    arcs = A.arranged(A.shape_edges(members, [by], "A"), [by])
-    return A.polygons(A.region_edges(arcs, "a", [by]), [by])
+    return A.region_polygons(members.select(by, F.lit("A").alias("side"), "rings"), [by], "a")
 
 
 def coverage(parents: DataFrame, children: DataFrame, key: list[str]) -> DataFrame:
@@ -53,9 +58,8 @@ def coverage(parents: DataFrame, children: DataFrame, key: list[str]) -> DataFra
     All children are laid over each other at once, so what two of them share counts once in
     ``covered`` and is what ``repeated`` measures.
     """
-    edges = A.shape_edges(children, key, "A").unionByName(A.shape_edges(parents, key, "B"))
     named = {"covered": "intersection", "outside": "difference", "uncovered": "outside_b", "repeated": "repeated"}
-    return A.arranged(edges, key).groupBy(*key).agg(*(A.region_area(r).alias(n) for n, r in named.items()))
+    return A.arranged_shapes(_sides(children, parents, key), key).groupBy(*key).agg(*(A.region_area(r).alias(n) for n, r in named.items()))
 
 
 def dissolve(members: DataFrame, by: str) -> DataFrame:
@@ -87,17 +91,20 @@ def self_faces(shapes_: DataFrame) -> DataFrame:
     Edges are cut at their crossings with each other; a fragment stays where exactly one of
     its sides is inside, turned so that the inside lies on its left.
     """
-    return A.region_edges(A.arranged(A.shape_edges(shapes_, ["area_id"], "A"), ["area_id"]), "odd", ["area_id"])
+    return A.region_edges(A.arranged_shapes(_one_side(shapes_), ["area_id"]), "odd", ["area_id"])
+
+
+def _one_side(shapes_: DataFrame) -> DataFrame:
+    return shapes_.select("area_id", F.lit("A").alias("side"), "rings")
 
 
 def repaired(shapes_: DataFrame) -> DataFrame:
     """area_id, rings: the even-odd repair as whole rings."""
-    return A.polygons(self_faces(shapes_), ["area_id"])
+    return A.region_polygons(_one_side(shapes_), ["area_id"], "odd")
 
 
 def unproven(candidate: DataFrame, proof: DataFrame, key: list[str]) -> DataFrame:
     """key, area: where candidate and proof (key, rings) cover different places; no row where they are equal,
     whatever vertices they have."""
-    edges = A.shape_edges(candidate, key, "A").unionByName(A.shape_edges(proof, key, "B"))
-    arcs = A.arranged(edges, key).where("((la > 0) <> (lb > 0)) <> ((ra > 0) <> (rb > 0))")
+    arcs = A.arranged_shapes(_sides(candidate, proof, key), key).where("((la > 0) <> (lb > 0)) <> ((ra > 0) <> (rb > 0))")
     return arcs.groupBy(*key).agg(A.region_area("symmetric difference").alias("area"))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from areaframe.functions import geometry as G
 from areaframe.functions.text import fold_text
 from areaframe.operators.contract import violations
-from areaframe.operators.arrangement import arranged, polygons, region_edges, shape_edges
+from areaframe.operators.arrangement import region_polygons
 from areaframe.operators.overlay import overlay_areas, unproven
 from areaframe.sources.workspace import dealt
 
@@ -129,8 +129,8 @@ def cut_slivers(slivers: DataFrame, candidates: DataFrame, assigned: DataFrame)
     pairs = slivers.join(whole.hint("merge"), "a", "left_semi").select("a", "b")
     own = candidates.select(F.col("area_id").alias("a"), "rings").join(whole.hint("merge"), "a", "left_semi")
     others = pairs.join(assigned.select(F.col("area_id").alias("b"), "rings").hint("merge"), "b").select("a", "rings")
-    edges = shape_edges(own, ["a"], "A").unionByName(shape_edges(others, ["a"], "B"))
-    out = polygons(region_edges(arranged(edges, ["a"]), "difference", ["a"]), ["a"])
+    sides = own.select("a", F.lit("A").alias("side"), "rings").unionByName(others.select("a", F.lit("B").alias("side"), "rings"))
+    out = region_polygons(sides, ["a"], "difference")
     return out.select(F.col("a").alias("area_id"), "rings", G.area("rings").alias("area"))
 
 
