@@ -43,8 +43,16 @@ def area(rings: str = "rings") -> Column:
     return F.expr(f"aggregate({EDGES.format(rings=rings)}, 0D, (a, e) -> a + (e.ax * e.by - e.bx * e.ay) / 2D)")
 
 
-ON_EDGE = "((e.bx - e.ax) * ({y} - e.ay) = (e.by - e.ay) * ({x} - e.ax) AND {x} BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx) AND {y} BETWEEN least(e.ay, e.by) AND greatest(e.ay, e.by))"
-CROSSES = "((e.ay > {y}) <> (e.by > {y}) AND {x} < (e.bx - e.ax) * ({y} - e.ay) / nullif(e.by - e.ay, 0D) + e.ax)"
+# Two products that are equal for a point on an edge's line; which is the greater gives the side. They are taken from
+# the edge's middle, so that both diagonals of a box are judged as the box's own formula |y - yc| * w <= |x - xc| * h does.
+_RISE = "(({y} - (least(e.ay, e.by) + abs(e.by - e.ay) / 2D)) * (e.bx - e.ax))"
+_RUN = "(({x} - (least(e.ax, e.bx) + abs(e.bx - e.ax) / 2D)) * (e.by - e.ay))"
+ON_EDGE = f"({{x}} BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx) AND {{y}} BETWEEN least(e.ay, e.by) AND greatest(e.ay, e.by) AND ({_RISE} = {_RUN} OR {{x}} = e.ax AND {{y}} = e.ay OR {{x}} = e.bx AND {{y}} = e.by))"
+#: Whether a point is left of an edge that spans its height, and whether one lies above an edge that spans its x; a
+#: point on the edge counts as to the right of it, and as above one that does not rise to the right.
+LEFT_OF = f"IF(e.by > e.ay, {_RISE} > {_RUN}, {_RISE} < {_RUN})"
+ABOVE = f"(IF(e.bx > e.ax, {_RISE} > {_RUN}, {_RISE} < {_RUN}) OR ({_RISE} = {_RUN} AND (e.by - e.ay) * (e.bx - e.ax) <= 0D))"
+CROSSES = f"((e.ay > {{y}}) <> (e.by > {{y}}) AND {LEFT_OF})"
 
 
 def covers(edges_: str, x: str, y: str) -> Column:

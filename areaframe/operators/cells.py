@@ -78,10 +78,10 @@ def polygon_cells(geometry: DataFrame, size: Size = CELL) -> DataFrame:
     touched = with_cells(e, size).groupBy(*key, "cx", "cy").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("edges"))
     # where the edges cross the lines through the centres of each row of cells
     rows = e.withColumn("cy", F.explode(_span("south", "north", y))).withColumn("_y", (F.col("cy") + 0.5) * F.lit(y))
-    rows = rows.where("(ay > _y) <> (by > _y)").select(*key, "cy", F.expr("(bx - ax) * (_y - ay) / (by - ay) + ax").alias("_x"))
-    rows = rows.groupBy(*key, "cy").agg(F.collect_list("_x").alias("_xs")).withColumns({"_w": F.array_min("_xs"), "_e": F.array_max("_xs")})
+    rows = rows.where("(ay > _y) <> (by > _y)").select(*key, "cy", "ax", "ay", "bx", "by", F.expr("(bx - ax) * (_y - ay) / (by - ay) + ax").alias("_x"))
+    rows = rows.groupBy(*key, "cy").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("_es"), F.min("_x").alias("_w"), F.max("_x").alias("_e"))
     inner = rows.withColumn("cx", F.explode(_span("_w", "_e", x)))
-    inner = inner.where(F.expr(f"size(filter(_xs, v -> v > (cx + 0.5D) * {x!r}D)) % 2 = 1")).select(*key, "cx", "cy", F.lit(True).alias("inside"))
+    inner = inner.where(F.expr(f"size(filter(_es, e -> {G.LEFT_OF.format(x=f'((cx + 0.5D) * {x!r}D)', y=f'((cy + 0.5D) * {y!r}D)')})) % 2 = 1")).select(*key, "cx", "cy", F.lit(True).alias("inside"))
     both = touched.hint("merge").join(inner.hint("merge"), [*key, "cx", "cy"], "full")
     return both.select(*key, "cx", "cy", F.coalesce("inside", F.lit(False)).alias("inside"), F.coalesce("edges", F.array().cast("array<struct<ax: double, ay: double, bx: double, by: double>>")).alias("edges"))
 
@@ -90,16 +90,14 @@ def _covered(size: Size) -> Column:
     """Whether x, y is on an edge of its cell, or inside by the edges crossed on the way from the
     cell's centre: up or down to its height, then along.
 
-    An edge through the height of the way's corner counts by the side on which it goes on; the
-    rules are those of the rows above, as if the centre lay a little to the right.
+    An edge through the way's corner counts by the side on which it goes on; the
+    rules are those of the rows above, as if the centre lay a little to the right. All sides are
+    judged by the same two products, so rounding never lets an edge count on one leg and not on the other.
     """
     sx, sy = _xy(size)
     x, y = f"((cx + 0.5D) * {sx!r}D)", f"((cy + 0.5D) * {sy!r}D)"
-    along = "(e.bx - e.ax) * (y - e.ay) / nullif(e.by - e.ay, 0D) + e.ax"
-    up = f"((e.by - e.ay) * ({x} - e.ax) / nullif(e.bx - e.ax, 0D) + e.ay)"
-    below = f"({up} < {{0}} OR ({up} = {{0}} AND (e.by - e.ay) * (e.bx - e.ax) <= 0D))"
-    level = f"((e.ay > y) <> (e.by > y) AND ({along} <= {x}) <> ({along} < x))"
-    upright = f"((e.ax > {x}) <> (e.bx > {x}) AND {below.format('y')} <> {below.format(y)})"
+    level = f"((e.ay > y) <> (e.by > y) AND {G.LEFT_OF.format(x=x, y='y')} <> {G.LEFT_OF.format(x='x', y='y')})"
+    upright = f"((e.ax > {x}) <> (e.bx > {x}) AND {G.ABOVE.format(x=x, y='y')} <> {G.ABOVE.format(x=x, y=y)})"
     on = f"exists(edges, e -> {G.ON_EDGE.format(x='x', y='y')})"
     crossed = f"aggregate(edges, 0, (n, e) -> n + IF({level}, 1, 0) + IF({upright}, 1, 0)) % 2 = 1"
     return F.expr(f"CASE WHEN size(edges) = 0 THEN inside ELSE ({on} OR (inside <> ({crossed}))) END")

@@ -43,3 +43,11 @@ def test_small_parts_removed_at_every_width(compared, n):
 def test_display_fallback_of_boxes_within_the_tolerance(compared, n):
     got = compared("display_fallback", [(i, 3) for i in range(n)])
     assert any(r[1] == "full" for r in got) == (n == 9)
+
+
+def test_review_candidates_on_the_diagonals_of_bow_ties(compared):
+    # points on the diagonals, where the SQL's products round either way; every supplier is a bow-tie
+    keys = [k for k in range(4000) if k % 11 == 3 and k % 17 != 5 and k % 13 != 4][:276]
+    assert len(keys) == 276
+    ids = [696280, 752840, 993240, 1516440, 1869960, 2690120, 3510280, 3566840, 3807240, 4330440, 4683960, 5504120, 6324280, 6380840, 6621240, 7144440, 7497960, 8318120]
+    assert len(compared("review_candidates", [(k, 5) for k in keys], ids)) == 12
