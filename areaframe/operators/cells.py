@@ -86,7 +86,13 @@ def polygon_cells(geometry: DataFrame, size: Size = CELL) -> DataFrame:
     return both.select(*key, "cx", "cy", F.coalesce("inside", F.lit(False)).alias("inside"), F.coalesce("edges", F.array().cast("array<struct<ax: double, ay: double, bx: double, by: double>>")).alias("edges"))
 
 
-def _covered(size: Size) -> Column:
+def cells_bytes(cells: DataFrame) -> int:
+    """What the rows of ``polygon_cells`` take in memory."""
+    r = cells.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("edges")), F.lit(0)).alias("edges")).first()
+    return r["rows"] * _ROW_BYTES + r["edges"] * _EDGE_BYTES
+
+
+def covered(size: Size) -> Column:
     """Whether x, y is on an edge of its cell, or inside by the edges crossed on the way from the
     cell's centre: up or down to its height, then along.
 
@@ -113,10 +119,8 @@ def covering(points: DataFrame, cells: DataFrame, *keep: str, size: Size = CELL)
     x, y = _xy(size)
     p = points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").select("x", "y", *keep)
     p = p.withColumn("cx", cell("x", x)).withColumn("cy", cell("y", y))
-    r = cells.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("edges")), F.lit(0)).alias("edges")).first()
-    small = r["rows"] * _ROW_BYTES + r["edges"] * _EDGE_BYTES <= BROADCAST_BYTES
-    met = p.join(F.broadcast(cells) if small else cells.hint("merge"), ["cx", "cy"])
-    return met.where(_covered(size)).select(*keep, "area_id", "role")
+    met = p.join(F.broadcast(cells) if cells_bytes(cells) <= BROADCAST_BYTES else cells.hint("merge"), ["cx", "cy"])
+    return met.where(covered(size)).select(*keep, "area_id", "role")
 
 
 def cover(points: DataFrame, geometry: DataFrame, *keep: str) -> DataFrame:

@@ -270,7 +270,7 @@ def circle_discovery(spark: SparkSession, d: str) -> DataFrame:
     """Circles against the municipalities that have an extent."""
     g = _muni_geometry(spark, d)
     munis = g.select("area_id").distinct()
-    out = circle.discover(_circles(spark, d), munis, g)
+    out = circle.discover(_circles(spark, d), munis, g, listed=False)
     return out.select("circle_id", "status", "n_matches", "n_affected", F.array_join("matches", ",").alias("matches"), "reasons")
 
 
@@ -278,7 +278,7 @@ def circle_discovery_unlocated(spark: SparkSession, d: str) -> DataFrame:
     """All municipalities, those without any extent too: every circle is incomplete."""
     g = _muni_geometry(spark, d)
     munis = X.municipalities(spark, d).select(F.concat(F.lit("m-"), F.col("s_suppkey").cast("string")).alias("area_id"))
-    return circle.discover(_circles(spark, d), munis, g).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return circle.discover(_circles(spark, d), munis, g, listed=False).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
